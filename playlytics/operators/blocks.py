@@ -1,0 +1,69 @@
+"""Products of all rows of one table of vectors with all rows of another, block by block.
+
+Both sides are cut into blocks of bounded size and every pair of blocks meets in one task through an
+equi-join of block numbers. Only what the block function returns leaves the task, never the pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BLOCK_ROWS = 2_048
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A list column as a dense matrix, without a copy where Arrow allows it."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = pa.concat_arrays(column.chunks)
+    if len(column) == 0:
+        return np.empty((0, 0))
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return values.reshape(len(column), -1)
+
+
+def list_column(values: np.ndarray) -> pa.Array:
+    rows, width = values.shape
+    offsets = np.arange(0, (rows + 1) * width, max(width, 1), dtype=np.int32)[: rows + 1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+
+
+def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
+    return max(1, -(-rows // block_rows))
+
+
+def numbered_blocks(stored: DataFrame, blocks: int, name: str = "block") -> DataFrame:
+    """Spread the rows of a *written* table evenly over blocks, copies of one row included.
+
+    Row numbers of a file scan are the same in every attempt, so a lost task cannot move a row.
+    """
+    return stored.withColumn(name, F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))
+
+
+def block_join(
+    left: DataFrame,
+    left_blocks: int,
+    right: DataFrame,
+    right_blocks: int,
+    function: Callable[[pa.Table, pa.Table], pa.Table],
+    schema: str,
+    upper: bool = False,
+) -> DataFrame:
+    """Apply ``function(left block, right block)`` to all pairs of blocks.
+
+    Both sides carry ``block``. ``upper`` keeps the pairs with left block <= right block (for a table met
+    with itself).
+    """
+    first = F.col("block") if upper else F.lit(0)
+    last = F.col("block") if upper else F.lit(left_blocks - 1)
+    l = left.withColumns({"bi": F.col("block"), "bj": F.explode(F.sequence(first, F.lit(right_blocks - 1)))})
+    r = right.withColumns({"bj": F.col("block"), "bi": F.explode(F.sequence(F.lit(0), last))})
+    # fresh column identities: a table may meet itself
+    r = r.select(*[F.col(c).alias(c) for c in r.columns])
+    return l.groupBy("bi", "bj").cogroup(r.groupBy("bi", "bj")).applyInArrow(function, schema)

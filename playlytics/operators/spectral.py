@@ -1,0 +1,251 @@
+"""Spectral clustering on the cosine similarity graph of all songs (experimental, quadratic in songs).
+
+The graph keeps a fixed share of all n*n similarities, so it is as large as the matrix itself. It is never
+stored: each job recomputes its blocks from the vectors and returns histograms, row sums or products.
+Nothing of length n reaches the driver.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from playlytics.config import DEFAULTS
+from playlytics.functions.vectors import normalise_rows
+from playlytics.operators.blocks import BLOCK_ROWS, block_count, block_join, list_column, matrix, numbered_blocks
+from playlytics.operators.clustering import fit_clusterer, raw_assignment
+from playlytics.sources.storage import materialise
+
+BINS = 4_096
+DIGITS = 12
+
+
+class SimilarityGraph:
+    """Songs with unit vectors in numbered blocks, and the cut below which similarities are dropped."""
+
+    def __init__(self, vectors: DataFrame, keep: float = DEFAULTS.similarity_keep, block_rows: int = BLOCK_ROWS):
+        unit = normalise_rows(vectors.select("id", "embedding"))
+        filled = F.transform("embedding", lambda x: F.coalesce(x, F.lit(0.0)))  # a zero vector resembles nothing
+        stored = materialise(unit.select("id", filled.alias("embedding")), "unit_vectors")
+        self.n = stored.count()
+        self.blocks = block_count(self.n, block_rows)
+        self.songs = materialise(numbered_blocks(stored, self.blocks).withColumn("row", F.monotonically_increasing_id()), "blocks")
+        self.threshold = self._quantile(1 - keep)
+
+    def _meet(self, songs: DataFrame, function, schema: str) -> DataFrame:
+        return block_join(songs, self.blocks, songs, self.blocks, function, schema, upper=True)
+
+    def _histogram(self, low: float, high: float) -> list:
+        """Counts and extremes of the similarities inside [low, high], in equal bins, and the count below."""
+        width = (high - low) / BINS
+
+        def count(left: pa.Table, right: pa.Table) -> pa.Table:
+            values, weight, _ = _block_similarity(left, right)
+            values = values.ravel()
+            inside = values[(values >= low) & (values <= high)]
+            bins = np.minimum(((inside - low) / width).astype(np.int64), BINS - 1)
+            order = np.argsort(bins, kind="stable")
+            bins, inside = bins[order], inside[order]
+            found, start = np.unique(bins, return_index=True)
+            counts = np.diff(np.append(start, len(bins)))
+            smallest = np.minimum.reduceat(inside, start) if len(start) else np.empty(0)
+            largest = np.maximum.reduceat(inside, start) if len(start) else np.empty(0)
+            below = int((values < low).sum())
+            return pa.table(
+                {
+                    "bin": pa.array(np.append(found, -1), pa.int64()),
+                    "n": pa.array(np.append(counts, below) * weight, pa.int64()),
+                    "low": pa.array(np.append(smallest, 0.0)),
+                    "high": pa.array(np.append(largest, 0.0)),
+                }
+            )
+
+        counted = self._meet(self.songs, count, "bin long, n long, low double, high double")
+        merged = counted.groupBy("bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        return sorted(merged.collect())  # at most BINS + 1 rows
+
+    def _rank_value(self, rank: int) -> float:
+        """The similarity at 0-based ``rank`` of all n*n sorted ones, narrowed bin by bin."""
+        low, high = -1.5, 1.5
+        while True:
+            rows = self._histogram(low, high)
+            seen = rows[0]["n"]  # bin -1: below
+            for row in rows[1:]:
+                if rank < seen + row["n"]:
+                    break
+                seen += row["n"]
+            if row["low"] == row["high"] or rank == seen:
+                return row["low"]
+            if rank == seen + row["n"] - 1:
+                return row["high"]
+            low, high = row["low"], row["high"]
+
+    def _quantile(self, q: float) -> float:
+        position = q * (self.n * self.n - 1)
+        base = math.floor(position)
+        lower = self._rank_value(base)
+        upper = lower if base == position else self._rank_value(base + 1)
+        return lower + (upper - lower) * (position - base)
+
+    def degrees(self) -> DataFrame:
+        """Per song: neighbours above the cut and the sum of their similarities. Negative ones weigh 0."""
+        cut = self.threshold
+
+        def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+            values, weight, ids = _block_similarity(left, right)
+            w = _weights(values, cut)
+            rows = [(ids[0], w.sum(axis=1), (w > 0).sum(axis=1))]
+            if weight == 2:
+                rows.append((ids[1], w.sum(axis=0), (w > 0).sum(axis=0)))
+            return pa.table(
+                {
+                    "row": pa.array(np.concatenate([r[0] for r in rows]), pa.int64()),
+                    "degree": pa.array(np.concatenate([r[1] for r in rows])),
+                    "n_neighbours": pa.array(np.concatenate([r[2] for r in rows]), pa.int64()),
+                }
+            )
+
+        parts = self._meet(self.songs, sums, "row long, degree double, n_neighbours long")
+        totals = parts.groupBy("row").agg(F.sum("degree").alias("degree"), F.sum("n_neighbours").alias("n_neighbours"))
+        return self.songs.select("id", "row").join(totals, "row")
+
+    def _multiply(self, songs: DataFrame, degrees: DataFrame, column: str) -> DataFrame:
+        """Normalised adjacency times the matrix whose rows are in ``column``: (row, product)."""
+        cut = self.threshold
+        scaled = songs.join(degrees, "row").select(
+            "row", "block", "embedding", F.transform(column, lambda x: x * F.col("scale")).alias("x")
+        )
+
+        def product(left: pa.Table, right: pa.Table) -> pa.Table:
+            values, weight, ids = _block_similarity(left, right)
+            w = _weights(values, cut)
+            rows = [(ids[0], w @ matrix(right.column("x")))] if w.size else []
+            if weight == 2 and w.size:
+                rows.append((ids[1], w.T @ matrix(left.column("x"))))
+            if not rows:
+                return pa.table({"row": pa.array([], pa.int64()), "part": pa.array([], pa.list_(pa.float64()))})
+            return pa.table(
+                {
+                    "row": pa.array(np.concatenate([r[0] for r in rows]), pa.int64()),
+                    "part": list_column(np.concatenate([r[1] for r in rows])),
+                }
+            )
+
+        parts = self._meet(scaled, product, "row long, part array<double>")
+        summed = parts.groupBy("row").agg(Summarizer.sum(array_to_vector("part")).alias("total"))
+        return summed.join(degrees, "row").select(
+            "row", F.transform(vector_to_array("total"), lambda x: x * F.col("scale")).alias("product")
+        )
+
+    def eigenvectors(self, k: int, seed: int = DEFAULTS.seed, steps: int = 16, extra: int = 3) -> tuple[DataFrame, list[float]]:
+        """Vectors of the k smallest eigenvalues of the symmetric normalised Laplacian, and those values.
+
+        The normalised adjacency has its spectrum in [-1, 1], so Chebyshev polynomials of it applied to a few
+        random vectors span a well-conditioned space that holds the wanted eigenvectors; the small projected
+        problem is solved on the driver.
+        """
+        scale = F.when(F.col("degree") > 0, 1 / F.sqrt("degree")).otherwise(F.lit(1.0))
+        degrees = materialise(self.degrees().select("row", scale.alias("scale")), "degrees")
+        width = min(k + extra, self.n)
+        steps = max(1, min(steps, -(-self.n // width)))
+        noise = F.transform(
+            F.sequence(F.lit(1), F.lit(width)), lambda i: F.xxhash64(F.col("row"), i, F.lit(seed)).cast("double") / 2.0**63
+        )
+        basis = materialise(self.songs.withColumn("c0", noise), "chebyshev")
+        for step in range(1, steps + 1):
+            moved = self._multiply(basis, degrees, f"c{step - 1}")
+            joined = basis.join(moved, "row")
+            following = F.col("product")
+            if step > 1:
+                following = F.zip_with("product", f"c{step - 2}", lambda p, o: 2 * p - o)
+            basis = materialise(joined.withColumn(f"c{step}", following).drop("product"), "chebyshev")
+
+        columns = [f"c{i}" for i in range(steps + 1)]
+        gram = _gram(basis, columns, width)
+        inside = steps * width  # the last block only serves to apply the matrix to the one before
+        g = gram[:inside, :inside]
+        applied = np.empty((inside, inside))
+        for i in range(steps):
+            block = gram[:inside, (i + 1) * width : (i + 2) * width]
+            if i:
+                block = (block + gram[:inside, (i - 1) * width : i * width]) / 2
+            applied[:, i * width : (i + 1) * width] = block
+        size, directions = np.linalg.eigh(g)
+        usable = size > size[-1] * 1e-10
+        whiten = directions[:, usable] / np.sqrt(size[usable])
+        values, small = np.linalg.eigh(whiten.T @ ((applied + applied.T) / 2) @ whiten)
+        top = np.argsort(-values)[:k]
+        mixing = whiten @ small[:, top]
+        shared = basis.sparkSession.sparkContext.broadcast(mixing)
+
+        def project(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    z = np.hstack([matrix(batch.column(c)) for c in columns[:-1]])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id"), list_column(z @ shared.value)], names=["id", "embedding"]
+                    )
+
+        vectors = basis.select("id", *columns).mapInArrow(project, "id long, embedding array<double>")
+        return vectors, [float(1 - v) for v in values[top]]
+
+
+def _block_similarity(left: pa.Table, right: pa.Table):
+    """Similarities of two blocks, how often each counts in the full matrix, and the row numbers.
+
+    Rows are put in a fixed order first, so that every job sees the same rounding.
+    """
+    left_rows, right_rows = left.column("row").to_numpy(), right.column("row").to_numpy()
+    if not (left.num_rows and right.num_rows):
+        return np.empty((left.num_rows, right.num_rows)), 2, (left_rows, right_rows)
+    diagonal = left.column("bi")[0].as_py() == right.column("bj")[0].as_py()
+    values = np.round(matrix(left.column("embedding")) @ matrix(right.column("embedding")).T, DIGITS)
+    if diagonal:
+        values[left_rows[:, None] == right_rows[None, :]] = 0.0
+    return values, 1 if diagonal else 2, (left_rows, right_rows)
+
+
+def _weights(values: np.ndarray, cut: float) -> np.ndarray:
+    return np.where(values >= cut, np.maximum(values, 0.0), 0.0)
+
+
+def _gram(basis: DataFrame, columns: list[str], width: int) -> np.ndarray:
+    """Inner products of all basis columns: one small matrix per task, summed on the executors."""
+    total = len(columns) * width
+
+    def partial(batches):
+        sums = np.zeros((total, total))
+        for batch in batches:
+            if batch.num_rows:
+                z = np.hstack([matrix(batch.column(c)) for c in columns])
+                sums += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total)), list_column(sums)], names=["i", "values"])
+
+    parts = basis.select(*columns).mapInArrow(partial, "i long, values array<double>")
+    rows = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("values")).alias("v")).orderBy("i").collect()
+    return np.array([r["v"].toArray() for r in rows])
+
+
+def spectral_clusters(
+    vectors: DataFrame,
+    k: int = DEFAULTS.n_clusters,
+    seed: int = DEFAULTS.seed,
+    keep: float = DEFAULTS.similarity_keep,
+    steps: int = 16,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(id, model_cluster): k-means on the unit rows of the eigenvector matrix."""
+    graph = SimilarityGraph(vectors, keep, block_rows)
+    if k >= graph.n:
+        raise ValueError("fewer clusters than songs are needed")
+    found, _ = graph.eigenvectors(k, seed, steps)
+    rows = normalise_rows(found)
+    filled = F.transform("embedding", lambda x: F.coalesce(x, F.lit(0.0)))
+    stored = materialise(rows.withColumn("embedding", filled), "eigenvectors")
+    return raw_assignment(stored, fit_clusterer(stored, k, seed)).drop("embedding")
