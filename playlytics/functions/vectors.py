@@ -41,7 +41,8 @@ def normalise_columns(df: DataFrame, column: str = "embedding") -> DataFrame:
         .agg(F.sqrt(F.sum(F.col("value").cast("double") * F.col("value").cast("double"))).alias("norm"))
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "norm"))), lambda s: s["norm"]).alias("norms"))
     )
-    return df.withColumn(column, F.zip_with(column, norms.scalar(), lambda x, n: F.try_divide(x.cast("double"), n)))
+    scaled = F.zip_with(column, "_norms", lambda x, n: F.try_divide(x.cast("double"), n))
+    return df.withColumn("_norms", norms.scalar()).withColumn(column, scaled).drop("_norms")
 
 
 def columns_like(df: DataFrame, prefix: str = "", suffix: str = "") -> Sequence[str]:

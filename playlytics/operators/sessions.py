@@ -51,7 +51,7 @@ def session_cells(plays: DataFrame, gap_us: int = DEFAULTS.session_gap_us, by: S
             F.min("first_us").over(session).alias("ses_start_us"),
             F.max("last_us").over(session).alias("ses_end_us"),
             F.sum("n").over(session).alias("ses_len"),
-            F.min("before_us").over(session).alias("before_us"),
+            F.max(F.when(F.col("breaks") == 1, F.col("before_us"))).over(session).alias("before_us"),
             "n",
         )
     )

@@ -66,7 +66,7 @@ def cluster_stats(
 
 
 def cluster_pie(stats: DataFrame) -> DataFrame:
-    return stats.select(F.format_string("Cluster %s", "cluster_label").alias("label"), "n_plays")
+    return stats.select(F.concat(F.lit("Cluster "), "cluster_label").alias("label"), "n_plays")
 
 
 def diversity(plays: DataFrame, per: Sequence[str] = MONTH) -> DataFrame:
