@@ -16,7 +16,8 @@ from playlytics.sources.storage import materialise
 from playlytics.sources.tables import fixed_width_vectors, vector_width
 
 BROADCAST_QUERY_BYTES = 32 << 20
-CORPUS_BLOCK_ROWS = 65_536
+CORPUS_BLOCK_ROWS = 16_384
+QUERY_BLOCK_ROWS = 1_024
 SCORE_DIGITS = 12  # products are compared at this precision, so that copies of a song tie exactly
 HITS = "search_num long, id long, dist double"
 
@@ -33,9 +34,10 @@ class _Best:
         self.ids = [np.empty(0, np.int64)] * queries
         self.scores = [np.empty(0)] * queries
 
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        for q in range(scores.shape[1]):
-            column = scores[:, q]
+    def add(self, ids: np.ndarray, scores: np.ndarray, first: int = 0) -> None:
+        """``scores`` holds one column per query, beginning with query ``first``."""
+        for q in range(first, first + scores.shape[1]):
+            column = scores[:, q - first]
             floor = self.scores[q][-1] if len(self.scores[q]) == self.n else -np.inf
             if len(column) > self.n:
                 floor = max(floor, np.partition(column, -self.n)[-self.n])
@@ -69,16 +71,19 @@ def _broadcast_candidates(vectors: DataFrame, queries: DataFrame, n: int) -> Dat
         numbers, wanted = shared.value
         best = _Best(n, len(numbers))
         for batch in batches:
-            if batch.num_rows:
-                best.add(batch.column("id").to_numpy(), _scores(matrix(batch.column("embedding")), wanted))
+            if not batch.num_rows:
+                continue
+            ids, corpus = batch.column("id").to_numpy(), matrix(batch.column("embedding"))
+            for first in range(0, len(wanted), QUERY_BLOCK_ROWS):
+                best.add(ids, _scores(corpus, wanted[first : first + QUERY_BLOCK_ROWS]), first)
         yield pa.RecordBatch.from_arrays(best.columns(numbers), names=["search_num", "id", "dist"])
 
     return vectors.mapInArrow(scan, HITS)
 
 
-def _block_candidates(vectors: DataFrame, queries: DataFrame, n_queries: int, per_block: int, n: int) -> DataFrame:
+def _block_candidates(vectors: DataFrame, queries: DataFrame, n_queries: int, n: int) -> DataFrame:
     stored = materialise(vectors, "search_table")
-    query_blocks = block_count(n_queries, per_block)
+    query_blocks = block_count(n_queries, QUERY_BLOCK_ROWS)
     corpus_blocks = block_count(stored.count(), CORPUS_BLOCK_ROWS)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -115,7 +120,7 @@ def vector_search(
     if n_queries * (width or 1) * 8 <= broadcast_bytes:
         candidates = _broadcast_candidates(corpus, stored, n)
     else:
-        candidates = _block_candidates(corpus, stored, n_queries, max(1, broadcast_bytes // (width * 8)), n)
+        candidates = _block_candidates(corpus, stored, n_queries, n)
     ranked = Window.partitionBy("search_num").orderBy(F.desc("dist"), "id")
     hits = candidates.withColumn("rank", F.row_number().over(ranked) - 1).where(F.col("rank") < n)
     if min_dist is not None:

@@ -53,7 +53,7 @@ def cluster_stats(
     )
     wanted = centroids.select("cluster")
     if per:
-        periods = plays.select(*per).distinct()
+        periods = found.select(*per).distinct()
         listed = centroids.agg(F.collect_list("cluster").alias("clusters"))
         wanted = periods.withColumn("cluster", F.explode(listed.scalar()))
     counts = ["freq", "n_plays", "n_unique_plays", "n_sessions"]
@@ -69,15 +69,24 @@ def cluster_pie(stats: DataFrame) -> DataFrame:
     return stats.select(F.concat(F.lit("Cluster "), "cluster_label").alias("label"), "n_plays")
 
 
+def _indices() -> list[Column]:
+    """Diversity of shares ``p``: Gini-Simpson, Shannon (base 2) and inverse Berger-Parker."""
+    p = F.col("p")
+    return [
+        (F.lit(1.0) - F.sum(p * p)).alias("gini"),
+        F.sum(-p * F.log2(p)).alias("shannon"),
+        (F.lit(1.0) / F.max(p)).alias("berger"),
+    ]
+
+
+def _shares(counts: DataFrame, per: Sequence[str]) -> DataFrame:
+    return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*per)))
+
+
 def diversity(plays: DataFrame, per: Sequence[str] = MONTH) -> DataFrame:
-    """Gini-Simpson, Shannon (base 2) and inverse Berger-Parker indices of the clusters played."""
+    """Diversity of the clusters played; unclustered plays are a group of their own."""
     counts = plays.groupBy(*per, "cluster").agg(F.count(F.lit(1)).alias("n"))
-    shares = counts.select(*per, (F.col("n") / F.sum("n").over(Window.partitionBy(*per))).alias("p"))
-    return shares.groupBy(*per).agg(
-        (F.lit(1.0) - F.sum(F.col("p") * F.col("p"))).alias("gini"),
-        F.sum(-F.col("p") * F.log2("p")).alias("shannon"),
-        (F.lit(1.0) / F.max("p")).alias("berger"),
-    )
+    return _shares(counts, per).groupBy(*per).agg(*_indices())
 
 
 def month_stats(
@@ -89,7 +98,9 @@ def month_stats(
     plays in it. ``ses_len_median`` is taken over plays, ``ses_len_median_sessions`` over sessions. With
     several histories (``by``) session numbers start anew, so ``n_sessions`` counts the month's sessions too.
     """
-    pieces = sessions.groupBy(*per, *by, "session", "ses_len").agg(F.count(F.lit(1)).alias("n"))
+    # the only pass over plays: everything else comes from these counts
+    counts = sessions.groupBy(*per, *by, "session", "ses_len", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    pieces = counts.groupBy(*per, *by, "session", "ses_len").agg(F.sum("n").alias("n"))
     # exact medians from counts of equal lengths: the state grows with distinct lengths, not with plays
     lengths = pieces.groupBy(*per, "ses_len").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_ses"), F.max("session").alias("last_session")
@@ -103,16 +114,16 @@ def month_stats(
         F.expr("percentile(ses_len, 0.5, n_ses)").alias("ses_len_median_sessions"),
         F.max("ses_len").alias("ses_len_max"),
     )
-    clusters = sessions.groupBy(*per, "cluster").agg(F.count(F.lit(1)).alias("n"))
-    modes = clusters.groupBy(*per).agg(
+    clusters = counts.groupBy(*per, "cluster").agg(F.sum("n").alias("n"))
+    modes = _shares(clusters, per).groupBy(*per).agg(
         most_frequent("cluster", "n", ignore_nulls).alias("cluster_mode"),
         F.max(F.when(F.col("cluster").isNotNull(), F.col("n"))).alias("largest"),
+        *_indices(),
     )
     # a NULL mode equals no row, so its count is 0
     mode_count = F.when(F.col("cluster_mode").isNull(), F.lit(0)).otherwise(F.col("largest"))
     return (
         summary.join(modes, list(per))
-        .join(diversity(sessions, per), list(per))
         .withColumn("cluster_mode_count", mode_count)
         .withColumn("cluster_mode_freq", F.col("cluster_mode_count") / F.col("n_plays"))
         .withColumn("date", month_start())

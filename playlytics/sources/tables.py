@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlytics.config import TRAIT_COLUMNS
+from playlytics.config import MAX_CLUSTERS, TRAIT_COLUMNS
 
 BOOKKEEPING_PREFIX = "_dlt_"
 
@@ -103,7 +103,7 @@ def cluster_letter(cluster: Column) -> Column:
 
 
 def cluster_labels(spark: SparkSession, k: int) -> DataFrame:
-    """Cluster index and letter; there are 26 letters, so at most 26 rows."""
-    if not 1 <= k <= 26:
-        raise ValueError("between 1 and 26 clusters can be labelled")
+    """Cluster index and letter."""
+    if not 1 <= k <= MAX_CLUSTERS:
+        raise ValueError(f"between 1 and {MAX_CLUSTERS} clusters can be labelled")
     return spark.range(k).select(F.col("id").cast("int").alias("cluster"), cluster_letter(F.col("id")).alias("cluster_label"))
