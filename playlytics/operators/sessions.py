@@ -1,6 +1,6 @@
 """Listening sessions: runs of plays with at most ``gap`` between neighbours.
 
-Two parts, so that neither the whole history nor a hot listener ever reaches one task:
+Neither the whole history nor a hot listener ever reaches one task:
 
 ``assign_sessions`` needs no order of the plays. Plays less than one gap apart in the same time cell (cell
 width = gap) cannot be separated by a break, so breaks lie between cells only. Plays are pre-aggregated to
@@ -8,9 +8,9 @@ width = gap) cannot be separated by a break, so breaks lie between cells only. P
 elapsed time, however many plays there are.
 
 ``order_within_sessions`` needs the order. Plays are range-partitioned on the whole sort key into chunks of
-equal size (a hot instant, listener or session spreads over many chunks), numbered inside their chunk, and
-corrected by what the session's earlier chunks hold: at most one session crosses each chunk boundary, so that
-correction has fewer rows than there are chunks.
+equal size (a hot instant, listener or session spreads over many chunks) and numbered inside their chunk. A
+chunk boundary cuts at most one history, so at most two chunk ends per chunk need correcting, and those few
+rows are broadcast.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from playlytics.operators.joins import null_safe_join
 from playlytics.sources.storage import materialise
 
 ORDER = ("source", "play_id")
-ROWS_PER_CHUNK = 2_000_000
+CHUNKS_PER_PARTITION = 4  # several chunks per shuffle partition even out their sizes
 
 
 def session_cells(plays: DataFrame, gap_us: int = DEFAULTS.session_gap_us, by: Sequence[str] = ()) -> DataFrame:
@@ -51,25 +51,10 @@ def session_cells(plays: DataFrame, gap_us: int = DEFAULTS.session_gap_us, by: S
             F.min("first_us").over(session).alias("ses_start_us"),
             F.max("last_us").over(session).alias("ses_end_us"),
             F.sum("n").over(session).alias("ses_len"),
-            F.max(F.when(F.col("breaks") == 1, F.col("before_us"))).over(session).alias("before_us"),
-            "n",
         )
     )
 
 
-def _attach_cells(plays: DataFrame, cells: DataFrame, gap_us: int, by: Sequence[str]) -> DataFrame:
-    us = F.unix_micros("dt")
-    keyed = plays.withColumn("cell", us - F.pmod(us, F.lit(gap_us)))
-    attached = null_safe_join(keyed, cells.drop("n"), [*by, "cell"])
-    return attached.drop("cell").withColumns(
-        {
-            "ses_start": F.timestamp_micros("ses_start_us"),
-            "ses_end": F.timestamp_micros("ses_end_us"),
-            "ses_dur_us": F.col("ses_end_us") - F.col("ses_start_us"),
-        }
-    )
-
-
 def assign_sessions(
     plays: DataFrame, gap_us: int = DEFAULTS.session_gap_us, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -78,7 +63,17 @@ def assign_sessions(
     ``by=()`` treats all plays as one history; ``by=("listener",)`` numbers each listener's sessions from 0.
     """
     cells = materialise(session_cells(plays, gap_us, by), "cells")
-    return _attach_cells(plays, cells, gap_us, by).drop("ses_start_us", "ses_end_us", "before_us")
+    us = F.unix_micros("dt")
+    keyed = plays.withColumn("cell", us - F.pmod(us, F.lit(gap_us)))
+    start, end = F.col("ses_start_us"), F.col("ses_end_us")
+    return null_safe_join(keyed, cells, [*by, "cell"]).select(
+        *plays.columns,
+        "session",
+        F.timestamp_micros(start).alias("ses_start"),
+        F.timestamp_micros(end).alias("ses_end"),
+        (end - start).alias("ses_dur_us"),
+        "ses_len",
+    )
 
 
 def order_within_sessions(
@@ -95,54 +90,132 @@ def order_within_sessions(
     and ``prev_<column>`` (value of the previous play in the session, NULL on its first). Plays are ordered
     by ``(dt, *order)``, which should be unique.
     """
-    spark = plays.sparkSession
-    cells = materialise(session_cells(plays, gap_us, by), "cells")
+    if gap_us < 1:
+        raise ValueError("the gap must be at least one microsecond")
     if chunks is None:
-        total = cells.agg(F.sum("n")).first()[0] or 0
-        chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_PER_CHUNK))
-
-    keyed = _attach_cells(plays, cells, gap_us, by).withColumn("us", F.unix_micros("dt"))
-    piece = [*by, "session", "chunk"]
-    in_piece = Window.partitionBy(*piece).orderBy("us", *order)
-    numbered = (
-        keyed.repartitionByRange(chunks, *by, "us", *order)
+        chunks = CHUNKS_PER_PARTITION * int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the chunk of a row is fixed by writing it: two runs may sample other range bounds
+    rows = materialise(_number_chunks(plays, gap_us, by, previous, chunks, order), "ordered")
+    split = materialise(_split_histories(rows, gap_us, by, previous), "split")
+    edges = _edge_pieces(split, by)
+
+    group = [*by, "chunk"]
+    fixes = split.select(*group, "base", "head_break", "prev_last", *[f"carried_{c}" for c in previous])
+    joined = null_safe_join(rows, F.broadcast(fixes), group)
+    joined = null_safe_join(joined, F.broadcast(edges), [*group, "piece"])
+    continues = F.col("is_first") & (F.col("head_break") == 0)
+    start = F.coalesce("edge_start", "piece_start")
+    end = F.coalesce("edge_end", "piece_end")
+    return joined.select(
+        *plays.columns,
+        (F.col("piece") + F.coalesce("base", F.lit(0))).alias("session"),
+        F.timestamp_micros(start).alias("ses_start"),
+        F.timestamp_micros(end).alias("ses_end"),
+        (end - start).alias("ses_dur_us"),
+        F.coalesce("edge_len", "piece_len").alias("ses_len"),
+        (F.col("pos") + F.coalesce("offset", F.lit(0))).alias("n_within_ses"),
+        (F.col("us") - F.when(F.col("is_first"), F.col("prev_last")).otherwise(F.col("prev_us"))).alias("timediff_us"),
+        *[F.when(continues, F.col(f"carried_{c}")).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}") for c in previous],
+    )
+
+
+def _number_chunks(
+    plays: DataFrame, gap_us: int, by: Sequence[str], previous: Sequence[str], chunks: int, order: Sequence[str]
+) -> DataFrame:
+    """Cut each history into chunks and number the session pieces and positions inside each chunk."""
+    group = [*by, "chunk"]
+    in_group = Window.partitionBy(*group).orderBy("us", *order)
+    in_piece = Window.partitionBy(*group, "piece").orderBy("us", *order)
+    piece = Window.partitionBy(*group, "piece")
+    is_break = F.coalesce(F.col("us") - F.col("prev_us") > gap_us, F.lit(False)).cast("bigint")
+    return (
+        plays.withColumn("us", F.unix_micros("dt"))
+        .repartitionByRange(chunks, *by, "us", *order)
         .withColumn("chunk", F.spark_partition_id())
         .withColumns(
             {
-                "pos": F.row_number().over(in_piece) - 1,
-                "prev_us": F.lag("us").over(in_piece),
-                "is_last": F.lead(F.lit(True)).over(in_piece).isNull(),
+                "prev_us": F.lag("us").over(in_group),
+                "is_first": F.lag(F.lit(True)).over(in_group).isNull(),
+                "is_last": F.lead(F.lit(True)).over(in_group).isNull(),
+            }
+        )
+        .withColumn("piece", F.sum(is_break).over(in_group.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumns(
+            {
+                "pos": F.row_number().over(in_piece).cast("bigint") - 1,
                 **{f"prev_{c}": F.lag(c).over(in_piece) for c in previous},
+                "piece_start": F.min("us").over(piece),
+                "piece_end": F.max("us").over(piece),
+                "piece_len": F.count(F.lit(1)).over(piece),
             }
         )
     )
-    # the chunk of a row is fixed by writing it: two runs may sample other range bounds
-    rows = materialise(numbered, "ordered")
 
-    # last row of every piece that is not a whole session: at most two per chunk
-    pieces = rows.where(F.col("is_last") & (F.col("pos") + 1 < F.col("ses_len"))).select(
-        *piece, (F.col("pos") + 1).alias("n"), F.struct("us", *previous).alias("last")
+
+def _split_histories(rows: DataFrame, gap_us: int, by: Sequence[str], previous: Sequence[str]) -> DataFrame:
+    """One row per chunk of every history that spans several chunks: at most two per chunk.
+
+    ``base`` is added to the piece numbers of the chunk; ``head_break`` tells whether its first play begins a
+    session; ``prev_last`` and ``carried_*`` describe the play before it.
+    """
+    first = lambda c: F.max(F.when(F.col("is_first"), F.col(c)))
+    last = lambda c: F.max(F.when(F.col("is_last"), F.col(c)))
+    ends = (
+        rows.where(F.col("is_first") | F.col("is_last"))
+        .groupBy(*by, "chunk")
+        .agg(
+            first("us").alias("first_us"),
+            first("piece_end").alias("head_end"),
+            first("piece_len").alias("head_len"),
+            last("us").alias("last_us"),
+            last("piece").alias("last_piece"),
+            last("piece_start").alias("tail_start"),
+            last("piece_len").alias("tail_len"),
+            *[last(c).alias(f"last_{c}") for c in previous],
+        )
     )
-    along = Window.partitionBy(*by, "session").orderBy("chunk")
-    carry = pieces.select(
-        *piece,
-        F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("offset"),
-        F.lag("last").over(along).alias("carried"),
-    ).where(F.col("offset").isNotNull())
-
-    joined = null_safe_join(rows, F.broadcast(carry), piece)
-    continued = F.col("pos") == 0
-    prev_us = F.when(continued, F.coalesce(F.col("carried.us"), F.col("before_us"))).otherwise(F.col("prev_us"))
+    along = Window.partitionBy(*by).orderBy("chunk")
     return (
-        joined.withColumns(
+        ends.withColumns(
             {
-                "n_within_ses": (F.col("pos") + F.coalesce("offset", F.lit(0))).cast("bigint"),
-                "timediff_us": F.col("us") - prev_us,
-                **{
-                    f"prev_{c}": F.when(continued, F.col(f"carried.{c}")).otherwise(F.col(f"prev_{c}"))
-                    for c in previous
-                },
+                "n_chunks": F.count(F.lit(1)).over(Window.partitionBy(*by)),
+                "prev_last": F.lag("last_us").over(along),
+                **{f"carried_{c}": F.lag(f"last_{c}").over(along) for c in previous},
+                "pieces_before": F.sum("last_piece").over(along.rowsBetween(Window.unboundedPreceding, -1)),
             }
         )
-        .drop("us", "chunk", "pos", "prev_us", "is_last", "offset", "carried", "before_us", "ses_start_us", "ses_end_us")
+        .where(F.col("n_chunks") > 1)
+        .withColumn("head_break", F.coalesce(F.col("first_us") - F.col("prev_last") > gap_us, F.lit(False)).cast("bigint"))
+        .withColumn(
+            "base",
+            F.coalesce("pieces_before", F.lit(0)) + F.sum("head_break").over(along.rowsBetween(Window.unboundedPreceding, 0)),
+        )
+    )
+
+
+def _edge_pieces(split: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Bounds and lengths of the sessions at the ends of split chunks, and how much of each lies in earlier chunks."""
+
+    def piece(number, n, start, end):
+        return F.struct(
+            number.alias("piece"),
+            (F.col("base") + number).alias("session"),
+            F.col(n).alias("n"),
+            F.col(start).alias("start"),
+            F.col(end).alias("end"),
+        )
+
+    head = piece(F.lit(0).cast("bigint"), "head_len", "first_us", "head_end")
+    tail = piece(F.col("last_piece"), "tail_len", "tail_start", "last_us")
+    both = F.when(F.col("last_piece") > 0, F.array(head, tail)).otherwise(F.array(head))
+    whole = Window.partitionBy(*by, "session")
+    before = whole.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return split.select(*by, "chunk", F.inline(both)).select(
+        *by,
+        "chunk",
+        "piece",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
+        F.min("start").over(whole).alias("edge_start"),
+        F.max("end").over(whole).alias("edge_end"),
+        F.sum("n").over(whole).alias("edge_len"),
     )

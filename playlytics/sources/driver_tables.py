@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlytics.config import DEFAULT_COVER, configure
+from playlytics.sources.storage import materialise
 
 N_GROUPS = 10  # values of embeddings.label
 
@@ -22,15 +25,19 @@ class Inputs:
 
     def streams(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("bigint")
-        return self.read("events").select(
-            F.col("ts").cast("timestamp").alias("ts"),
-            F.concat(F.lit("app:track:"), k).alias("track_uri"),
-            F.concat(F.lit("song "), k).alias("track_name"),
-            F.col("event_type").alias("album_name"),
-            F.concat(F.lit("artist "), F.expr("cast(get_json_object(props, '$.k') as bigint) div 10")).alias("artist_name"),
-            F.lit("s").alias("source"),
-            F.col("event_id").alias("play_id"),
-            F.col("user_id").alias("listener"),
+        return (
+            self.read("events")
+            .withColumn("k", k)
+            .select(
+                F.col("ts").cast("timestamp").alias("ts"),
+                F.concat(F.lit("app:track:"), "k").alias("track_uri"),
+                F.concat(F.lit("song "), "k").alias("track_name"),
+                F.col("event_type").alias("album_name"),
+                F.expr("concat('artist ', k div 10)").alias("artist_name"),
+                F.lit("s").alias("source"),
+                F.col("event_id").alias("play_id"),
+                F.col("user_id").alias("listener"),
+            )
         )
 
     def scrobbles(self) -> DataFrame:
@@ -44,16 +51,19 @@ class Inputs:
             F.col("o_custkey").alias("listener"),
         )
 
-    def _matched_documents(self) -> DataFrame:
+    @cached_property
+    def _matches(self) -> DataFrame:
+        """Written once, as the match tables of a real history are stored tables."""
         rejected = (F.col("quality") == 0) | (F.col("toxic") == 1)
         docs = self.read("documents").select("doc_id").join(self.read("labels"), "doc_id", "left")
-        return docs.withColumn("g_id", F.when(F.coalesce(rejected, F.lit(False)), None).otherwise(F.col("doc_id")))
+        matched = F.when(F.coalesce(rejected, F.lit(False)), None).otherwise(F.col("doc_id"))
+        return materialise(docs.select("doc_id", matched.alias("g_id")), "matches")
 
     def stream_matches(self) -> DataFrame:
-        return self._matched_documents().select(F.col("doc_id").cast("string").alias("id"), "g_id")
+        return self._matches.select(F.col("doc_id").cast("string").alias("id"), "g_id")
 
     def scrobble_matches(self) -> DataFrame:
-        return self._matched_documents().select(
+        return self._matches.select(
             F.expr("concat('song ', doc_id)").alias("song"),
             F.expr("concat('artist ', doc_id div 10)").alias("artist"),
             "g_id",
