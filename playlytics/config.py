@@ -19,6 +19,9 @@ TRAITS_POSITIVE = ("Open to experience", "Organized", "Extraverted", "Agreeable"
 TRAITS_NEGATIVE = ("Closed to experience", "Messy", "Introverted", "Disagreeable", "Emotionally stable")
 TRAIT_COLUMNS = ("opn", "con", "ext", "agr", "neu")
 DEFAULT_COVER = "default_cover_image"
+BOOKKEEPING_PREFIX = "_dlt_"
+SEARCH_TASK = "search result"
+PROMPT = ("task: ", " | query: ")
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playlytics.config import PROMPT, SEARCH_TASK
 from playlytics.functions.vectors import normalise_rows
 
 WORD_BREAK = "[ \\t\\n\\r]+"
@@ -21,8 +22,9 @@ def uri_field(uri: Column, index: int = 2, separator: str = ":") -> Column:
     return F.get(F.split(uri, separator), index)
 
 
-def search_prompt(text: Column, task: str = "search result") -> Column:
-    return F.concat(F.lit(f"task: {task} | query: "), F.translate(text, "|", ""))
+def search_prompt(text: Column, task: str = SEARCH_TASK) -> Column:
+    before, between = PROMPT
+    return F.concat(F.lit(before + task + between), F.translate(text, "|", ""))
 
 
 def display_names(df: DataFrame) -> DataFrame:

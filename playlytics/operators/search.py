@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playlytics.config import DEFAULTS
+from playlytics.config import DEFAULTS, SEARCH_TASK
 from playlytics.functions.text import embed_texts, search_prompt
 from playlytics.operators.blocks import block_count, block_join, matrix, numbered_blocks
 from playlytics.sources.storage import materialise
@@ -134,7 +134,7 @@ def text_search(
     searches: DataFrame,
     vectors: DataFrame,
     n: int = DEFAULTS.n_search_results,
-    task: str = "search result",
+    task: str = SEARCH_TASK,
     width: int | None = None,
     embedder: Callable[[list[str]], np.ndarray] | None = None,
 ) -> DataFrame:

@@ -6,10 +6,13 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from playlytics.config import DEFAULT_COVER, configure
 from playlytics.sources.storage import materialise
 
+_schemas: dict[str, StructType] = {}
+
 N_GROUPS = 10  # values of embeddings.label
 
 
@@ -21,7 +24,10 @@ class Inputs:
         self.folder = folder
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _schemas:  # reading the footer is a job of its own
+            _schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[path]).parquet(path)
 
     def streams(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("bigint")

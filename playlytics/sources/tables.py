@@ -7,9 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlytics.config import MAX_CLUSTERS, TRAIT_COLUMNS
-
-BOOKKEEPING_PREFIX = "_dlt_"
+from playlytics.config import BOOKKEEPING_PREFIX, MAX_CLUSTERS, TRAIT_COLUMNS
 
 
 def quote_name(name: str) -> str:
