@@ -250,8 +250,9 @@ def oracles() -> dict[str, str]:
         "time_bins": f"WITH {EXPANDED} SELECT timebin_no, timebin, hour, count(*) AS n FROM expanded GROUP BY ALL",
         "month_filter": f"WITH {EXPANDED} SELECT source, play_id, year, month, day FROM expanded WHERE year = 2024 AND month = 1",
         "month_list": f"""WITH bounds AS (
-            SELECT date_trunc('month', max(t)) AS newest, date_trunc('month', min(t)) AS oldest
-            FROM (SELECT ts AS t FROM events UNION ALL SELECT o_orderdate FROM orders)),
+            SELECT date_trunc('month', max(l)) AS newest, date_trunc('month', min(l)) AS oldest
+            FROM (SELECT timezone('US/Eastern', timezone('UTC', t)) AS l
+                  FROM (SELECT ts AS t FROM events UNION ALL SELECT o_orderdate FROM orders))),
             months AS (SELECT unnest(generate_series(oldest, newest, INTERVAL 1 MONTH)) AS m FROM bounds)
             SELECT {day("m")} AS date, strftime(m, '%B %Y') AS label FROM months""",
         "plays_clustered": f"WITH {GLOBAL} SELECT source, play_id, g_id, cluster, year, month, timediff_us FROM sessions",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playlytics.config import DEFAULTS, MICROS_PER_DAY, TIME_BIN_LABELS, Settings
@@ -56,10 +56,11 @@ def filter_month(df: DataFrame, year: int | None = None, month: int | None = Non
     return df.where((F.col("year") == year) & (F.col("month") == month))
 
 
-def month_list(sessions: DataFrame) -> DataFrame:
-    """Every month from the last session's end back to the first session's start."""
-    bounds = sessions.agg(
-        F.trunc(F.max("ses_end"), "MM").alias("newest"), F.trunc(F.min("ses_start"), "MM").alias("oldest")
+def month_list(sessions: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Every local month from the last session's end back to the first session's start."""
+    bounds = sessions.agg(F.max("ses_end").alias("newest"), F.min("ses_start").alias("oldest"))
+    month = lambda c: F.trunc(F.from_utc_timestamp(c, settings.time_zone), "MM").alias(c)
+    months = bounds.select(month("newest"), month("oldest")).select(
+        F.explode(F.expr("sequence(newest, oldest, interval -1 month)")).alias("date")
     )
-    months = bounds.select(F.explode(F.expr("sequence(newest, oldest, interval -1 month)")).alias("date"))
     return months.select("date", F.date_format("date", "MMMM yyyy").alias("label"))

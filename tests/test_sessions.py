@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from playlytics.operators import sessions
 from playlytics.operators.sessions import assign_sessions, order_within_sessions, session_cells
 
 SCHEMA = "dt timestamp, source string, play_id long, listener long, cluster int"
@@ -94,12 +95,23 @@ def test_cells_hold_no_more_rows_than_elapsed_gaps(spark):
     assert session_cells(frame(spark, rows)).count() <= 3
 
 
-def test_no_pass_over_plays_in_one_task(spark):
-    """Only the table of cells may pass through a single partition."""
+@pytest.mark.parametrize("by", [(), ("listener",)])
+def test_no_pass_over_plays_in_one_task(spark, by):
     rows = [(START + timedelta(minutes=n), "s", n, 1, 0) for n in range(50)]
-    plan = order_within_sessions(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
-    assert "BroadcastHashJoin" in plan
+    chunked = sessions._number_chunks(frame(spark, rows), 1, by, ("cluster",), 4, ("source", "play_id"))
+    plan = chunked._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "rangepartitioning" in plan
+    plan = order_within_sessions(frame(spark, rows), by=by)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange rangepartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_corrections_are_bounded_by_chunks(spark):
+    rows = [(START + timedelta(minutes=n), "s", n, 0 if n % 3 else n, 0) for n in range(900)]
+    chunked = sessions._number_chunks(frame(spark, rows), 10**9, ("listener",), (), 8, ("source", "play_id"))
+    written = sessions.materialise(chunked, "chunks")
+    sizes = [r["count"] for r in written.groupBy("chunk").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 300  # the hot listener has 600 plays
+    assert sessions._split_histories(written, 10**9, ("listener",), ()).count() <= 16
 
 
 def test_invalid_gap(spark):
