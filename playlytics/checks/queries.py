@@ -235,7 +235,7 @@ SESSION_COLUMNS = (
 
 
 def _session_rows(i: Inputs, by: tuple[str, ...]) -> DataFrame:
-    rows = ordered(i, by=by).join(F.broadcast(labels(i)), "cluster", "left")
+    rows = ordered(i, by=by).join(labels(i), "cluster", "left")
     micros = [F.unix_micros(c).alias(c) for c in ("dt", "ses_start", "ses_end")]
     return rows.select(*by, *micros, *SESSION_COLUMNS)
 

@@ -65,14 +65,14 @@ def mean_centroids(vectors: DataFrame, song_clusters: DataFrame) -> DataFrame:
         ),
         "centroids",
     )
-    if centroids.count() > MAX_CLUSTERS:  # what follows broadcasts this table
+    if centroids.count() > MAX_CLUSTERS:
         raise ValueError(f"more than {MAX_CLUSTERS} clusters")
     return centroids
 
 
 def centroid_distances(songs: DataFrame, centroids: DataFrame) -> DataFrame:
     """Euclidean distance of each clustered song to its centroid. The centroids are at most 26 rows."""
-    joined = songs.drop("cluster_label").join(F.broadcast(centroids), "cluster")
+    joined = songs.drop("cluster_label").join(centroids, "cluster")
     return joined.select(
         "g_id", "cluster", "cluster_label", l2_distance(F.col("centroid"), F.col("embedding")).alias("centroid_dist")
     )

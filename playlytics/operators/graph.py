@@ -23,13 +23,13 @@ def graph_nodes(plays: DataFrame, labels: DataFrame, per: Sequence[str] = (), ed
     if edges is not None:
         ends = edges.select(*per, F.col("prev_cluster").alias("cluster"), F.lit(0).cast("bigint").alias("weight"))
         nodes = nodes.unionByName(ends).groupBy(*per, "cluster").agg(F.sum("weight").alias("weight"))
-    return nodes.join(F.broadcast(labels), "cluster", "left").select(*per, "cluster", F.col("cluster_label").alias("name"), "weight")
+    return nodes.join(labels, "cluster", "left").select(*per, "cluster", F.col("cluster_label").alias("name"), "weight")
 
 
 def network(nodes: DataFrame, edges: DataFrame, covers: DataFrame, per: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """What a drawing needs: nodes with label, title, weight and image, and edges with weight."""
     keys = [*per, "cluster"]
-    drawn = nodes.join(F.broadcast(covers.select(*keys, "image")), keys, "left").select(
+    drawn = nodes.join(covers.select(*keys, "image"), keys, "left").select(
         *keys,
         F.col("name").alias("label"),
         F.format_string("Cluster %s", "name").alias("title"),

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlytics.config import DEFAULTS
@@ -25,48 +25,61 @@ from playlytics.operators.joins import null_safe_join
 from playlytics.sources.storage import materialise
 
 ORDER = ("source", "play_id")
+MAX_CELLS = 5_000_000
 CHUNKS_PER_PARTITION = 4  # several chunks per shuffle partition even out their sizes
 
 
 def session_cells(plays: DataFrame, gap_us: int = DEFAULTS.session_gap_us, by: Sequence[str] = ()) -> DataFrame:
-    """One row per time cell of width ``gap`` with plays: its session and that session's bounds and length."""
+    """One row per history and time cell of width ``gap`` with plays: first and last play and their number."""
     if gap_us < 1:
         raise ValueError("the gap must be at least one microsecond")
-    us = F.unix_micros("dt")
-    cells = (
-        plays.select(*by, us.alias("us"))
-        .groupBy(*by, (F.col("us") - F.pmod("us", F.lit(gap_us))).alias("cell"))
+    return (
+        plays.select(*by, F.unix_micros("dt").alias("us"))
+        .groupBy(*by, _cell(F.col("us"), gap_us).alias("cell"))
         .agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n"))
     )
+
+
+def _cell(us: Column, gap_us: int) -> Column:
+    return us - F.pmod(us, F.lit(gap_us))
+
+
+def _number_cells(cells: DataFrame, gap_us: int, by: Sequence[str]) -> DataFrame:
+    """The session of every cell, and that session's bounds and length."""
     ordered = Window.partitionBy(*by).orderBy("cell")
     session = Window.partitionBy(*by, "session")
+    is_break = F.coalesce(F.col("first_us") - F.col("before_us") > gap_us, F.lit(False)).cast("bigint")
     return (
         cells.withColumn("before_us", F.lag("last_us").over(ordered))
-        .withColumn("breaks", F.coalesce(F.col("first_us") - F.col("before_us") > gap_us, F.lit(False)).cast("bigint"))
-        .withColumn("session", F.sum("breaks").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("session", F.sum(is_break).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
         .select(
             *by,
             "cell",
             "session",
-            F.min("first_us").over(session).alias("ses_start_us"),
-            F.max("last_us").over(session).alias("ses_end_us"),
+            F.min("first_us").over(session).alias("start_us"),
+            F.max("last_us").over(session).alias("end_us"),
             F.sum("n").over(session).alias("ses_len"),
         )
     )
 
 
 def assign_sessions(
-    plays: DataFrame, gap_us: int = DEFAULTS.session_gap_us, by: Sequence[str] = ()
+    plays: DataFrame, gap_us: int = DEFAULTS.session_gap_us, by: Sequence[str] = (), max_cells: int = MAX_CELLS
 ) -> DataFrame:
     """Add session number, start, end, duration and length to every play.
 
     ``by=()`` treats all plays as one history; ``by=("listener",)`` numbers each listener's sessions from 0.
+    A history has at most (elapsed time / gap) cells. Where that exceeds ``max_cells``, as with a tiny gap,
+    the plays are ordered in chunks instead.
     """
+    added = ("session", "ses_start", "ses_end", "ses_dur_us", "ses_len")
     cells = materialise(session_cells(plays, gap_us, by), "cells")
-    us = F.unix_micros("dt")
-    keyed = plays.withColumn("cell", us - F.pmod(us, F.lit(gap_us)))
-    start, end = F.col("ses_start_us"), F.col("ses_end_us")
-    return null_safe_join(keyed, cells, [*by, "cell"]).select(
+    first, last = cells.agg(F.min("cell"), F.max("cell")).first()
+    if first is not None and (last - first) // gap_us >= max_cells:
+        return order_within_sessions(plays, gap_us, by, previous=()).select(*plays.columns, *added)
+    keyed = plays.withColumn("cell", _cell(F.unix_micros("dt"), gap_us))
+    start, end = F.col("start_us"), F.col("end_us")
+    return null_safe_join(keyed, _number_cells(cells, gap_us, by), [*by, "cell"]).select(
         *plays.columns,
         "session",
         F.timestamp_micros(start).alias("ses_start"),

@@ -59,7 +59,7 @@ def cluster_stats(
     counts = ["freq", "n_plays", "n_unique_plays", "n_sessions"]
     return (
         found.join(wanted, group, "full")
-        .join(F.broadcast(centroids), "cluster", "left")
+        .join(centroids, "cluster", "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
         .select(*per, "cluster", "cluster_label", *counts, "top_song_id", "centroid")
     )
@@ -152,7 +152,7 @@ def cluster_month(plays: DataFrame, labels: DataFrame) -> DataFrame:
     shares = counts.withColumn(
         "cluster_freq", F.col("n_cluster_plays") / F.sum("n_cluster_plays").over(Window.partitionBy(*MONTH))
     )
-    return shares.join(F.broadcast(labels), "cluster").select(
+    return shares.join(labels, "cluster").select(
         *MONTH, month_start().alias("date"), "cluster", "cluster_label", "n_cluster_plays", "cluster_freq"
     )
 

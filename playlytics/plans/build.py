@@ -70,7 +70,7 @@ def build(
 
     ordered = sessions.order_within_sessions(clustered, settings.session_gap_us, by)
     storage.write_by_month(ordered.select(*EXPANDED, "cluster", "timediff_us"), f"{out}/plays_clustered")
-    labelled = ordered.join(labels.hint("broadcast"), "cluster", "left")
+    labelled = ordered.join(labels, "cluster", "left")
     storage.write_by_month(labelled.select(*SESSION), f"{out}/sessions")
     ses = read("sessions")
 

@@ -63,6 +63,20 @@ def test_equals_plain_window(spark, by, gap_us, chunks):
     assert as_set(order_within_sessions(df, gap_us, by, chunks=chunks)) == as_set(plain(df, gap_us, by))
 
 
+@pytest.mark.parametrize("by", [(), ("listener",)])
+@pytest.mark.parametrize("max_cells", [1, 10**9])
+def test_assignment_without_order_equals_the_ordered_one(spark, by, max_cells):
+    rng = random.Random(7)
+    rows = [
+        (START + timedelta(minutes=int(rng.expovariate(1 / 9000))), "s", n, rng.choice([0, 0, 1, None]), 0) for n in range(300)
+    ]
+    df = frame(spark, rows)
+    columns = ["play_id", "session", "ses_start", "ses_end", "ses_dur_us", "ses_len"]
+    got = assign_sessions(df, 3_600_000_000, by, max_cells=max_cells).select(*columns)
+    want = order_within_sessions(df, 3_600_000_000, by, chunks=3).select(*columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_boundary_is_strict(spark):
     rows = [
         (START, "s", 1, 1, 0),
