@@ -70,10 +70,11 @@ def cluster_pie(stats: DataFrame) -> DataFrame:
 
 
 def _indices() -> list[Column]:
-    """Diversity of shares ``p``: Gini-Simpson, Shannon (base 2) and inverse Berger-Parker."""
-    p = F.col("p")
+    """Diversity of counts ``n`` with shares ``p``: Gini-Simpson, Shannon (base 2) and inverse Berger-Parker."""
+    p, n = F.col("p"), F.col("n").cast("double")
     return [
-        (F.lit(1.0) - F.sum(p * p)).alias("gini"),
+        # squares of counts add up exactly, so the order of rows does not show in the last digit
+        (F.lit(1.0) - F.sum(n * n) / (F.sum(n) * F.sum(n))).alias("gini"),
         F.sum(-p * F.log2(p)).alias("shannon"),
         (F.lit(1.0) / F.max(p)).alias("berger"),
     ]
