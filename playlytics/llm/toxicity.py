@@ -1,19 +1,19 @@
 """Toxicity from a lexicon that is learned from labelled texts and matched with spelling errors.
 
-``fit`` counts, on at most about ``SAMPLE`` labelled rows, in how many toxic and other texts each word and each
-stem (the first 4 to 7 letters) occurs. A term enters the lexicon where such a surplus of toxic texts is
-implausible by chance among all terms seen (a Chernoff bound with Bonferroni correction) and nine in ten of its texts are
-toxic. A stem stays where it explains much more than any one of its words.
+``fit`` counts, on at most about ``SAMPLE`` labelled rows less near copies, in how many toxic and other texts each word and
+each stem (its first 4 to 10 letters) occurs. A term enters the lexicon where such a surplus of toxic texts is
+implausible by chance among all terms seen (a Chernoff bound with Bonferroni correction), the most surprising terms first. A
+stem that is accepted stands for its words, but for those that say clearly more; its weight is its log odds.
 
-``Trie.near`` intersects the lexicon's trie with the Levenshtein automaton of a word: one row of edit distances is the
-automaton's state, and a branch ends where every entry exceeds the allowed errors. How far a misspelling counts
-is learned, for each variant seen in training and, for unseen ones, for each term.
+``Trie.near`` intersects the trie of the words outside stems with the Levenshtein automaton of a word: one row of edit
+distances is the automaton's state, and a branch ends where every entry exceeds the allowed errors. How far a misspelling
+counts is learned, for each variant seen in training and, for unseen ones, for each term.
 
 A match counts less inside quotation marks, on a quoted line (``>``) or near a word of reporting; windows are
-``WINDOW`` words wide. A logistic model on the largest and the summed weight of a text turns them into a score.
+``WINDOW`` words wide. A logistic model on the largest and the summed weight and the length of a text turns them into a score.
 
 Null and empty texts get the score of a text without matches. Labels that are null take no part. Without labelled rows the
-score is 0.5 everywhere. Repeated rows count as often as they occur, and are scored one by one.
+score is 0.5 everywhere. Repeated and nearly equal rows count once in training, and are scored one by one.
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlytics.llm.common import materialise, with_text_columns
+from playlytics.llm.jaccard import sketches
 
 SAMPLE = 20_000  # labelled rows from which a model is fitted, in expectation
-STEMS = (4, 5, 6, 7)
-PRECISION = 0.9
-CHANCE = 0.01  # expected number of terms that enter the lexicon by chance
+STEMS = (4, 5, 6, 7, 8, 9, 10)
+CHANCE = 0.1  # expected number of terms that enter the lexicon by chance
+REFINED = 0.7  # log odds by which a longer term must exceed an accepted stem
 WINDOW = 8
 QUOTED = 0.25  # weight of a match that is quoted or reported
 _REPORTED = frozenset("said says called calls quote quoted wrote writes word term".split())
@@ -102,7 +103,8 @@ class Lexicon:
     unseen: dict[str, float] = field(default_factory=dict)  # by term: weight of other misspellings
 
     def __post_init__(self):
-        self.trie = Trie(self.words)
+        self.sizes = sorted({len(s) for s in self.stems}, reverse=True)
+        self.trie = Trie(w for w in self.words if not self.stem(w))
         self.cache: dict[str, float] = {}
 
     def __getstate__(self):
@@ -112,6 +114,10 @@ class Lexicon:
         self.__dict__.update(state)
         self.__post_init__()
 
+    def stem(self, word: str) -> str | None:
+        """The longest stem that the word begins with."""
+        return next((word[:k] for k in self.sizes if word[:k] in self.stems), None)
+
     def misspelled(self, word: str) -> tuple[str, int] | None:
         return self.trie.near(word) if len(word) > 3 and self.trie.may_match(word) else None
 
@@ -128,20 +134,20 @@ class Lexicon:
         exact = self.words.get(word)
         if exact is not None:
             return exact
-        for size in STEMS:
-            if word[:size] in self.stems:
-                return self.stems[word[:size]]
+        stem = self.stem(word)
+        if stem is not None:
+            return self.stems[stem]
         if word in self.variants:
             return self.variants[word]
         near = self.misspelled(word)
         return self.unseen.get(near[0], 0.0) / near[1] if near else 0.0
 
-    def features(self, text: str) -> tuple[float, float]:
-        """The largest weight of a match and the sum of all, each by its context."""
+    def features(self, text: str) -> tuple[float, float, float]:
+        """The largest weight of a match, the sum of all, each by its context, and the number of words."""
         tokens = _TOKEN.findall(text.lower())
         hits = {w: x for w in set(tokens) if (x := self.weight(w)) > 0}
         if not hits:
-            return 0.0, 0.0
+            return 0.0, 0.0, float(len(tokens))
         largest = total = 0.0
         places = [(m.start(), m.group().lower()) for m in _TOKEN.finditer(text)]
         words = [w for _, w in places]
@@ -155,7 +161,7 @@ class Lexicon:
                     weight *= QUOTED
                 largest = max(largest, weight)
                 total += weight
-        return largest, total
+        return largest, total, float(len(tokens))
 
 
 def quoted(before: str, after: str, text: str, at: int) -> bool:
@@ -170,16 +176,15 @@ def quoted(before: str, after: str, text: str, at: int) -> bool:
 @dataclass
 class Model:
     lexicon: Lexicon
-    coefficients: Sequence[float]  # constant, largest, log of the sum
+    coefficients: Sequence[float]  # constant, largest, log of the sum, log of the words
 
     def score(self, text: str | None) -> float:
-        largest, total = self.lexicon.features(text or "")
-        z = sum(c * x for c, x in zip(self.coefficients, design(largest, total), strict=True))
+        z = sum(c * x for c, x in zip(self.coefficients, design(*self.lexicon.features(text or "")), strict=True))
         return round(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), 6)
 
 
-def design(largest: float, total: float) -> tuple[float, float, float]:
-    return 1.0, min(largest, 8.0) / 4, math.log1p(total) / 2
+def design(largest: float, total: float, words: float) -> tuple[float, float, float, float]:
+    return 1.0, min(largest, 8.0) / 4, math.log1p(total) / 2, math.log1p(words) / 4 if total else 0.0
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -194,17 +199,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 def fit(rows: DataFrame) -> Model:
     """Learn a model from rows (text, toxic) of bounded number."""
-    rows = materialise(rows.select("text", "toxic"), "toxicity-sample")
+    near = with_text_columns(rows.select("text", "toxic"), "near binary", _near_keys).dropDuplicates(["near", "toxic"])
+    rows = materialise(near.select("text", "toxic"), "toxicity-sample")
     n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
     if not n_toxic or n_toxic == n:
         rate = 0.5 if not n else (n_toxic + 0.5) / (n + 1)
-        return Model(Lexicon(), (math.log(rate / (1 - rate)), 0.0, 0.0))
+        return Model(Lexicon(), (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0))
     counted = materialise(_term_counts(rows), "toxicity-terms")
     lexicon = _lexicon(counted, n, n_toxic)
     _learn_variants(lexicon, counted, n, n_toxic)
     return Model(lexicon, _logistic(_features(rows, lexicon)))
 
 
+def _near_keys(texts: list[bytes | None]) -> list[pa.Array]:
+    """Two minimum hashes of the shingles: near copies mostly share them, other texts do not."""
+    return [pa.array([k[:8] if k else b"" for k in sketches(texts)], pa.binary())]
+
+
 def _term_counts(rows: DataFrame) -> DataFrame:
     """(term, toxic texts, other texts); stems end in ``*``."""
 
@@ -235,30 +246,30 @@ def _lexicon(counted: DataFrame, n: int, n_toxic: int) -> Lexicon:
     share = F.least(F.col("toxic") / seen, F.lit(1 - 1e-9))
     surplus = seen * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
     limit = math.log(max(1, counted.count()) / CHANCE)
-    enough = F.col("toxic") >= F.greatest(F.lit(base), F.lit(PRECISION)) * seen
     # each term is in several of the at most SAMPLE toxic texts, so the lexicon is bounded
-    terms = {r["term"]: (r["toxic"], r["other"]) for r in counted.where((surplus > limit) & enough).collect()}
-    words = {t: c for t, c in terms.items() if not t.endswith("*")}
-    stems: dict[str, tuple[int, int]] = {}
-    for term in sorted((t[:-1] for t in terms if t.endswith("*")), key=lambda t: (len(t), t)):
-        most = max((c[0] for w, c in words.items() if w.startswith(term)), default=0)
-        if terms[term + "*"][0] > 1.5 * most and not any(term[:k] in stems for k in STEMS if k < len(term)):
-            stems[term] = terms[term + "*"]
-    words = {w: c for w, c in words.items() if not any(w[:k] in stems for k in STEMS)}
-    odds = lambda kept: {t: max(0.0, log_odds(*c, n, n_toxic)) for t, c in kept.items()}
-    return Lexicon(odds(words), odds(stems))
+    found = counted.withColumn("surplus", surplus).where((F.col("surplus") > limit) & (F.col("toxic") > base * seen)).collect()
+    words: dict[str, float] = {}
+    stems: dict[str, float] = {}
+    heads: set[str] = set()  # beginnings of accepted terms
+    for r in sorted(found, key=lambda r: (-r["surplus"], r["term"].endswith("*"), r["term"])):
+        term, odds = r["term"].rstrip("*"), log_odds(r["toxic"], r["other"], n, n_toxic)
+        inside = [stems[term[:k]] for k in STEMS if term[:k] in stems]
+        if (r["term"].endswith("*") and term in heads) or (inside and odds < max(inside) + REFINED) or odds <= 0:
+            continue
+        (stems if r["term"].endswith("*") else words)[term] = odds
+        heads |= {term[:k] for k in STEMS}
+    return Lexicon(words, stems)
 
 
 def _learn_variants(lexicon: Lexicon, counted: DataFrame, n: int, n_toxic: int) -> None:
     """Weights of misspellings: of a variant by its own counts with those of its term's variants as prior."""
-    stems = lexicon.stems
 
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
                 word = row["term"]
-                if word not in lexicon.words and not word.endswith("*") and not any(word[:k] in stems for k in STEMS):
+                if word not in lexicon.words and not word.endswith("*") and not lexicon.stem(word):
                     near = lexicon.misspelled(word)
                     if near:
                         rows.append({**row, "near": near[0], "errors": near[1]})
@@ -275,7 +286,8 @@ def _learn_variants(lexicon: Lexicon, counted: DataFrame, n: int, n_toxic: int)
     for term, weight in lexicon.words.items():
         toxic, other = pooled.get(term, (0, 0))
         # two toxic texts of prior belief: a misspelling means the term until clean texts speak against it
-        lexicon.unseen[term] = min(weight, max(0.0, log_odds(toxic + 2, other, n, n_toxic)))
+        odds = min(weight, log_odds(toxic + 2, other, n, n_toxic))
+        lexicon.unseen[term] = odds if odds > 1 else 0.0
     for r in found:
         if r["other"]:
             lexicon.variants[r["term"]] = max(0.0, min(lexicon.unseen[r["near"]], log_odds(r["toxic"], r["other"], n, n_toxic)))
@@ -284,30 +296,37 @@ def _learn_variants(lexicon: Lexicon, counted: DataFrame, n: int, n_toxic: int)
 
 
 def _features(rows: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """Counted cells (largest, sum, words, label, rows) of the sample."""
+
     def compute(texts: list[bytes | None]) -> list[pa.Array]:
-        both = [lexicon.features((t or b"").decode()) for t in texts]
-        return [pa.array([x[k] for x in both], pa.float64()) for k in (0, 1)]
+        found = [lexicon.features((t or b"").decode()) for t in texts]
+        return [pa.array([x[k] for x in found], pa.float64()) for k in range(3)]
 
-    found = with_text_columns(rows, "largest double, total double", compute).select("largest", "total", "toxic")
-    grouped = found.groupBy(F.round("largest", 1).alias("a"), F.round(F.log1p("total"), 1).alias("b"), "toxic").count()
-    return np.array([(r["a"], math.expm1(r["b"]), r["toxic"], r["count"]) for r in grouped.orderBy("a", "b", "toxic").collect()])
+    found = with_text_columns(rows, "largest double, total double, words double", compute)
+    cell = [F.round("largest", 1).alias("a"), F.round(F.log1p("total"), 1).alias("b"), F.round(F.log1p("words"), 0).alias("c")]
+    grouped = found.groupBy(*cell, "toxic").count().orderBy("a", "b", "c", "toxic")
+    return np.array([(r["a"], math.expm1(r["b"]), math.expm1(r["c"]), r["toxic"], r["count"]) for r in grouped.collect()])
 
 
 def _logistic(cells: np.ndarray, ridge: float = 0.01) -> tuple[float, ...]:
-    """Newton's method on the counted cells (largest, total, label, rows); deterministic, as the cells are sorted."""
-    x = np.array([design(a, b) for a, b in cells[:, :2]])
-    y, weight = cells[:, 2], cells[:, 3]
-    w = np.zeros(x.shape[1])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + ridge * w
-        curvature = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(curvature, gradient)
-        w = w - np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-8:
-            break
-    w[1:] = np.maximum(w[1:], 0)  # more evidence never lowers a score
-    return tuple(float(v) for v in w)
+    """Newton's method on the counted cells, sorted, so that reruns agree. More evidence never lowers a score."""
+    x = np.array([design(*cell) for cell in cells[:, :3]])
+    y, weight = cells[:, 3], cells[:, 4]
+    free = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            gradient = x.T @ (weight * (p - y)) + ridge * w
+            curvature = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+            step = np.zeros(len(w))
+            step[free] = np.linalg.solve(curvature[np.ix_(free, free)], gradient[free])
+            w -= np.clip(step, -4, 4)
+            if np.abs(step).max() < 1e-8:
+                break
+        if (w[1:3] >= 0).all():
+            return tuple(float(v) for v in w)
+        free[1 + int(np.argmin(w[1:3]))] = False  # leave out what would count against
 
 
 def score(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
