@@ -103,6 +103,8 @@ def with_text_columns(
         raise ValueError(f"the table already has columns named {sorted(clash)}")
     schema = StructType([*df.schema.fields, *new.fields])
     at = df.columns.index(text)
+    # the JVM fills a batch up to this size before it sends it, whatever the number of rows
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(RUN_BYTES))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

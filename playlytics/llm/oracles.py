@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from playlytics.llm import licenses, urls
 from playlytics.llm.sharding import SHARDS, SLOTS, fill
 
 _SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -82,4 +83,68 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
-ORACLES = {"op1_mixing": MIXING, "op2_sharding": SHARDING, "op9_decontamination": DECONTAMINATION}
+
+def _values(rows: list[tuple]) -> str:
+    show = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+    return ", ".join("(" + ", ".join(map(show, row)) + ")" for row in rows)
+
+
+_RULES = _values([(r, r.partition("/")[0], "/" + r.partition("/")[2], v) for r, v in urls.RULES])
+
+URL_FILTER = rf"""
+WITH rules(rule, rule_host, rule_path, verdict) AS (VALUES {_RULES}),
+terms(term, weight) AS (VALUES {_values(list(urls.VOCABULARY.items()))}),
+pages_read AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url,
+         translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM pages),
+parts AS (
+  SELECT *, regexp_extract(low, '^(?s:.*?)://([^/?#]*)', 1) AS host, regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages_read),
+fitting AS (
+  SELECT r, arg_min(struct_pack(rule := rule, verdict := verdict), (-length(rule), rule)) AS best
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY r),
+weights AS (
+  SELECT r, sum(weight)::DOUBLE AS weight FROM pages_read JOIN terms
+    ON regexp_matches(low, '(^|[^0-9a-z])' || term || '([^0-9a-z]|$)') GROUP BY r)
+SELECT page_id, host, path, best.rule AS rule,
+       coalesce(best.verdict, CASE WHEN coalesce(weight, 0) >= {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(weight, 0) AS weight
+FROM parts LEFT JOIN fitting USING (r) LEFT JOIN weights USING (r)
+"""
+
+_SHINGLES = _values(
+    [
+        (t, len(licenses.words_of(text)), len(licenses.template_shingles(text)), s)
+        for t, text in licenses.TEMPLATES.items()
+        for s in licenses.template_shingles(text)
+    ]
+)
+
+LICENSES = rf"""
+WITH known(template, n, total, shingle) AS (VALUES {_SHINGLES}),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+runs AS (
+  SELECT r, doc_id, len(w) - 4 AS size, i, array_to_string(w[i + 1 : i + 5], ' ') AS shingle
+  FROM (SELECT *, unnest(range(len(w) - 4)) AS i FROM docs WHERE len(w) >= 5)),
+places AS (
+  SELECT r, doc_id, size, i, template, n, total, shingle, greatest(1, n // 2) AS stride, n + greatest(1, n // 2) - 4 AS width
+  FROM runs JOIN known USING (shingle)),
+windows AS (  -- window k holds the runs from k * stride on; the last one reaches the end
+  SELECT *, unnest(range(greatest(0, (i - width + stride) // stride),
+                         least(i // stride, (greatest(0, size - width) + stride - 1) // stride) + 1)) AS k
+  FROM places),
+shares AS (
+  SELECT r, doc_id, template, k * stride AS first, count(DISTINCT shingle) / total AS containment
+  FROM windows WHERE i >= k * stride AND i < k * stride + width
+  GROUP BY r, doc_id, template, total, stride, k)
+SELECT doc_id, template, max(containment)::DOUBLE AS containment,
+       arg_min(first, (-containment, first))::BIGINT AS first_word
+FROM shares WHERE containment >= {licenses.CONTAINED} - 1e-9 GROUP BY doc_id, template
+"""
+
+ORACLES = {"op5_url_filter": URL_FILTER, "op8_licenses": LICENSES, "op1_mixing": MIXING, "op2_sharding": SHARDING, "op9_decontamination": DECONTAMINATION}

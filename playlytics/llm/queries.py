@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlytics.llm import decontamination, jaccard, mixing, sharding, toxicity
+from playlytics.llm import chat, decontamination, extraction, jaccard, licenses, mixing, neighbours, sharding, toxicity, urls
 from playlytics.llm.common import materialise, read
 from playlytics.llm.stages import TOXIC, held_out, toxicity_model
 
@@ -35,6 +35,21 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
 
 
+def op4_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = extraction.extract_text(read(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = urls.judge_urls(read(spark, folder, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.col("url_weight").alias("weight"))
+
+
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    found = neighbours.nearest(read(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score").orderBy("query_id", "rank")
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score(read(spark, folder, "documents").select("doc_id", "text"), toxicity_model(spark, folder))
     return scored.select(
@@ -42,6 +57,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.find_licenses(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     found = decontamination.find_benchmark(docs, read(spark, folder, "benchmark"))
@@ -56,6 +75,22 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(read(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_sharding, op3_jaccard_join, op7_toxicity, op9_decontamination)
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_sharding,
+        op3_jaccard_join,
+        op4_extraction,
+        op5_url_filter,
+        op6_neighbours,
+        op7_toxicity,
+        op8_licenses,
+        op9_decontamination,
+        op10_chat,
+    )
 }
