@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from playlytics.llm.common import materialise, sorted_groups
 
-TABLES = 24
-PROBES = 12
+TABLES = 16
+PROBES = 10
 HASH_ROWS = 1_000_000  # vectors for each further rotation in a hash
 BLOCK = 4096
 QUERY_BLOCK = 512

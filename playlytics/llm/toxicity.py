@@ -40,8 +40,8 @@ WINDOW = 8
 QUOTED = 0.25  # weight of a match that is quoted or reported
 _REPORTED = frozenset("said says called calls quote quoted wrote writes word term".split())
 _TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*@$](?=[^\W_]))*")
-_OPEN = re.compile("[\"“„«]")
-_CLOSE = re.compile("[\"“”»]")
+_MARK = re.compile("[\"“”„«»\n]")
+_QUOTED_LINE = re.compile(r"[ \t]*>")
 _CACHE = 200_000
 
 
@@ -151,28 +151,25 @@ class Lexicon:
         largest = total = 0.0
         places = [(m.start(), m.group().lower()) for m in _TOKEN.finditer(text)]
         words = [w for _, w in places]
+        marks = [m.start() for m in _MARK.finditer(text)]
+        passed, inside, line = 0, False, 0
         for i, (at, word) in enumerate(places):
             weight = hits.get(word)
-            if weight:
-                first, last = max(0, i - WINDOW), min(len(places) - 1, i + WINDOW)
-                before = text[places[first][0] : at]
-                after = text[at : places[last][0] + len(words[last])]
-                if quoted(before, after, text, at) or _REPORTED.intersection(words[first:i]):
-                    weight *= QUOTED
-                largest = max(largest, weight)
-                total += weight
+            if not weight:
+                continue
+            while passed < len(marks) and marks[passed] < at:  # quotation marks open and close in turn, within a line
+                inside = not inside and text[marks[passed]] != "\n"
+                line = marks[passed] + 1 if text[marks[passed]] == "\n" else line
+                passed += 1
+            end, last = places[min(len(places) - 1, i + WINDOW)]
+            closes = passed < len(marks) and text[marks[passed]] != "\n" and marks[passed] <= end + len(last)
+            if (inside and closes) or _QUOTED_LINE.match(text, line) or _REPORTED.intersection(words[max(0, i - WINDOW) : i]):
+                weight *= QUOTED
+            largest = max(largest, weight)
+            total += weight
         return largest, total, float(len(tokens))
 
 
-def quoted(before: str, after: str, text: str, at: int) -> bool:
-    """Whether a match at ``at`` is on a quoted line, or between quotation marks within its window and line."""
-    line = text.rfind("\n", 0, at) + 1
-    if text[line:at].lstrip().startswith(">"):
-        return True
-    before, after = before[before.rfind("\n") + 1 :], after.split("\n", 1)[0]
-    return len(_OPEN.findall(before)) % 2 == 1 and bool(_CLOSE.search(after))
-
-
 @dataclass
 class Model:
     lexicon: Lexicon

@@ -1,0 +1,103 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from playlytics.llm import mixing
+from playlytics.llm.queries import op1_mixing
+
+
+def fill(sizes, weights, share, repeats):
+    """Targets by sharing what is cut off again and again."""
+    total, targets, full = share * sum(sizes.values()), {}, {}
+    while True:
+        rest = {s: w for s, w in weights.items() if s not in full}
+        left = total - sum(full.values())
+        targets = {s: left * w / sum(rest.values()) for s, w in rest.items()}
+        over = {s: repeats * sizes[s] for s in rest if targets[s] > repeats * sizes[s]}
+        if not over:
+            return {**full, **targets}
+        full |= over
+
+
+def rows(spark):
+    data = [(i, " ".join(["w"] * (1 + i % 9)), f"s{'abcde'[min(4, i % 11)]}") for i in range(300)]
+    data += [(None, "x y", None), (300, None, None), (301, "", "sa"), (302, "big " * 4000, "sz"), (302, "big " * 4000, "sz")]
+    return spark.createDataFrame(data, "doc_id bigint, text string, source string")
+
+
+def test_targets_and_taken(spark):
+    docs = rows(spark)
+    counted = docs.select("doc_id", "source", mixing.word_count("text").alias("size"))
+    got = mixing.assign(counted).collect()
+    assert len(got) == docs.count()
+    sizes, taken, target = {}, {}, {}
+    for r in got:
+        words = sum(c["words"] for c in r["mix"]["copies"])
+        assert words <= 2 * r["size"]
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + words
+        target[r["source"]] = r["mix"]["target"]
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    want = fill(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, 1.5, 2.0)
+    for s in sizes:
+        assert target[s] == pytest.approx(want[s])
+        assert abs(taken[s] - target[s]) <= 1
+    assert sum(target.values()) == pytest.approx(1.5 * sum(sizes.values()))
+
+
+def test_positions_follow_the_schedule(spark):
+    docs = spark.range(2000).select("id", F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(3).cast("bigint").alias("size"))
+    knots = ((0.0, 0.0), (0.25, 2.0), (1.0, 1.0))
+    got = mixing.assign(docs, [knots], share=1.0, repeats=1.0).select(F.explode("mix.copies").alias("c")).select("c.*").collect()
+    positions = sorted(r["position"] for r in got)
+    assert len(positions) == 2000 and positions[0] >= 0 and positions[-1] < 1
+
+    def spent(t):
+        return t * t * 4 if t <= 0.25 else 0.25 + (t - 0.25) * 2 - (t - 0.25) ** 2 * (1 / 0.75) / 2
+
+    for k, t in enumerate(positions):
+        assert spent(t) / mixing.integral(knots) == pytest.approx(k / 2000, abs=1e-9)
+
+
+def test_mix_repeats_whole_rows_in_order(spark):
+    docs = rows(spark).withColumns({"position": F.lit(1), "n_chars": F.length("text")})
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    assert got.count() > docs.count()
+    detail = mixing.mix(docs, whole=False).collect()
+    places = [r["mix_position"] for r in detail]
+    assert places == sorted(places)
+    assert {r["mix_copy"] for r in detail} <= {0, 1}
+    again = mixing.mix(docs).collect()
+    assert [r["doc_id"] for r in got.collect()] == [r["doc_id"] for r in again]
+
+
+def test_empty_and_wordless(spark):
+    empty = spark.createDataFrame([], "doc_id bigint, text string, source string")
+    assert mixing.mix(empty).count() == 0
+    blank = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id bigint, text string, source string")
+    assert mixing.mix(blank).count() == 0
+
+
+@pytest.mark.parametrize("knots", [((0.0, 1.0),), ((0.0, 1.0), (0.5, 1.0)), ((0.0, -1.0), (1.0, 2.0)), ((0.0, 0.0), (1.0, 0.0))])
+def test_wrong_schedules(knots):
+    with pytest.raises(ValueError):
+        mixing.check_knots(knots)
+
+
+def test_weights_are_three_one_two():
+    assert [mixing.integral(k) for k in mixing.SCHEDULES] == [3.0, 1.0, 2.0]
+
+
+def test_query_is_stable_and_native(spark, folder):
+    frame = op1_mixing(spark, folder)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+    first = frame.collect()
+    assert first == op1_mixing(spark, folder).collect()
+    for source_size, target, taken in {(r["source_size"], r["target"]): 0 for r in first} and [
+        (k[0], k[1], sum(r["taken"] for r in first if (r["source_size"], r["target"]) == k)) for k in {(r["source_size"], r["target"]) for r in first}
+    ]:
+        n = math.ceil(sum(r["size"] for r in first if (r["source_size"], r["target"]) == (source_size, target)) / source_size)
+        assert abs(taken - n * target) <= n
