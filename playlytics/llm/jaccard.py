@@ -332,7 +332,8 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     bodies = bodies.join(wanted, same).select(wanted["text"], "group", "copies", "words")
     bodies = bodies.groupBy("text", "group", "copies").agg(F.first("words").alias("words"))  # repeated rows
     sets = materialise(_with_shingles(bodies).drop("words"), "sets")
-    extent = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    # written, as the sets would else be dealt by group for both the sums and the join, a large group to one task
+    extent = materialise(sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total")), "extent")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("total") / BLOCK_SHINGLES))
     dealt = in_blocks(sets.join(extent, "group"), "group", F.least(blocks, F.col("n")))
     dealt = dealt.select("group", "i", "j", "own", "text", "copies", "shingles")
