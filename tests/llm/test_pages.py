@@ -67,13 +67,14 @@ def test_repeats_against_brute_force():
 
 def test_pages_without_container_lose_what_their_host_repeats(spark):
     menu = " ".join(f"item{i}" for i in range(12))
-    html = lambda i: f"<div>{menu}</div><p>own words of page number {i}</p><div>legal text that all pages of the host carry below {i}</div>"
+    own = lambda i: " ".join(f"p{i}w{k}" for k in range(6))
+    html = lambda i: f"<div>{menu}</div><p>{own(i)}</p><div>legal text that all pages of the host carry below {i}</div>"
     rows = [(i, f"http://a.example/{i}", html(i)) for i in range(5)] + [(9, "http://b.example/", html(9)), (9, "http://b.example/", html(9))]
     rows += [(10, None, None), (None, "x", "<p>a</p>"), (11, "http://a.example/", "<article><p>" + menu + "</p></article>")]
     got = extraction.extract_text(spark.createDataFrame(rows, PAGES)).collect()
     assert len(got) == len(rows)
     texts = {(r["page_id"], r["url"]): r["text"] for r in got}
-    assert texts[(3, "http://a.example/3")].split("\n") == ["own words of page number 3", "3"]
+    assert texts[(3, "http://a.example/3")].split("\n") == [own(3), "3"]
     assert menu in texts[(9, "http://b.example/")] and texts[(11, "http://a.example/")] == menu
     assert texts[(10, None)] == "" and texts[(None, "x")] == "a"
 
@@ -81,9 +82,9 @@ def test_pages_without_container_lose_what_their_host_repeats(spark):
 def test_groups_of_a_host(spark, monkeypatch):
     monkeypatch.setattr(extraction, "GROUP", 10)
     menu = " ".join(f"item{i}" for i in range(12))
-    rows = [(i, "http://a.example/", f"<div>{menu}</div><p>own {i}</p>") for i in range(100)]
+    rows = [(i, "http://a.example/", f"<div>{menu}</div><p>own{i}</p>") for i in range(100)]
     got = extraction.extract_text(spark.createDataFrame(rows, PAGES)).collect()
-    assert sorted(r["text"] for r in got) == sorted(f"own {i}" for i in range(100))
+    assert sorted(r["text"] for r in got) == sorted(f"own{i}" for i in range(100))
 
 
 def test_extraction_query(spark, folder):
