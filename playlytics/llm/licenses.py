@@ -19,6 +19,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,14 +80,11 @@ def normalised(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _GAP, " "), F.lit(" "))
 
 
-def _hashes(shingles: Column) -> Column:
-    return F.transform(shingles, lambda s: F.xxhash64(s))
-
-
-def _least(hashes: Column, bands: int) -> Column:
+def _least(shingles: Column, bands: Column) -> Column:
     """The MinHash of each band."""
-    band = F.sequence(F.lit(0), F.lit(bands - 1))
-    return F.transform(band, lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
+    return F.transform(
+        F.sequence(F.lit(0), bands - 1), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b.cast("int"))))
+    )
 
 
 def _array(values: list[str]) -> Column:
@@ -103,29 +102,35 @@ def find_licenses(
     bands = {n: max(bands_needed(n, len(shingles[t]), contained, recall) for t in names) for n, names in sizes.items()}
     if sum(bands[n] * len(names) for n, names in sizes.items()) > MAX_BANDS:
         raise ValueError("too many templates for one broadcast table: scan in parts")
+    if not sizes:
+        raise ValueError("no templates")
     needles = sorted({f" {p} " for s in shingles.values() for p in probes(s, contained)})
-    may_hold = F.lit(False)
-    for needle in needles:
-        may_hold = may_hold | F.contains(F.col("norm"), F.lit(needle))
+
+    def holds_probe(text: Column) -> Column:
+        return reduce(or_, [F.contains(text, F.lit(needle)) for needle in needles])
+
     words = F.split(F.trim("norm"), " ")
     start = F.sequence(F.lit(1), F.size("words") - SHINGLE + 1)
     texts = (
         docs.select("doc_id", normalised(F.coalesce("text", F.lit(""))).alias("norm"))
-        .where(may_hold)
+        .where(F.exists(F.array("norm"), holds_probe))  # normalises a text once for all probes
         .select("doc_id", words.alias("words"))
         .where(F.size("words") >= SHINGLE)
-        .select("doc_id", _hashes(F.transform(start, lambda i: F.array_join(F.slice("words", i, SHINGLE), " "))).alias("shingles"))
+        .select("doc_id", F.transform(start, lambda i: F.array_join(F.slice("words", i, SHINGLE), " ")).alias("shingles"))
     )
-    found: DataFrame | None = None
-    known: DataFrame | None = None
-    for n, names in sizes.items():
-        parts = _windows(texts, n, sorted({s for t in names for s in shingles[t]}), bands[n])
-        table = _templates(docs, n, {t: shingles[t] for t in names}, bands[n])
-        found = parts if found is None else found.unionByName(parts)
-        known = table if known is None else known.unionByName(table)
-    if found is None or known is None:
-        raise ValueError("no templates")
-    agreeing = found.join(F.broadcast(known), ["size", "band", "least"])
+    places = F.concat(*[_places(n, sorted({s for t in names for s in shingles[t]}), bands[n]) for n, names in sizes.items()])
+    windows = texts.select("doc_id", "shingles", F.inline(places)).select(
+        "doc_id", "size", (F.col("start") - 1).alias("first"), "bands", F.slice("shingles", F.col("start"), F.col("width")).alias("window")
+    )
+    windows = windows.select("doc_id", "size", "first", "window", F.posexplode(_least(F.col("window"), F.col("bands"))).alias("band", "least"))
+    known = [
+        F.struct(F.lit(t).alias("template"), F.lit(n).alias("size"), F.lit(bands[n]).alias("bands"), _array(shingles[t]).alias("own"))
+        for n, names in sizes.items()
+        for t in names
+    ]
+    table = docs.sparkSession.range(1).select(F.inline(F.array(*known)))
+    table = table.select("template", "size", "own", F.posexplode(_least(F.col("own"), F.col("bands"))).alias("band", "least"))
+    agreeing = windows.join(F.broadcast(table), ["size", "band", "least"])
     share = F.size(F.array_intersect("own", "window")) / F.size("own")
     best = F.max(F.struct(F.col("containment"), (-F.col("first")).alias("before")))
     return (
@@ -137,24 +142,14 @@ def find_licenses(
     )
 
 
-def _windows(texts: DataFrame, n: int, wanted: list[str], bands: int) -> DataFrame:
-    """(doc_id, size, first, window, band, least) of the windows that hold a wanted shingle."""
+def _places(n: int, wanted: list[str], bands: int) -> Column:
+    """The windows (size, start, width, bands) for templates of n words that hold a wanted shingle."""
     width = window_words(n) - SHINGLE + 1
     last = F.greatest(F.lit(1), F.size("shingles") - width + 1)
     # the windows go on until one reaches the end of the text
     starts = F.transform(F.sequence(F.lit(0), F.ceil((last - 1) / stride(n)).cast("int")), lambda k: k * stride(n) + 1)
-    targets = _hashes(_array(wanted))
-    part = lambda s: F.slice("shingles", s, width)
-    rows = texts.where(F.arrays_overlap("shingles", targets)).select(
-        "doc_id", "shingles", F.explode(F.filter(starts, lambda s: F.arrays_overlap(part(s), targets))).alias("start")
+    held = F.filter(starts, lambda s: F.arrays_overlap(F.slice("shingles", s, width), _array(wanted)))
+    rows = F.transform(
+        held, lambda s: F.struct(F.lit(n).alias("size"), s.alias("start"), F.lit(width).alias("width"), F.lit(bands).alias("bands"))
     )
-    rows = rows.select("doc_id", (F.col("start") - 1).alias("first"), part(F.col("start")).alias("window"))
-    rows = rows.select("doc_id", F.lit(n).alias("size"), "first", "window", F.posexplode(_least(F.col("window"), bands)).alias("band", "least"))
-    return rows
-
-
-def _templates(docs: DataFrame, n: int, shingles: dict[str, list[str]], bands: int) -> DataFrame:
-    """(template, size, own, band, least): the bands of the templates of n words."""
-    rows = F.array(*[F.struct(F.lit(t).alias("template"), _hashes(_array(s)).alias("own")) for t, s in shingles.items()])
-    one = docs.sparkSession.range(1).select(F.inline(rows))
-    return one.select("template", F.lit(n).alias("size"), "own", F.posexplode(_least(F.col("own"), bands)).alias("band", "least"))
+    return F.when(F.arrays_overlap("shingles", _array(wanted)), rows).otherwise(F.array().cast("array<struct<size:int,start:int,width:int,bands:int>>"))
