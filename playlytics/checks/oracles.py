@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from playlytics.config import DEFAULT_COVER, MICROS_PER_DAY, TRAITS, TRAITS_NEGATIVE, TRAITS_POSITIVE, TRAITS_SHORT
-
-N_GROUPS = 10
+from playlytics.config import DEFAULT_COVER, DEFAULTS, MICROS_PER_DAY, TRAITS, TRAITS_NEGATIVE, TRAITS_POSITIVE, TRAITS_SHORT
 
 
 def r6(expression: str) -> str:
@@ -54,16 +52,16 @@ def sessions(by: str = "") -> str:
     part = f"PARTITION BY {by}" if by else ""
     also = f"{by}, " if by else ""
     return f"""{CLUSTERED}, gaps AS (
-  SELECT *, epoch_us(dt) - lag(epoch_us(dt)) OVER ({part} ORDER BY dt, source, play_id) AS timediff_us FROM clustered),
+  SELECT *, epoch_us(dt) - lag(epoch_us(dt)) OVER ({part} ORDER BY dt, source, play_id, g_id) AS timediff_us FROM clustered),
 numbered AS (
   SELECT *, CAST(sum(CASE WHEN timediff_us > {MICROS_PER_DAY} THEN 1 ELSE 0 END)
-    OVER ({part} ORDER BY dt, source, play_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM gaps),
+    OVER ({part} ORDER BY dt, source, play_id, g_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM gaps),
 sessions AS (
   SELECT *, lag(cluster) OVER inside AS prev_cluster, lag(g_id) OVER inside AS prev_g_id,
          row_number() OVER inside - 1 AS n_within_ses, min(dt) OVER whole AS ses_start, max(dt) OVER whole AS ses_end,
          count(*) OVER whole AS ses_len
   FROM numbered
-  WINDOW inside AS (PARTITION BY {also}session ORDER BY dt, source, play_id), whole AS (PARTITION BY {also}session))"""
+  WINDOW inside AS (PARTITION BY {also}session ORDER BY dt, source, play_id, g_id), whole AS (PARTITION BY {also}session))"""
 
 
 GLOBAL = sessions()
@@ -80,7 +78,7 @@ DISTANCES = f"""{MEANS}, distances AS (
          AS centroid_dist
   FROM embeddings e JOIN centroids c ON c.cluster = e.label)"""
 
-LABELS = f"labels_of AS (SELECT CAST(range AS INTEGER) AS cluster, chr(65 + CAST(range AS INTEGER)) AS cluster_label FROM range({N_GROUPS}))"
+LABELS = "labels_of AS (SELECT DISTINCT label AS cluster, chr(65 + label) AS cluster_label FROM embeddings)"
 
 SONGS = f"""songs AS (
   SELECT d.doc_id AS id, 'song ' || d.doc_id AS title, d.source AS artist, d.lang AS album,
@@ -93,7 +91,7 @@ images AS (
          AS image FROM songs)"""
 
 
-def cluster_stats(per: str = "") -> str:
+def cluster_stats(per: str = "", session: str = "session") -> str:
     also = f"{per}, " if per else ""
     part = f"PARTITION BY {per}" if per else ""
     periods = f"(SELECT DISTINCT {per} FROM sessions) CROSS JOIN" if per else ""
@@ -105,7 +103,7 @@ top AS (SELECT {also}cluster, g_id AS top_song_id FROM per_song
   QUALIFY row_number() OVER (PARTITION BY {also}cluster ORDER BY n DESC, g_id NULLS LAST) = 1),
 counted AS (
   SELECT {also}cluster, count(*) AS n_plays, count(DISTINCT g_id) + max(CASE WHEN g_id IS NULL THEN 1 ELSE 0 END)
-         AS n_unique_plays, count(DISTINCT session) AS n_sessions FROM sessions GROUP BY ALL),
+         AS n_unique_plays, count(DISTINCT {session}) AS n_sessions FROM sessions GROUP BY ALL),
 found AS (
   SELECT c.*, t.top_song_id, n_plays / sum(n_plays) OVER ({part.replace(per, ', '.join('c.' + k for k in per.split(', '))) if per else ''}) AS freq
   FROM counted c JOIN top t ON {" AND ".join(f"c.{k} IS NOT DISTINCT FROM t.{k}" for k in keys)}),
@@ -117,7 +115,6 @@ stats AS (
 
 
 def month_stats(per: str = "year, month") -> str:
-    keys = per.split(", ")
     using = f"USING ({per})"
     return f"""pieces AS (SELECT {per}, session, ses_len, count(*) AS n FROM sessions GROUP BY ALL),
 by_session AS (
@@ -129,9 +126,9 @@ by_cluster AS (SELECT {per}, cluster, count(*) AS n FROM sessions GROUP BY ALL),
 modes AS (
   SELECT {per}, cluster AS cluster_mode, CASE WHEN cluster IS NULL THEN 0 ELSE n END AS cluster_mode_count FROM by_cluster
   QUALIFY row_number() OVER (PARTITION BY {per} ORDER BY n DESC, cluster NULLS LAST) = 1),
-shares AS (SELECT {per}, n / sum(n) OVER (PARTITION BY {per}) AS p FROM by_cluster),
+shares AS (SELECT {per}, n, n / sum(n) OVER (PARTITION BY {per}) AS p FROM by_cluster),
 indices AS (
-  SELECT {per}, 1 - sum(p * p) AS gini, sum(-p * log2(p)) AS shannon, 1 / max(p) AS berger FROM shares GROUP BY ALL)
+  SELECT {per}, 1 - sum(n * n)::DOUBLE / (sum(n)::DOUBLE * sum(n)::DOUBLE) AS gini, sum(-p * log2(p)) AS shannon, 1 / max(p) AS berger FROM shares GROUP BY ALL)
 SELECT {day("make_date(year, month, 1)")} AS date, {per}, n_plays, n_sessions, n_sessions_in_month,
        {r6("ses_len_median")} AS ses_len_median, {r6("ses_len_median_sessions")} AS ses_len_median_sessions, ses_len_max,
        cluster_mode, cluster_mode_count, {r6("cluster_mode_count / n_plays")} AS cluster_mode_freq,
@@ -166,22 +163,22 @@ examples AS (
   SELECT {also}d.cluster, d.cluster_label, d.g_id AS id, d.centroid_dist, p.song, p.artist, p.album
   FROM ranked d JOIN expanded p ON p.g_id = d.g_id
   WHERE d.r <= 3 AND d.g_id IN (SELECT id FROM songs)
-  QUALIFY row_number() OVER (PARTITION BY {also}d.cluster, d.g_id ORDER BY dt, source, play_id) = 1),
+  QUALIFY row_number() OVER (PARTITION BY {also}d.cluster, d.g_id ORDER BY dt, source, play_id, song, artist, album) = 1),
 covers AS (
-  SELECT e.cluster, e.cluster_label, e.id, e.song, e.artist, coalesce(i.image, '') AS image
+  SELECT {also}e.cluster, e.cluster_label, e.id, e.song, e.artist, coalesce(i.image, '') AS image
   FROM examples e LEFT JOIN images i ON i.id = e.id
-  QUALIFY row_number() OVER (PARTITION BY e.cluster ORDER BY e.centroid_dist, e.id) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY {also}e.cluster ORDER BY e.centroid_dist, e.id) = 1)"""
 
 
 def product(a: str, b: str) -> str:
     return f"list_inner_product({a}, {b})"
 
 
-def hits(n: int) -> str:
+def hits(n: int, corpus: str = "embedding::DOUBLE[]") -> str:
     return f"""{MEANS}, queries AS (
   SELECT cluster AS search_num, list_transform(centroid, lambda x: x / sqrt(list_inner_product(centroid, centroid))) AS q
   FROM centroids), scored AS (
-  SELECT search_num, vec_id AS id, round({product("q", "embedding::DOUBLE[]")}, 12) AS dist FROM queries, embeddings),
+  SELECT search_num, vec_id AS id, round({product("q", corpus)}, 12) AS dist FROM queries, embeddings),
 hits AS (
   SELECT search_num, row_number() OVER (PARTITION BY search_num ORDER BY dist DESC, id) - 1 AS rank, id, dist
   FROM scored QUALIFY rank < {n})"""
@@ -201,7 +198,7 @@ def hashed(source: str, name: str) -> str:
   LEFT JOIN {name}_slots b ON b.id = g.id AND b.slot = g.pos + 64),
 {name}_norms AS (SELECT id, sqrt(sum(c * c)) AS norm FROM {name}_counts GROUP BY id),
 {name} AS (
-  SELECT c.id, list(c.c / nullif(n.norm, 0) ORDER BY c.pos) AS v
+  SELECT c.id, list(coalesce(c.c / nullif(n.norm, 0), 0) ORDER BY c.pos) AS v
   FROM {name}_counts c JOIN {name}_norms n ON n.id = c.id GROUP BY c.id)"""
 
 
@@ -213,13 +210,6 @@ hits AS (
   SELECT search_num, row_number() OVER (PARTITION BY search_num ORDER BY dist DESC, id) - 1 AS rank, id, dist
   FROM scored QUALIFY rank < 5)"""
 
-SIMILARITIES = f"""unit AS (
-  SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x:
-         x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
-sims AS (
-  SELECT a.id, CASE WHEN a.id = b.id THEN 0 ELSE round({product("a.v", "b.v")}, 12) END AS s FROM unit a, unit b),
-cut AS (SELECT quantile_cont(s, 0.2) AS threshold FROM sims)"""
-
 
 def oracles() -> dict[str, str]:
     month_per_play = "year, month"
@@ -265,13 +255,16 @@ def oracles() -> dict[str, str]:
         "cluster_stats_month": f"WITH {GLOBAL}, {MEANS}, {cluster_stats(month_per_play)} SELECT year, month, s.cluster, "
         f"c.cluster_label, {r6('freq')} AS freq, n_plays, n_unique_plays, n_sessions, top_song_id "
         "FROM stats s LEFT JOIN centroids c ON c.cluster = s.cluster",
+        "cluster_stats_listener": f"WITH {sessions('listener')}, {MEANS}, {cluster_stats(session='(listener, session)')} SELECT s.cluster, "
+        f"c.cluster_label, {r6('freq')} AS freq, n_plays, n_unique_plays, n_sessions, top_song_id "
+        "FROM stats s LEFT JOIN centroids c ON c.cluster = s.cluster",
         "cluster_pie": f"WITH {CLUSTERED}, counted AS (SELECT cluster, count(*) AS n_plays FROM clustered GROUP BY ALL) "
         "SELECT 'Cluster ' || chr(65 + cluster) AS label, n_plays FROM counted",
         "month_stats": f"WITH {GLOBAL}, {month_stats()}",
         "listener_month": f"WITH {sessions('listener')}, {month_stats('listener, year, month')}",
         "diversity_month": f"""WITH {CLUSTERED}, counts AS (SELECT year, month, cluster, count(*) AS n FROM clustered GROUP BY ALL),
-            shares AS (SELECT year, month, n / sum(n) OVER (PARTITION BY year, month) AS p FROM counts)
-            SELECT year, month, {r6("1 - sum(p * p)")} AS gini, {r6("sum(-p * log2(p))")} AS shannon,
+            shares AS (SELECT year, month, n, n / sum(n) OVER (PARTITION BY year, month) AS p FROM counts)
+            SELECT year, month, {r6("1 - sum(n * n)::DOUBLE / (sum(n)::DOUBLE * sum(n)::DOUBLE)")} AS gini, {r6("sum(-p * log2(p))")} AS shannon,
                    {r6("1 / max(p)")} AS berger FROM shares GROUP BY year, month""",
         "cluster_month": f"""WITH {CLUSTERED}, counts AS (SELECT year, month, cluster, count(*) AS n FROM clustered GROUP BY ALL),
             shares AS (SELECT *, n / sum(n) OVER (PARTITION BY year, month) AS f FROM counts)
@@ -298,6 +291,29 @@ def oracles() -> dict[str, str]:
             SELECT cluster, count(*) AS weight FROM clustered WHERE cluster IS NOT NULL GROUP BY ALL)
             SELECT n.cluster, chr(65 + n.cluster) AS label, 'Cluster ' || chr(65 + n.cluster) AS title,
                    coalesce(c.image, '') AS image, n.weight FROM counts n LEFT JOIN covers c ON c.cluster = n.cluster""",
+        "network_payload": f"""WITH {GLOBAL}, {SONGS}, {representatives()}
+            SELECT 'node' AS kind, NULL::INTEGER AS prev_cluster, n.cluster, chr(65 + n.cluster) AS label,
+                   'Cluster ' || chr(65 + n.cluster) AS title, coalesce(c.image, '') AS image, n.weight
+            FROM (SELECT cluster, count(*) AS weight FROM sessions WHERE cluster IS NOT NULL GROUP BY ALL) n
+            LEFT JOIN covers c ON c.cluster = n.cluster
+            UNION ALL SELECT 'edge', prev_cluster, cluster, NULL, NULL, NULL, count(*) FROM sessions
+            WHERE ses_len > 1 AND prev_cluster IS NOT NULL AND cluster IS NOT NULL GROUP BY prev_cluster, cluster""",
+        "network_payload_month": f"""WITH {GLOBAL}, {SONGS}, {representatives(month_per_play)}, ends AS (
+            SELECT year, month, cluster, 1 AS w FROM sessions WHERE cluster IS NOT NULL
+            UNION ALL SELECT DISTINCT year, month, prev_cluster, 0 FROM sessions
+            WHERE ses_len > 1 AND prev_cluster IS NOT NULL AND cluster IS NOT NULL)
+            SELECT n.year, n.month, 'node' AS kind, NULL::INTEGER AS prev_cluster, n.cluster, chr(65 + n.cluster) AS label,
+                   'Cluster ' || chr(65 + n.cluster) AS title, coalesce(c.image, '') AS image, n.weight
+            FROM (SELECT year, month, cluster, CAST(sum(w) AS BIGINT) AS weight FROM ends GROUP BY ALL) n
+            LEFT JOIN covers c ON c.cluster = n.cluster AND c.year = n.year AND c.month = n.month
+            UNION ALL SELECT year, month, 'edge', prev_cluster, cluster, NULL, NULL, NULL, count(*) FROM sessions
+            WHERE ses_len > 1 AND prev_cluster IS NOT NULL AND cluster IS NOT NULL GROUP BY year, month, prev_cluster, cluster""",
+        "cluster_cover_month": f"WITH {EXPANDED}, {SONGS}, {representatives(month_per_play)} SELECT year, month, cluster, cluster_label, "
+        "id, song, artist, image FROM covers",
+        "kmeans_fit": f"SELECT CAST(range AS INTEGER) AS cluster, chr(65 + CAST(range AS INTEGER)) AS cluster_label, TRUE AS is_mean, "
+        f"TRUE AS in_order FROM range({DEFAULTS.n_clusters})",
+        "kmeans_model_roundtrip": "SELECT vec_id AS id, TRUE AS same FROM embeddings",
+        "assign_clusters": "SELECT vec_id AS g_id, TRUE AS is_nearest, TRUE AS labelled FROM embeddings",
         "big5_month": f"WITH {EXPANDED}, {traits_sql()} SELECT {day('date')} AS date, {r6('logit')} AS logit, trait, trait_short, "
         f"trait_pos, trait_neg, trait_desc, {r6('score')} AS score, {r6('score_pct')} AS score_pct FROM monthly",
         "big5_overall": f"""WITH {EXPANDED}, {traits_sql()}, overall AS (
@@ -331,6 +347,8 @@ def oracles() -> dict[str, str]:
         "search_table": f"SELECT vec_id AS id, {vector_text('embedding')} AS embedding FROM embeddings",
         "vector_search": f"WITH {hits(5)} SELECT search_num, rank, id, {r6('dist')} AS dist FROM hits",
         "vector_search_blocks": f"WITH {hits(5)} SELECT search_num, rank, id, {r6('dist')} AS dist FROM hits",
+        "vector_search_zero": f"""WITH {hits(5, "CASE WHEN vec_id % 5 = 0 THEN list_transform(embedding, lambda x: 0.0::DOUBLE) "
+            "ELSE embedding::DOUBLE[] END")} SELECT search_num, rank, id, {r6('dist')} AS dist FROM hits""",
         "search_bounded": f"WITH {hits(20)} SELECT search_num, rank, id, {r6('dist')} AS dist FROM hits WHERE dist >= 0.3 AND dist <= 0.4",
         "embed_texts": f"WITH docs AS (SELECT doc_id AS id, text FROM documents), {hashed('docs', 'corpus')} "
         f"SELECT id, {vector_text('v')} AS embedding FROM corpus",
@@ -338,8 +356,4 @@ def oracles() -> dict[str, str]:
         "search_metadata": f"""WITH {TEXT_HITS}, {SONGS} SELECT b.text AS "Search", h.rank AS "Rank", s.title AS "Song",
             s.artist AS "Artist", s.album AS "Album", s.release_date AS "Release Date", s.url AS "Url"
             FROM hits h JOIN benchmark b ON b.item_id = h.search_num JOIN songs s ON s.id = h.id""",
-        "similarity_threshold": f"WITH {SIMILARITIES} SELECT (SELECT count(*) FROM embeddings) AS n_songs, {r6('threshold')} AS threshold FROM cut",
-        "similarity_graph": f"""WITH {SIMILARITIES}, weights AS (
-            SELECT id, CASE WHEN s >= threshold THEN greatest(s, 0) ELSE 0 END AS w FROM sims, cut)
-            SELECT id, {r6("sum(w)")} AS degree, count(*) FILTER (w > 0) AS n_neighbours FROM weights GROUP BY id""",
     }

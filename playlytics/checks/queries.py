@@ -20,12 +20,11 @@ from playlytics.operators import (
     search,
     sessions,
     songs,
-    spectral,
     stats,
     traits,
 )
 from playlytics.sources import storage, tables
-from playlytics.sources.driver_tables import N_GROUPS, Inputs
+from playlytics.sources.driver_tables import Inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,7 +81,7 @@ def ordered(i: Inputs, by: tuple[str, ...] = (), previous: tuple[str, ...] = ("c
 
 
 def labels(i: Inputs) -> DataFrame:
-    return tables.cluster_labels(i.spark, N_GROUPS)
+    return tables.cluster_labels(i.song_clusters())
 
 
 def centroid_table(i: Inputs) -> DataFrame:
@@ -121,10 +120,10 @@ def drop_prefixed(i):
 
 @query
 def param_query(i):
-    i.read("documents").createOrReplaceTempView("playlytics_documents")
-    sql = """SELECT source, count(*) AS n, sum(n_chars) AS total_chars FROM playlytics_documents
+    sql = """SELECT source, count(*) AS n, sum(n_chars) AS total_chars FROM parquet.`{path}`
              WHERE array_contains(:langs, lang) GROUP BY source"""
-    return tables.run_query(i.spark, sql, {"langs": F.array(F.lit("en"), F.lit("de"))})
+    path = f"{i.folder}/documents.parquet"
+    return tables.run_query(i.spark, sql.format(path=path), {"langs": F.array(F.lit("en"), F.lit("de"))})
 
 
 @query
@@ -167,17 +166,38 @@ def graph_roundtrip(i):
     return edges.join(ends, "cluster", "left")
 
 
+def _fitted(i: Inputs) -> tuple[DataFrame, DataFrame, DataFrame, object]:
+    """The vectors, their assignment and the centers of a fitted model, and the model."""
+    v = i.vectors()
+    model = clustering.fit_clusterer(v)
+    order = clustering.cluster_order(v, model)
+    return v, clustering.assign_clusters(v, model, order), clustering.model_centroids(v, model, order), model
+
+
 @query
 def kmeans_fit(i):
-    model = clustering.fit_clusterer(i.vectors())
-    return clustering.model_centroids(i.vectors(), model, clustering.cluster_order(i.vectors(), model))
+    """Each center of the model against the mean of its members, and the clusters in order of size."""
+    v, assigned, centers, _ = _fitted(i)
+    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    later = sizes.select((F.col("cluster") - 1).alias("cluster"), F.col("n").alias("n_next"))
+    means = clustering.mean_centroids(v, assigned.select("g_id", "cluster")).select("cluster", F.col("centroid").alias("mean"))
+    near = vectors.l2_distance(F.col("centroid"), F.col("mean")) < 0.01
+    return (
+        centers.join(means, "cluster", "left")
+        .join(sizes, "cluster", "left")
+        .join(later, "cluster", "left")
+        .select("cluster", "cluster_label", near.alias("is_mean"), (F.col("n") >= F.coalesce("n_next", F.lit(0))).alias("in_order"))
+    )
 
 
 @query
 def kmeans_model_roundtrip(i):
+    """Every song's cluster by the model that was saved and loaded again, against the fitted one."""
+    v, _, _, model = _fitted(i)
     path = storage.scratch_path(i.spark, "clusterer")
-    storage.save_clusterer(clustering.fit_clusterer(i.vectors()), path)
-    return clustering.raw_assignment(i.vectors(), storage.load_clusterer(path)).select("id", "model_cluster")
+    storage.save_clusterer(model, path)
+    again = clustering.raw_assignment(v, storage.load_clusterer(path)).select("id", F.col("model_cluster").alias("loaded"))
+    return clustering.raw_assignment(v, model).join(again, "id").select("id", (F.col("model_cluster") == F.col("loaded")).alias("same"))
 
 
 # --- plays and calendar ---
@@ -267,6 +287,13 @@ def cluster_stats_month(i):
     return _cluster_stats(i, MONTH).drop("centroid")
 
 
+@query
+def cluster_stats_listener(i):
+    """Statistics of all listeners together, each with a session numbering of their own."""
+    found = stats.cluster_stats(sessions.assign_sessions(clustered(i), by=("listener",)), centroid_table(i), by=("listener",))
+    return rounded(found, "freq").drop("centroid")
+
+
 @query
 def cluster_pie(i):
     return stats.cluster_pie(stats.cluster_stats(in_sessions(i), centroid_table(i)))
@@ -338,6 +365,36 @@ def network_nodes(i):
     return graph.network(nodes, nodes, songs.cluster_covers(examples, i.songs()))[0]
 
 
+def _drawing(nodes: DataFrame, edges: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes and edges in one result."""
+    node = nodes.select(*per, F.lit("node").alias("kind"), F.lit(None).cast("int").alias("prev_cluster"), "cluster", "label", "title", "image", "weight")
+    none = [F.lit(None).cast("string").alias(c) for c in ("label", "title", "image")]
+    return node.unionByName(edges.select(*per, F.lit("edge").alias("kind"), "prev_cluster", "cluster", *none, "weight"))
+
+
+@query
+def network_payload(i):
+    s = storage.materialise(ordered(i), "ordered")
+    examples = songs.representative_songs(distances(i), plays(i), i.songs())
+    return _drawing(*graph.network(graph.graph_nodes(s, labels(i)), graph.graph_edges(s), songs.cluster_covers(examples, i.songs())))
+
+
+@query
+def network_payload_month(i):
+    """The drawing of every month: covers are chosen among the songs played in it."""
+    s = storage.materialise(ordered(i), "ordered")
+    edges = graph.graph_edges(s, MONTH)
+    examples = songs.representative_songs(distances(i), expanded(i), i.songs(), per=MONTH)
+    covers = songs.cluster_covers(examples, i.songs(), MONTH)
+    return _drawing(*graph.network(graph.graph_nodes(s, labels(i), MONTH, edges), edges, covers, MONTH), MONTH)
+
+
+@query
+def cluster_cover_month(i):
+    examples = songs.representative_songs(distances(i), expanded(i), i.songs(), per=MONTH)
+    return songs.cluster_covers(examples, i.songs(), MONTH)
+
+
 def _big5(i: Inputs) -> DataFrame:
     return traits.big5_by_month(expanded(i), tables.trait_outputs(i.traits()))
 
@@ -374,9 +431,15 @@ def centroid_distance(i):
 
 @query
 def assign_clusters(i):
-    model = clustering.fit_clusterer(i.vectors())
-    found = clustering.assign_clusters(i.vectors(), model, clustering.cluster_order(i.vectors(), model))
-    return found.select("g_id", "cluster", "cluster_label")
+    """Every song's cluster against the center at the smallest distance, found without the model."""
+    _, assigned, centers, _ = _fitted(i)
+    listed = centers.agg(F.collect_list(F.struct("cluster", "centroid")).alias("centers"))  # one row per cluster
+    away = F.transform("centers", lambda c: F.struct(vectors.l2_distance(c["centroid"], F.col("embedding")).alias("d"), c["cluster"]))
+    own = F.element_at(F.filter("centers", lambda c: c["cluster"] == F.col("cluster")), 1)["centroid"]
+    # a tie may go to either center
+    nearest = vectors.l2_distance(own, F.col("embedding")) <= F.array_min(away)["d"] + 1e-9
+    labelled = F.col("cluster_label") == tables.cluster_letter(F.col("cluster"))
+    return assigned.withColumn("centers", listed.scalar()).select("g_id", nearest.alias("is_nearest"), labelled.alias("labelled"))
 
 
 @query
@@ -447,10 +510,17 @@ def vector_search(i):
 
 @query
 def vector_search_blocks(i):
-    """The same search with the block join that serves batches too large to broadcast."""
+    """The same search with the queries in several slices, as for batches too large for one broadcast."""
     return rounded(search.vector_search(searchable(i), centroid_queries(i), broadcast_bytes=2_048), "dist")
 
 
+@query
+def vector_search_zero(i):
+    """Search among vectors of which a fifth is zero: a zero vector scores 0 and displaces no better one."""
+    zero = F.when(F.col("id") % 5 == 0, F.transform("embedding", lambda x: F.lit(0).cast("float"))).otherwise(F.col("embedding"))
+    return rounded(search.vector_search(searchable(i).withColumn("embedding", zero), centroid_queries(i)), "dist")
+
+
 @query
 def search_bounded(i):
     return rounded(search.vector_search(searchable(i), centroid_queries(i), 20, min_dist=0.3, max_dist=0.4), "dist")
@@ -479,20 +549,3 @@ def text_search(i):
 def search_metadata(i):
     hits = search.text_search(_searches(i), _document_vectors(i), width=64)
     return songs.search_result_table(songs.song_metadata(hits, i.songs()))
-
-
-@query
-def similarity_threshold(i):
-    cut = spectral.SimilarityGraph(i.vectors())
-    counted = i.vectors().agg(F.count(F.lit(1)).alias("n_songs"))
-    return counted.withColumn("threshold", r6(F.lit(cut.threshold)))
-
-
-@query
-def similarity_graph(i):
-    return rounded(spectral.SimilarityGraph(i.vectors()).degrees().drop("row"), "degree")
-
-
-@query
-def spectral_clusters(i):
-    return spectral.spectral_clusters(i.vectors())

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
-MAX_CLUSTERS = 26  # clusters are named by letters
 MICROS_PER_SECOND = 1_000_000
 MICROS_PER_HOUR = 3_600 * MICROS_PER_SECOND
 MICROS_PER_DAY = 24 * MICROS_PER_HOUR

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from playlytics.config import PROMPT, SEARCH_TASK
-from playlytics.functions.vectors import normalise_rows
 
 WORD_BREAK = "[ \\t\\n\\r]+"
 
@@ -31,23 +33,36 @@ def display_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.replace("_", " ").title() for c in df.columns])
 
 
-def hashed_word_counts(df: DataFrame, text: str, output: str, width: int) -> DataFrame:
-    """Signed word counts hashed into ``width`` positions.
+_SPACE = re.compile(WORD_BREAK)
+_slots: dict[tuple[str, int], int] = {}
 
-    The first 8 hexadecimal digits of a word's MD5 choose its position and sign.
-    Counting runs inside one row on the JVM, so texts of any length need no shuffle.
+
+def hashed_word_counts(texts: Iterable[str | None], width: int) -> np.ndarray:
+    """Signed word counts hashed into ``width`` positions, one row per text; a NULL text is a row of NaN.
+
+    The first 8 hexadecimal digits of a word's MD5 choose its position and sign: of the 2 ``width`` slots the
+    first half counts for a position, the second half against it.
     """
-    slots = 2 * width
-    number = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint")
-    words = F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
-    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(slots)], "_slots", "_counts")
-    counted = counter.transform(
-        df.withColumn("_slots", F.transform(words, lambda w: F.pmod(number(w), F.lit(slots)).cast("string")))
-    )
-    counts = vector_to_array(F.col("_counts"))
-    # the first half of the slots counts for a position, the second half against it
-    signed = F.zip_with(F.slice(counts, 1, width), F.slice(counts, width + 1, width), lambda a, b: a - b)
-    return counted.withColumn(output, signed).drop("_slots", "_counts")
+    rows = []
+    for text in texts:
+        if text is None:
+            rows.append(np.full(width, np.nan))
+            continue
+        counts = np.zeros(2 * width)
+        for word, n in Counter(_SPACE.split(text)).items():
+            if word:
+                counts[_slot(word, 2 * width)] += n
+        rows.append(counts[:width] - counts[width:])
+    return np.array(rows).reshape(-1, width)
+
+
+def _slot(word: str, slots: int) -> int:
+    found = _slots.get((word, slots))
+    if found is None:
+        if len(_slots) >= 500_000:
+            _slots.clear()
+        found = _slots[(word, slots)] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % slots
+    return found
 
 
 def embed_texts(
@@ -57,18 +72,21 @@ def embed_texts(
     width: int = 64,
     embedder: Callable[[list[str]], np.ndarray] | None = None,
 ) -> DataFrame:
-    """Unit vectors of whole texts.
+    """Unit vectors of whole texts; a vector without direction, as of a text without words, is all zeros.
 
     ``embedder`` maps a batch of texts to a matrix and runs in Arrow batches on the executors; without one
     the hashed word counts are used.
     """
-    if embedder is None:
-        return normalise_rows(hashed_word_counts(df, text, output, width), output)
+    embed = embedder or partial(hashed_word_counts, width=width)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(ArrayType(DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            matrix = np.asarray(embedder(batch.tolist()), dtype=float)
-            yield pd.Series(list(matrix))
-
-    return normalise_rows(df.withColumn(output, run(F.col(text))), output)
+            for first in range(0, len(batch), 1024):  # texts can be long
+                part = batch.iloc[first : first + 1024]
+                vectors = np.asarray(embed(part.tolist()), dtype=float).reshape(len(part), -1)
+                norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+                unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms != 0)
+                yield pd.Series([None if np.isnan(v).any() else v for v in unit], index=part.index)
+
+    return df.withColumn(output, run(F.col(text)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +42,3 @@ def normalise_columns(df: DataFrame, column: str = "embedding") -> DataFrame:
     scaled = F.zip_with(column, "_norms", lambda x, n: F.try_divide(x.cast("double"), n))
     return df.withColumn("_norms", norms.scalar()).withColumn(column, scaled).drop("_norms")
 
-
-def columns_like(df: DataFrame, prefix: str = "", suffix: str = "") -> Sequence[str]:
-    return [c for c in df.columns if c.startswith(prefix) and c.endswith(suffix)]

@@ -8,7 +8,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlytics.config import DEFAULTS, MAX_CLUSTERS
+from playlytics.config import DEFAULTS
 from playlytics.functions.vectors import l2_distance
 from playlytics.sources.storage import materialise
 from playlytics.sources.tables import cluster_letter
@@ -22,8 +22,6 @@ def fit_clusterer(
     vectors: DataFrame, k: int = DEFAULTS.n_clusters, seed: int = DEFAULTS.seed, max_iter: int = 300, tol: float = 1e-4
 ) -> KMeansModel:
     """k-means over ``embedding``; the driver holds the k centers only."""
-    if k > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
     return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol).fit(_features(vectors).select("features"))
 
 
@@ -59,19 +57,12 @@ def mean_centroids(vectors: DataFrame, song_clusters: DataFrame) -> DataFrame:
     """Centroids of a given assignment: element-wise means, summed on the JVM before the shuffle."""
     members = _features(vectors).join(song_clusters.withColumnRenamed("g_id", "id"), "id")
     means = members.groupBy("cluster").agg(Summarizer.mean(F.col("features")).alias("mean"))
-    centroids = materialise(
-        means.select(
-            "cluster", cluster_letter(F.col("cluster")).alias("cluster_label"), vector_to_array("mean").alias("centroid")
-        ),
-        "centroids",
-    )
-    if centroids.count() > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    return centroids
+    label = cluster_letter(F.col("cluster")).alias("cluster_label")
+    return materialise(means.select("cluster", label, vector_to_array("mean").alias("centroid")), "centroids")
 
 
 def centroid_distances(songs: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Euclidean distance of each clustered song to its centroid. The centroids are at most 26 rows."""
+    """Euclidean distance of each clustered song to its centroid."""
     joined = songs.drop("cluster_label").join(centroids, "cluster")
     return joined.select(
         "g_id", "cluster", "cluster_label", l2_distance(F.col("centroid"), F.col("embedding")).alias("centroid_dist")

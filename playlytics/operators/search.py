@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,10 @@ from pyspark.sql import functions as F
 
 from playlytics.config import DEFAULTS, SEARCH_TASK
 from playlytics.functions.text import embed_texts, search_prompt
-from playlytics.operators.blocks import block_count, block_join, matrix, numbered_blocks
 from playlytics.sources.storage import materialise
 from playlytics.sources.tables import fixed_width_vectors, vector_width
 
-BROADCAST_QUERY_BYTES = 32 << 20
-CORPUS_BLOCK_ROWS = 16_384
+BROADCAST_QUERY_BYTES = 32 << 20  # of the queries that go to all tasks at a time
 QUERY_BLOCK_ROWS = 1_024
 SCORE_DIGITS = 12  # products are compared at this precision, so that copies of a song tie exactly
 HITS = "search_num long, id long, dist double"
@@ -38,10 +37,11 @@ class _Best:
         """``scores`` holds one column per query, beginning with query ``first``."""
         for q in range(first, first + scores.shape[1]):
             column = scores[:, q - first]
+            column = np.where(np.isnan(column), -np.inf, column)  # a vector with missing elements is no hit
             floor = self.scores[q][-1] if len(self.scores[q]) == self.n else -np.inf
             if len(column) > self.n:
                 floor = max(floor, np.partition(column, -self.n)[-self.n])
-            keep = column >= floor
+            keep = (column >= floor) & (column > -np.inf)
             if not keep.any():
                 continue
             all_ids = np.concatenate([self.ids[q], ids[keep]])
@@ -58,12 +58,19 @@ class _Best:
         ]
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list column as a dense matrix, without a copy where Arrow allows it; missing elements are NaN."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return values.reshape(len(column), -1)
+
+
 def _scores(corpus: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return np.round(corpus @ queries.T, SCORE_DIGITS)
 
 
-def _broadcast_candidates(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    rows = queries.collect()  # size checked by the caller
+def _candidates(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """Every task's best ``n`` of its vectors for each of the queries, which are broadcast."""
+    rows = queries.collect()  # a slice of bounded size
     numbers = np.array([r["search_num"] for r in rows], dtype=np.int64)
     shared = vectors.sparkSession.sparkContext.broadcast((numbers, np.array([r["embedding"] for r in rows], dtype=float)))
 
@@ -73,7 +80,7 @@ def _broadcast_candidates(vectors: DataFrame, queries: DataFrame, n: int) -> Dat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, corpus = batch.column("id").to_numpy(), matrix(batch.column("embedding"))
+            ids, corpus = batch.column("id").to_numpy(), _matrix(batch.column("embedding"))
             for first in range(0, len(wanted), QUERY_BLOCK_ROWS):
                 best.add(ids, _scores(corpus, wanted[first : first + QUERY_BLOCK_ROWS]), first)
         yield pa.RecordBatch.from_arrays(best.columns(numbers), names=["search_num", "id", "dist"])
@@ -81,23 +88,9 @@ def _broadcast_candidates(vectors: DataFrame, queries: DataFrame, n: int) -> Dat
     return vectors.mapInArrow(scan, HITS)
 
 
-def _block_candidates(vectors: DataFrame, queries: DataFrame, n_queries: int, n: int) -> DataFrame:
-    stored = materialise(vectors, "search_table")
-    query_blocks = block_count(n_queries, QUERY_BLOCK_ROWS)
-    corpus_blocks = block_count(stored.count(), CORPUS_BLOCK_ROWS)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["search_num", "id", "dist"]
-        numbers = left.column("search_num").to_numpy()
-        best = _Best(n, len(numbers))
-        if left.num_rows and right.num_rows:
-            scores = _scores(matrix(right.column("embedding")), matrix(left.column("embedding")))
-            best.add(right.column("id").to_numpy(), scores)
-        return pa.Table.from_arrays(best.columns(numbers), names=names)
-
-    return block_join(
-        numbered_blocks(queries, query_blocks), query_blocks, numbered_blocks(stored, corpus_blocks), corpus_blocks, meet, HITS
-    )
+def _best_of_tasks(candidates: DataFrame, n: int) -> DataFrame:
+    ranked = Window.partitionBy("search_num").orderBy(F.desc("dist"), "id")
+    return candidates.withColumn("rank", F.row_number().over(ranked) - 1).where(F.col("rank") < n)
 
 
 def vector_search(
@@ -110,19 +103,21 @@ def vector_search(
 ) -> DataFrame:
     """The ``n`` vectors with the largest inner product for each query: (search_num, rank, id, dist).
 
-    ``vectors`` (id, embedding) are scanned once. Queries (search_num, embedding) that fit ``broadcast_bytes``
-    go to every task; a larger batch meets the vectors block by block. Each task returns its own best ``n``.
-    Equal scores rank by id. The bounds apply after the best ``n`` are chosen.
+    ``vectors`` (id, embedding) never move. Queries (search_num, embedding) go to every task, in slices of at most
+    about ``broadcast_bytes``; each slice is one scan, and its hits are written before the next one begins. Each task
+    returns its own best ``n``. Equal scores rank by id. A zero vector scores 0; one with missing elements is no
+    hit. The bounds apply after the best ``n`` are chosen.
     """
     stored = materialise(queries.select(F.col("search_num").cast("long"), F.col("embedding").cast("array<double>")), "queries")
     n_queries, width = stored.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     corpus = vectors.select(F.col("id").cast("long"), "embedding").where(F.col("embedding").isNotNull())
-    if n_queries * (width or 1) * 8 <= broadcast_bytes:
-        candidates = _broadcast_candidates(corpus, stored, n)
+    slices = max(1, -(-n_queries * (width or 1) * 8 // broadcast_bytes))
+    if slices == 1:
+        hits = _best_of_tasks(_candidates(corpus, stored, n), n)
     else:
-        candidates = _block_candidates(corpus, stored, n_queries, n)
-    ranked = Window.partitionBy("search_num").orderBy(F.desc("dist"), "id")
-    hits = candidates.withColumn("rank", F.row_number().over(ranked) - 1).where(F.col("rank") < n)
+        part = F.pmod(F.xxhash64("search_num"), F.lit(slices))
+        found = [materialise(_best_of_tasks(_candidates(corpus, stored.where(part == k), n), n), "hits") for k in range(slices)]
+        hits = reduce(DataFrame.unionByName, found)
     if min_dist is not None:
         hits = hits.where(F.col("dist") >= min_dist)
     if max_dist is not None:

@@ -4,13 +4,12 @@ Neither the whole history nor a hot listener ever reaches one task:
 
 ``assign_sessions`` needs no order of the plays. Plays less than one gap apart in the same time cell (cell
 width = gap) cannot be separated by a break, so breaks lie between cells only. Plays are pre-aggregated to
-(listener, cell) and sessions are numbered on that table, which has at most one row per listener and gap of
-elapsed time, however many plays there are.
+(listener, cell), which has at most one row per listener and gap of elapsed time, and the cells are numbered.
 
-``order_within_sessions`` needs the order. Plays are range-partitioned on the whole sort key into chunks of
-equal size (a hot instant, listener or session spreads over many chunks) and numbered inside their chunk. A
-chunk boundary cuts at most one history, so at most two chunk ends per chunk need correcting, and those few
-rows are broadcast.
+``order_within_sessions`` numbers the plays themselves. Cells and plays are numbered alike: the written rows are
+range-partitioned on the whole sort key into chunks of about ``CHUNK_ROWS`` (a hot instant, listener or session
+spreads over many chunks) and numbered inside their chunk. A chunk boundary cuts at most one history, so at most
+two chunk ends per chunk need correcting, and those few rows are broadcast.
 """
 
 from __future__ import annotations
@@ -24,9 +23,8 @@ from playlytics.config import DEFAULTS
 from playlytics.operators.joins import null_safe_join
 from playlytics.sources.storage import materialise
 
-ORDER = ("source", "play_id")
-MAX_CELLS = 5_000_000
-CHUNKS_PER_PARTITION = 4  # several chunks per shuffle partition even out their sizes
+ORDER = ("source", "play_id", "g_id")  # those that the plays have; with ``dt`` a total order
+CHUNK_ROWS = 250_000
 
 
 def session_cells(plays: DataFrame, gap_us: int = DEFAULTS.session_gap_us, by: Sequence[str] = ()) -> DataFrame:
@@ -44,49 +42,28 @@ def _cell(us: Column, gap_us: int) -> Column:
     return us - F.pmod(us, F.lit(gap_us))
 
 
-def _number_cells(cells: DataFrame, gap_us: int, by: Sequence[str]) -> DataFrame:
-    """The session of every cell, and that session's bounds and length."""
-    ordered = Window.partitionBy(*by).orderBy("cell")
-    session = Window.partitionBy(*by, "session")
-    is_break = F.coalesce(F.col("first_us") - F.col("before_us") > gap_us, F.lit(False)).cast("bigint")
-    return (
-        cells.withColumn("before_us", F.lag("last_us").over(ordered))
-        .withColumn("session", F.sum(is_break).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .select(
-            *by,
-            "cell",
-            "session",
-            F.min("first_us").over(session).alias("start_us"),
-            F.max("last_us").over(session).alias("end_us"),
-            F.sum("n").over(session).alias("ses_len"),
-        )
-    )
-
-
 def assign_sessions(
-    plays: DataFrame, gap_us: int = DEFAULTS.session_gap_us, by: Sequence[str] = (), max_cells: int = MAX_CELLS
+    plays: DataFrame, gap_us: int = DEFAULTS.session_gap_us, by: Sequence[str] = (), chunks: int | None = None
 ) -> DataFrame:
     """Add session number, start, end, duration and length to every play.
 
     ``by=()`` treats all plays as one history; ``by=("listener",)`` numbers each listener's sessions from 0.
-    A history has at most (elapsed time / gap) cells. Where that exceeds ``max_cells``, as with a tiny gap,
-    the plays are ordered in chunks instead.
     """
-    added = ("session", "ses_start", "ses_end", "ses_dur_us", "ses_len")
     cells = materialise(session_cells(plays, gap_us, by), "cells")
-    first, last = cells.agg(F.min("cell"), F.max("cell")).first()
-    if first is not None and (last - first) // gap_us >= max_cells:
-        return order_within_sessions(plays, gap_us, by, previous=()).select(*plays.columns, *added)
+    numbered = _number(cells, gap_us, by, (), ("cell",), chunks).select(*by, "cell", *_session_columns())
     keyed = plays.withColumn("cell", _cell(F.unix_micros("dt"), gap_us))
-    start, end = F.col("start_us"), F.col("end_us")
-    return null_safe_join(keyed, _number_cells(cells, gap_us, by), [*by, "cell"]).select(
-        *plays.columns,
-        "session",
+    return null_safe_join(keyed, numbered, [*by, "cell"]).drop("cell")
+
+
+def _session_columns() -> list[Column]:
+    start, end = F.coalesce("edge_start", "piece_start"), F.coalesce("edge_end", "piece_end")
+    return [
+        (F.col("piece") + F.coalesce("base", F.lit(0))).alias("session"),
         F.timestamp_micros(start).alias("ses_start"),
         F.timestamp_micros(end).alias("ses_end"),
         (end - start).alias("ses_dur_us"),
-        "ses_len",
-    )
+        F.coalesce("edge_len", "piece_len").alias("ses_len"),
+    ]
 
 
 def order_within_sessions(
@@ -101,67 +78,81 @@ def order_within_sessions(
 
     Adds ``n_within_ses`` (0-based position), ``timediff_us`` (time since the previous play, across sessions)
     and ``prev_<column>`` (value of the previous play in the session, NULL on its first). Plays are ordered
-    by ``(dt, *order)``, which should be unique.
+    by ``(dt, *order)``, NULL last; plays equal in all of these may change places.
     """
     if gap_us < 1:
         raise ValueError("the gap must be at least one microsecond")
-    if chunks is None:
-        chunks = CHUNKS_PER_PARTITION * int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the chunk of a row is fixed by writing it: two runs may sample other range bounds
-    rows = materialise(_number_chunks(plays, gap_us, by, previous, chunks, order), "ordered")
-    split = materialise(_split_histories(rows, gap_us, by, previous), "split")
-    edges = _edge_pieces(split, by)
-
-    group = [*by, "chunk"]
-    fixes = split.select(*group, "base", "head_break", "prev_last", *[f"carried_{c}" for c in previous])
-    joined = null_safe_join(rows, F.broadcast(fixes), group)
-    joined = null_safe_join(joined, F.broadcast(edges), [*group, "piece"])
+    us = F.unix_micros("dt")
+    # written once: sampling the range bounds then reads this, and does not repeat the joins before it
+    rows = plays.withColumns({"first_us": us, "last_us": us, "n": F.lit(1).cast("bigint")})
+    rows = materialise(rows, "plays")
+    joined = _number(rows, gap_us, by, previous, ("first_us", *[c for c in order if c in plays.columns]), chunks)
     continues = F.col("is_first") & (F.col("head_break") == 0)
-    start = F.coalesce("edge_start", "piece_start")
-    end = F.coalesce("edge_end", "piece_end")
     return joined.select(
         *plays.columns,
-        (F.col("piece") + F.coalesce("base", F.lit(0))).alias("session"),
-        F.timestamp_micros(start).alias("ses_start"),
-        F.timestamp_micros(end).alias("ses_end"),
-        (end - start).alias("ses_dur_us"),
-        F.coalesce("edge_len", "piece_len").alias("ses_len"),
+        *_session_columns(),
         (F.col("pos") + F.coalesce("offset", F.lit(0))).alias("n_within_ses"),
-        (F.col("us") - F.when(F.col("is_first"), F.col("prev_last")).otherwise(F.col("prev_us"))).alias("timediff_us"),
+        (F.col("first_us") - F.when(F.col("is_first"), F.col("prev_last")).otherwise(F.col("prev_us"))).alias("timediff_us"),
         *[F.when(continues, F.col(f"carried_{c}")).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}") for c in previous],
     )
 
 
+def _number(
+    rows: DataFrame, gap_us: int, by: Sequence[str], previous: Sequence[str], order: Sequence[str], chunks: int | None
+) -> DataFrame:
+    """Session numbers, bounds and positions of written ``rows`` (first_us, last_us, n plays), ordered by ``order``."""
+    if chunks is None:
+        chunks = max(1, -(-rows.count() // CHUNK_ROWS))
+    # the chunk of a row is fixed by writing it: two runs may sample other range bounds
+    stored = materialise(_number_chunks(rows, gap_us, by, previous, chunks, order), "ordered")
+    split = materialise(_split_histories(stored, gap_us, by, previous), "split")
+    edges = _edge_pieces(split, by)
+    group = [*by, "chunk"]
+    fixes = split.select(*group, "base", "head_break", "prev_last", *[f"carried_{c}" for c in previous])
+    joined = null_safe_join(stored, F.broadcast(fixes), group)
+    return null_safe_join(joined, F.broadcast(edges), [*group, "piece"])
+
+
 def _number_chunks(
-    plays: DataFrame, gap_us: int, by: Sequence[str], previous: Sequence[str], chunks: int, order: Sequence[str]
+    rows: DataFrame, gap_us: int, by: Sequence[str], previous: Sequence[str], chunks: int, order: Sequence[str]
 ) -> DataFrame:
     """Cut each history into chunks and number the session pieces and positions inside each chunk."""
     group = [*by, "chunk"]
-    in_group = Window.partitionBy(*group).orderBy("us", *order)
-    in_piece = Window.partitionBy(*group, "piece").orderBy("us", *order)
+    key = [F.col(c).asc_nulls_last() for c in order]
+    in_group = Window.partitionBy(*group).orderBy(*key)
+    so_far = in_group.rowsBetween(Window.unboundedPreceding, 0)
     piece = Window.partitionBy(*group, "piece")
-    is_break = F.coalesce(F.col("us") - F.col("prev_us") > gap_us, F.lit(False)).cast("bigint")
+    is_break = F.coalesce(F.col("first_us") - F.col("prev_us") > gap_us, F.lit(False))
+    inside = F.col("pos") > 0
     return (
-        plays.withColumn("us", F.unix_micros("dt"))
-        .repartitionByRange(chunks, *by, "us", *order)
+        rows.repartitionByRange(chunks, *[F.col(c) for c in by], *key)
         .withColumn("chunk", F.spark_partition_id())
         .withColumns(
             {
-                "prev_us": F.lag("us").over(in_group),
+                "prev_us": F.lag("last_us").over(in_group),
                 "is_first": F.lag(F.lit(True)).over(in_group).isNull(),
                 "is_last": F.lead(F.lit(True)).over(in_group).isNull(),
+                "place": F.row_number().over(in_group).cast("bigint"),
+                **{f"prev_{c}": F.lag(c).over(in_group) for c in previous},
+            }
+        )
+        .withColumn("is_break", is_break)
+        .withColumns(
+            {
+                "piece": F.sum(F.col("is_break").cast("bigint")).over(so_far),
+                # the place of the piece's first row: positions need no order of their own
+                "pos": F.col("place") - F.max(F.when(F.col("is_first") | F.col("is_break"), F.col("place"))).over(so_far),
             }
         )
-        .withColumn("piece", F.sum(is_break).over(in_group.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumns(
             {
-                "pos": F.row_number().over(in_piece).cast("bigint") - 1,
-                **{f"prev_{c}": F.lag(c).over(in_piece) for c in previous},
-                "piece_start": F.min("us").over(piece),
-                "piece_end": F.max("us").over(piece),
-                "piece_len": F.count(F.lit(1)).over(piece),
+                **{f"prev_{c}": F.when(inside, F.col(f"prev_{c}")) for c in previous},
+                "piece_start": F.min("first_us").over(piece),
+                "piece_end": F.max("last_us").over(piece),
+                "piece_len": F.sum("n").over(piece),
             }
         )
+        .drop("place", "is_break")
     )
 
 
@@ -177,10 +168,10 @@ def _split_histories(rows: DataFrame, gap_us: int, by: Sequence[str], previous:
         rows.where(F.col("is_first") | F.col("is_last"))
         .groupBy(*by, "chunk")
         .agg(
-            first("us").alias("first_us"),
+            first("first_us").alias("first_us"),
             first("piece_end").alias("head_end"),
             first("piece_len").alias("head_len"),
-            last("us").alias("last_us"),
+            last("last_us").alias("last_us"),
             last("piece").alias("last_piece"),
             last("piece_start").alias("tail_start"),
             last("piece_len").alias("tail_len"),

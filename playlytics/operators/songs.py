@@ -12,7 +12,7 @@ from playlytics.functions.images import image_url
 from playlytics.functions.text import display_names
 from playlytics.sources.storage import materialise
 
-PLAY_ORDER = ("dt", "source", "play_id")
+PLAY_ORDER = ("dt", "source", "play_id", "song", "artist", "album")
 
 
 def closest_songs(distances: DataFrame, n: int = DEFAULTS.n_representatives) -> DataFrame:
@@ -22,17 +22,16 @@ def closest_songs(distances: DataFrame, n: int = DEFAULTS.n_representatives) ->
     and a group of copies of any size passes through.
     """
     known = distances.where(F.col("centroid_dist").isNotNull())
+    # one row per cluster, written so that Catalyst sees how few
+    limits = materialise(distance_limits(known, n), "limits")
+    return known.join(limits, "cluster").where(F.col("centroid_dist") <= F.col("limit")).drop("limit")
+
+
+def distance_limits(known: DataFrame, n: int) -> DataFrame:
+    """The ``n``-th smallest distinct distance of each cluster."""
     ranked = Window.partitionBy("cluster").orderBy("centroid_dist")
-    limits = (
-        known.select("cluster", "centroid_dist")
-        .distinct()
-        .withColumn("r", F.row_number().over(ranked))
-        .where(F.col("r") <= n)
-        .groupBy("cluster")
-        .agg(F.max("centroid_dist").alias("limit"))
-    )
-    # one row per cluster
-    return known.join(F.broadcast(limits), "cluster").where(F.col("centroid_dist") <= F.col("limit")).drop("limit")
+    best = known.select("cluster", "centroid_dist").distinct().withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= n)
+    return best.groupBy("cluster").agg(F.max("centroid_dist").alias("limit"))
 
 
 def representative_songs(
@@ -50,7 +49,7 @@ def representative_songs(
     candidates = materialise(closest_songs(distances, n), "closest")
     first = F.min_by(F.struct("song", "artist", "album"), F.struct(*PLAY_ORDER)).alias("first")
     played = (
-        plays.select(*per, "g_id", "song", "artist", "album", *PLAY_ORDER)
+        plays.select(*per, "g_id", *PLAY_ORDER)
         .join(candidates, "g_id")
         .groupBy(*per, "cluster", "cluster_label", "g_id", "centroid_dist")
         .agg(first)

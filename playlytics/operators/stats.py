@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from playlytics.functions.calendar import month_start
 from playlytics.operators.joins import null_safe_join
+from playlytics.sources.storage import materialise
 
 MONTH = ("year", "month")
 
@@ -38,14 +39,16 @@ def cluster_stats(
     ``centroids`` has one row per cluster.
     """
     group = [*per, "cluster"]
-    songs = plays.groupBy(*group, "g_id").agg(F.count(F.lit(1)).alias("n"))
+    # the only pass over plays, written: both counts below read it, each shuffled by its own key
+    counts = materialise(plays.groupBy(*group, "g_id", *by, "session").agg(F.count(F.lit(1)).alias("n")), "counts")
+    songs = counts.groupBy(*group, "g_id").agg(F.sum("n").alias("n"))
     per_song = songs.groupBy(*group).agg(
         F.sum("n").alias("n_plays"),
         F.count(F.lit(1)).alias("n_unique_plays"),
         most_frequent("g_id", "n").alias("top_song_id"),
     )
     per_session = (
-        plays.select(*group, *by, "session").distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("n_sessions"))
+        counts.select(*group, *by, "session").distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("n_sessions"))
     )
     # at most (clusters + 1) rows per value of ``per`` from here on
     found = null_safe_join(per_song, per_session, group, "inner").withColumn(
@@ -56,12 +59,12 @@ def cluster_stats(
         periods = found.select(*per).distinct()
         listed = centroids.agg(F.collect_list("cluster").alias("clusters"))
         wanted = periods.withColumn("cluster", F.explode(listed.scalar()))
-    counts = ["freq", "n_plays", "n_unique_plays", "n_sessions"]
+    numbers = ["freq", "n_plays", "n_unique_plays", "n_sessions"]
     return (
         found.join(wanted, group, "full")
         .join(centroids, "cluster", "left")
-        .withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
-        .select(*per, "cluster", "cluster_label", *counts, "top_song_id", "centroid")
+        .withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
+        .select(*per, "cluster", "cluster_label", *numbers, "top_song_id", "centroid")
     )
 
 
@@ -71,10 +74,12 @@ def cluster_pie(stats: DataFrame) -> DataFrame:
 
 def _indices() -> list[Column]:
     """Diversity of counts ``n`` with shares ``p``: Gini-Simpson, Shannon (base 2) and inverse Berger-Parker."""
-    p, n = F.col("p"), F.col("n").cast("double")
+    p, n = F.col("p"), F.col("n").cast("decimal(19,0)")
+    square = (n * n).cast("decimal(38,0)")
+    total = F.sum("n").cast("double")
     return [
         # squares of counts add up exactly, so the order of rows does not show in the last digit
-        (F.lit(1.0) - F.sum(n * n) / (F.sum(n) * F.sum(n))).alias("gini"),
+        (F.lit(1.0) - F.sum(square).cast("double") / (total * total)).alias("gini"),
         F.sum(-p * F.log2(p)).alias("shannon"),
         (F.lit(1.0) / F.max(p)).alias("berger"),
     ]

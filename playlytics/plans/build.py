@@ -40,8 +40,17 @@ class Sources:
 def build(
     spark: SparkSession, sources: Sources, out: str, settings: Settings = DEFAULTS, by: tuple[str, ...] = ()
 ) -> dict[str, DataFrame]:
-    """Write all tables below ``out`` and return them as read back."""
+    """Write all tables below ``out`` and return them as read back; intermediate tables are deleted.
+
+    ``by`` names the columns whose values each have a session numbering of their own.
+    """
     configure(spark)
+    with storage.scratch_scope(spark):
+        _write_tables(spark, sources, out, settings, by)
+    return open_tables(spark, out)
+
+
+def _write_tables(spark: SparkSession, sources: Sources, out: str, settings: Settings, by: tuple[str, ...]) -> None:
     read = lambda name: spark.read.parquet(f"{out}/{name}")
 
     width = tables.vector_width(sources.search_vectors)
@@ -81,13 +90,12 @@ def build(
     trait_table = tables.trait_outputs(sources.traits)
     storage.write_table(traits.big5_by_month(ses, trait_table), f"{out}/big5")
     storage.write_table(sources.songs, f"{out}/songs")
-
-    return open_tables(spark, out)
+    storage.write_table(spark.createDataFrame([(list(by),)], "session_by array<string>"), f"{out}/layout")
 
 
 TABLES = (
     "search_vectors", "cluster_vectors", "centroids", "song_clusters", "plays_expanded", "plays_clustered", "sessions",
-    "cluster_stats", "month_stats", "cluster_month", "big5", "songs",
+    "cluster_stats", "month_stats", "cluster_month", "big5", "songs", "layout",
 )
 
 

@@ -15,7 +15,8 @@ def monthly_report(
     """Everything shown for one month, or for the whole history when no month is chosen."""
     labels = tables["centroids"].select("cluster", "cluster_label")
     ses = filter_month(tables["sessions"], year, month)
-    summary = stats.cluster_stats(ses, tables["centroids"])
+    by = tuple(tables["layout"].first()["session_by"])  # a session is known by these columns and its number
+    summary = stats.cluster_stats(ses, tables["centroids"], by)
     examples = songs.representative_songs(tables["song_clusters"], ses, tables["songs"], n=settings.n_representatives)
     covers = songs.cluster_covers(examples, tables["songs"])
     if year is None:

@@ -13,8 +13,6 @@ from playlytics.sources.storage import materialise
 
 _schemas: dict[str, StructType] = {}
 
-N_GROUPS = 10  # values of embeddings.label
-
 
 class Inputs:
     """Lazily read inputs of one data folder."""

@@ -2,37 +2,61 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 
-_own_roots: dict[str, str] = {}
+_roots: dict[str, str] = {}  # of applications whose session does not name a folder
+_scopes: list[list[str]] = []
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share, as named in ``spark.checkpoint.dir``.
+def use_scratch_folder(spark: SparkSession, folder: str) -> None:
+    """Name the shared folder for a session that was made without ``spark.checkpoint.dir``."""
+    _roots[spark.sparkContext.applicationId] = folder
 
-    Only a local session without that setting gets a folder of its own, removed when Python ends.
-    """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/playlytics-{sc.applicationId}"
-    if not sc.master.startswith("local"):
+
+def has_scratch_folder(spark: SparkSession) -> bool:
+    return bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext.applicationId in _roots
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder all executors share, as named in ``spark.checkpoint.dir``."""
+    app = spark.sparkContext.applicationId
+    root = spark.conf.get("spark.checkpoint.dir", None) or _roots.get(app)
+    if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    if sc.applicationId not in _own_roots:
-        own = tempfile.mkdtemp(prefix="playlytics-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        _own_roots[sc.applicationId] = own
-    return _own_roots[sc.applicationId]
+    return f"{root.rstrip('/')}/playlytics-{app}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables written inside when the block ends, with its results stored elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that were not stored can no longer be read."""
+    _delete(spark, scratch_root(spark))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

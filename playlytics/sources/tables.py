@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlytics.config import BOOKKEEPING_PREFIX, MAX_CLUSTERS, TRAIT_COLUMNS
+from playlytics.config import BOOKKEEPING_PREFIX, TRAIT_COLUMNS
 
 
 def quote_name(name: str) -> str:
@@ -60,16 +60,19 @@ def drop_null_matches(matches: DataFrame, key: str = "g_id") -> DataFrame:
 
 
 def vector_width(df: DataFrame, column: str = "embedding") -> int:
-    """The width of the first vector found."""
-    row = df.where(F.col(column).isNotNull()).select(F.size(column)).first()
-    if row is None:
+    """The one width of all vectors; vectors of several widths are an error."""
+    width = F.when(F.col(column).isNotNull(), F.size(column))
+    least, most = df.agg(F.min(width), F.max(width)).first()
+    if least is None:
         raise ValueError(f"no vector in column {column}")
-    return row[0]
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} elements in column {column}: declare the width")
+    return least
 
 
 def fixed_width_vectors(df: DataFrame, width: int, element: str = "double", column: str = "embedding") -> DataFrame:
-    """Cast the vectors to one element type; a NULL or a wrong width stops the job."""
-    ok = F.size(column) == width
+    """Cast the vectors to one element type; a NULL, a NULL element or a wrong width stops the job."""
+    ok = (F.size(column) == width) & ~F.exists(column, lambda x: x.isNull())
     checked = F.when(ok, F.col(column).cast(f"array<{element}>")).otherwise(
         F.raise_error(F.lit(f"{column} is not a vector of {width} elements")).cast(f"array<{element}>")
     )
@@ -97,11 +100,15 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def cluster_letter(cluster: Column) -> Column:
-    return F.char(cluster + 65)
-
-
-def cluster_labels(spark: SparkSession, k: int) -> DataFrame:
-    """Cluster index and letter."""
-    if not 1 <= k <= MAX_CLUSTERS:
-        raise ValueError(f"between 1 and {MAX_CLUSTERS} clusters can be labelled")
-    return spark.range(k).select(F.col("id").cast("int").alias("cluster"), cluster_letter(F.col("id")).alias("cluster_label"))
+    """A to Z, then AA, AB and so on: up to seven letters name every integer."""
+    rest, letters = cluster.cast("bigint"), []
+    for _ in range(7):
+        letters.insert(0, F.when(rest >= 0, F.char(rest % 26 + 65)).otherwise(""))
+        rest = F.floor(rest / 26) - 1
+    return F.when(cluster.isNotNull(), F.concat(*letters))
+
+
+def cluster_labels(song_clusters: DataFrame) -> DataFrame:
+    """Index and letter of every cluster that has songs."""
+    found = song_clusters.where(F.col("cluster").isNotNull()).select(F.col("cluster").cast("int")).distinct()
+    return found.withColumn("cluster_label", cluster_letter(F.col("cluster")))

@@ -35,3 +35,30 @@ def test_build_and_reports(spark, folder, tmp_path):
 
     searches = spark.createDataFrame([(0, "some words to look for")], "search_num long, search string")
     assert search_report(tables, searches, 3).columns[0] == "Search"
+
+
+def test_sessions_of_several_listeners(spark, folder, tmp_path):
+    i = Inputs(spark, folder)
+    sources = Sources(
+        i.streams(), i.scrobbles(), i.stream_matches(), i.scrobble_matches(), i.vectors(), i.vectors(), i.traits(), i.songs()
+    )
+    tables = build(spark, sources, str(tmp_path / "out"), by=("listener",))
+    got = {r["cluster"]: r["n_sessions"] for r in monthly_report(tables)["cluster_stats"].collect()}
+    want = {}
+    for r in tables["sessions"].select("cluster", "listener", "session").distinct().collect():
+        want[r["cluster"]] = want.get(r["cluster"], 0) + 1
+    assert {k: n for k, n in got.items() if n} == want
+    assert len({r["listener"] for r in tables["sessions"].select("listener").distinct().collect()}) > 1
+
+
+def test_intermediate_tables_are_deleted(spark, folder, tmp_path):
+    import os
+
+    from playlytics.sources import storage
+
+    root = storage.scratch_root(spark)
+    with storage.scratch_scope(spark):
+        kept = storage.materialise(spark.range(5), "kept")
+        assert kept.count() == 5
+        (made,) = [p for p in os.listdir(root.removeprefix("file:")) if p.startswith("kept-")]
+    assert made not in os.listdir(root.removeprefix("file:"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from playlytics.operators import clustering, matching, sessions, songs
+from playlytics.operators import matching, sessions, songs
 from playlytics.sources import storage
 
 SMALL = {
@@ -67,13 +67,7 @@ def test_closest_songs_are_limited_before_the_shuffle(spark):
     distances = spark.range(1000).select(
         F.col("id").alias("g_id"), (F.col("id") % 2).alias("cluster"), F.lit("A").alias("cluster_label"), F.rand(1).alias("centroid_dist")
     )
-    assert "WindowGroupLimit" in songs.closest_songs(distances)._jdf.queryExecution().executedPlan().toString()
-
-
-def test_too_many_clusters_are_refused(spark):
-    vectors = spark.range(30).select("id", F.array(F.col("id").cast("double")).alias("embedding"))
-    with pytest.raises(ValueError):
-        clustering.mean_centroids(vectors, vectors.select(F.col("id").alias("g_id"), F.col("id").alias("cluster")))
+    assert "WindowGroupLimit" in songs.distance_limits(distances, 3)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_month_tables_are_rebalanced(spark, tmp_path):

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from playlytics.operators import clustering, search, songs, spectral
+from playlytics.operators import clustering, search, songs
 from playlytics.sources import storage
 
 
@@ -21,7 +21,6 @@ def brute_force(corpus, queries, n):
 
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 1])
 def test_search_is_exact_with_many_copies(spark, broadcast_bytes, monkeypatch):
-    monkeypatch.setattr(search, "CORPUS_BLOCK_ROWS", 16)
     monkeypatch.setattr(search, "QUERY_BLOCK_ROWS", 3)
     rng = np.random.default_rng(1)
     corpus = rng.normal(size=(90, 6))
@@ -79,8 +78,9 @@ def test_clusterer(spark, tmp_path):
     storage.save_clusterer(model, str(tmp_path / "model"))
     loaded = storage.load_clusterer(str(tmp_path / "model"))
     assert clustering.raw_assignment(df, loaded).exceptAll(clustering.raw_assignment(df, model)).count() == 0
-    with pytest.raises(ValueError):
-        clustering.fit_clusterer(df, 27)
+    many = clustering.fit_clusterer(df, 27)
+    found = clustering.model_centroids(df, many, clustering.cluster_order(df, many))
+    assert {"Z", "AA"} <= {r.cluster_label for r in found.collect()}
 
 
 def test_mean_centroids(spark):
@@ -117,44 +117,48 @@ def test_representatives_and_covers(spark):
     assert songs.representative_songs(distances, plays.where("false"), meta).count() == 0
 
 
-def dense_graph(points, keep):
-    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
-    s = np.round(unit @ unit.T, 12)
-    np.fill_diagonal(s, 0.0)
-    cut = np.quantile(s, 1 - keep)
-    return cut, np.where(s >= cut, np.maximum(s, 0), 0)
-
-
-@pytest.mark.parametrize("block_rows", [1000, 13])
-def test_spectral_graph_equals_dense_graph(spark, block_rows):
-    rng = np.random.default_rng(3)
-    points = np.vstack([rng.normal(size=(15, 4)) + 6 * np.eye(4)[c] for c in range(3)])
-    points[5:20] = points[5]  # copies
-    cut, weights = dense_graph(points, 0.8)
-    graph = spectral.SimilarityGraph(vectors(spark, points), 0.8, block_rows)
-    assert graph.threshold == pytest.approx(cut, abs=1e-12)
-    rows = graph.degrees().orderBy("id").collect()
-    np.testing.assert_allclose([r.degree for r in rows], weights.sum(axis=1), atol=1e-9)
-    assert [r.n_neighbours for r in rows] == list((weights > 0).sum(axis=1))
-    degree = weights.sum(axis=1)
-    laplacian = np.eye(len(points)) - weights / np.sqrt(np.outer(degree, degree))
-    values, dense = np.linalg.eigh(laplacian)
-    found, eigenvalues = graph.eigenvectors(3, steps=10)
-    np.testing.assert_allclose(eigenvalues, values[:3], atol=1e-7)
-    got = np.array([r.embedding for r in found.orderBy("id").collect()])
-    np.testing.assert_allclose(np.linalg.svd(dense[:, :3].T @ got)[1], 1, atol=1e-6)
-
-
-def test_spectral_clusters_find_groups(spark):
-    rng = np.random.default_rng(4)
-    points = np.vstack([rng.normal(size=(20, 3)) * 0.2 + 5 * np.eye(3)[c] for c in range(3)])
-    got = spectral.spectral_clusters(vectors(spark, points), 3, keep=0.3, steps=6)
-    labels = [r.model_cluster for r in got.orderBy("id").collect()]
-    assert [len(set(labels[a : a + 20])) for a in (0, 20, 40)] == [1, 1, 1] and len(set(labels)) == 3
-    with pytest.raises(ValueError):
-        spectral.spectral_clusters(vectors(spark, points[:3]), 3)
-
-
-def test_zero_vector_has_no_neighbours(spark):
-    graph = spectral.SimilarityGraph(vectors(spark, [[1.0, 0.0], [1.0, 0.1], [0.0, 0.0]]), 0.5)
-    assert {r.id: r.n_neighbours for r in graph.degrees().collect()} == {0: 1, 1: 1, 2: 0}
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 1])
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_zero_and_broken_vectors_displace_no_hit(spark, broadcast_bytes, partitions):
+    rng = np.random.default_rng(5)
+    corpus = rng.normal(size=(22, 4))
+    corpus[[3, 11]] = 0
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(corpus)] + [(50, [1.0, None, 1.0, 1.0]), (51, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").coalesce(1).repartition(partitions)
+    queries = rng.normal(size=(3, 4))
+    asked = vectors(spark, queries).withColumnRenamed("id", "search_num")
+    for n in (5, 22, 30):
+        got = search.vector_search(df, asked, n, broadcast_bytes=broadcast_bytes).orderBy("search_num", "rank").collect()
+        assert [tuple(r) for r in got] == brute_force(corpus, queries, n)
+
+
+def test_text_without_words_is_a_zero_vector(spark):
+    from playlytics.functions.text import embed_texts
+
+    rows = [(1, ""), (2, " \n"), (3, None), (4, "a b"), (5, "a b a b")]
+    got = {r.id: r.embedding for r in embed_texts(spark.createDataFrame(rows, "id long, text string"), width=8).collect()}
+    assert got[1] == got[2] == [0.0] * 8 and got[3] is None and got[4] == got[5]
+    assert sum(x * x for x in got[4]) == pytest.approx(1)
+
+
+def test_widths_and_missing_elements(spark):
+    from playlytics.sources import tables
+
+    schema = "id long, embedding array<double>"
+    assert tables.vector_width(spark.createDataFrame([(1, None), (2, [1.0, 2.0])], schema)) == 2
+    for rows in ([(1, None)], [(1, [1.0]), (2, [1.0, 2.0])]):
+        with pytest.raises(ValueError):
+            tables.vector_width(spark.createDataFrame(rows, schema))
+    broken = tables.fixed_width_vectors(spark.createDataFrame([(1, [1.0, None])], schema), 2)
+    with pytest.raises(Exception, match="not a vector of 2"):
+        broken.collect()
+
+
+def test_letters(spark):
+    from pyspark.sql import functions as F
+
+    from playlytics.sources import tables
+
+    rows = spark.createDataFrame([(n,) for n in (0, 25, 26, 51, 52, 701, 702, 18277, 18278, None)], "n int")
+    got = [r[0] for r in rows.select(tables.cluster_letter(F.col("n"))).collect()]
+    assert got == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "ZZZ", "AAAA", None]
