@@ -39,42 +39,56 @@ REFINED = 0.7  # log odds by which a longer term must exceed an accepted stem
 WINDOW = 8
 QUOTED = 0.25  # weight of a match that is quoted or reported
 _REPORTED = frozenset("said says called calls quote quoted wrote writes word term".split())
-_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*@$](?=[^\W_]))*")
+_TOKEN = re.compile(r"[^\W_]+(?:[*@$][^\W_]+)*")
 _MARK = re.compile("[\"“”„«»\n]")
 _QUOTED_LINE = re.compile(r"[ \t]*>")
-_CACHE = 200_000
+_CACHE = 400_000
 
 
 def allowed_errors(length: int) -> int:
     return 0 if length < 5 else 1 if length < 9 else 2
 
 
+class _Node:
+    __slots__ = ("below", "term", "errors")
+
+    def __init__(self):
+        self.below: dict[str, _Node] = {}
+        self.term: str | None = None
+        self.errors = 0  # the most that a term from here on allows
+
+
 class Trie:
     """The lexicon's words, for search with errors."""
 
     def __init__(self, words: Iterable[str]):
-        self.root: dict = {}
-        self.pieces: set[tuple[int, str]] = set()
-        self.middles: set[str] = set()
+        self.root = _Node()
+        self.pieces: dict[tuple[int, str], set[int]] = {}  # by the lengths of words that may hold them
+        self.middles: dict[str, set[int]] = {}
         for word in words:
-            node = self.root
-            for letter in word:
-                node = node.setdefault(letter, {})
-            node[""] = word
             errors = allowed_errors(len(word))
+            path = [self.root]
+            for letter in word:
+                path.append(path[-1].below.setdefault(letter, _Node()))
+            path[-1].term = word
+            for node in path:
+                node.errors = max(node.errors, errors)
             if errors:
                 size = len(word) // (errors + 1)
-                self.pieces |= {(size, word[:size]), (-size, word[-size:])}
+                lengths = set(range(len(word) - errors, len(word) + errors + 1))
+                for piece in ((size, word[:size]), (-size, word[-size:])):
+                    self.pieces.setdefault(piece, set()).update(lengths)
                 if errors > 1:
-                    self.middles.add(word[size : len(word) - size])
+                    self.middles.setdefault(word[size : len(word) - size], set()).update(lengths)
         self.sizes = sorted({size for size, _ in self.pieces})
 
     def may_match(self, word: str) -> bool:
         """With k errors one of k + 1 pieces of a term is left whole: at the word's start, its end or inside."""
         for size in self.sizes:
-            if (size, word[:size] if size > 0 else word[size:]) in self.pieces:
+            lengths = self.pieces.get((size, word[:size] if size > 0 else word[size:]))
+            if lengths and len(word) in lengths:
                 return True
-        return any(m in word for m in self.middles)
+        return any(len(word) in lengths and m in word for m, lengths in self.middles.items())
 
     def near(self, word: str) -> tuple[str, int] | None:
         """The closest term within its allowed errors, and the number of errors; ties go to the first by code point."""
@@ -82,16 +96,15 @@ class Trie:
         stack = [(self.root, list(range(len(word) + 1)))]
         while stack:
             node, row = stack.pop()
-            term = node.get("")
+            term = node.term
             if term is not None and row[-1] <= allowed_errors(len(term)) and (best is None or (row[-1], term) < best):
                 best = (row[-1], term)
-            for letter, below in node.items():
-                if letter:
-                    nxt = [row[0] + 1]
-                    for i, seen in enumerate(word):
-                        nxt.append(min(nxt[i] + 1, row[i + 1] + 1, row[i] + (seen != letter)))
-                    if min(nxt) <= 2:
-                        stack.append((below, nxt))
+            for letter, below in node.below.items():
+                nxt = [row[0] + 1]
+                for i, seen in enumerate(word):
+                    nxt.append(min(nxt[i] + 1, row[i + 1] + 1, row[i] + (seen != letter)))
+                if min(nxt) <= below.errors:
+                    stack.append((below, nxt))
         return (best[1], best[0]) if best else None
 
 
