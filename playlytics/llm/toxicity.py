@@ -204,7 +204,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     if n > sample:
         share = F.lit(sample / n)
         rated = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share * (1 << 40))
-    return docs.select("doc_id", "text").join(rated, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int"))
+    # bounded by the sample; the documents stay where they are
+    return docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int"))
 
 
 def fit(rows: DataFrame) -> Model:
