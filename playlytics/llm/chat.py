@@ -45,7 +45,7 @@ def own_text(text: Column) -> Column:
         following = F.coalesce(F.get(lines, i + 1).rlike(_QUOTED), F.lit(False))
         return ~line.rlike(_QUOTED) & ~(line.rlike(_INTRODUCES) & following)
 
-    return F.trim(F.array_join(F.filter(lines, own), "\n"))
+    return F.btrim(F.array_join(F.filter(lines, own), "\n"), F.lit(" \t\r\n"))
 
 
 def quote_level(line: Column) -> Column:

@@ -147,4 +147,49 @@ SELECT doc_id, template, max(containment)::DOUBLE AS containment,
 FROM shares WHERE containment >= {licenses.CONTAINED} - 1e-9 GROUP BY doc_id, template
 """
 
-ORACLES = {"op5_url_filter": URL_FILTER, "op8_licenses": LICENSES, "op1_mixing": MIXING, "op2_sharding": SHARDING, "op9_decontamination": DECONTAMINATION}
+_QUOTED = r"^\s*>"
+
+
+def _normal(text: str) -> str:
+    return rf"trim(regexp_replace(lower({text}), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'))"
+
+
+CHAT = rf"""
+WITH RECURSIVE messages AS (
+  SELECT row_number() OVER () AS r, *, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS lines FROM conversations),
+owned AS (
+  SELECT *, trim(array_to_string(list_filter(lines, lambda x, i: NOT regexp_matches(x, '{_QUOTED}') AND NOT (
+           regexp_matches(x, '(wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$')
+           AND coalesce(regexp_matches(lines[i + 1], '{_QUOTED}'), FALSE))), chr(10)), ' ' || chr(9) || chr(13) || chr(10)) AS own
+  FROM messages),
+quoted AS (
+  SELECT r, conv_id, turn, i, regexp_replace(line, '^(\s*>)+', '') AS line,
+         length(regexp_replace(regexp_extract(line, '^(\s*>)+'), '[^>]', '', 'g')) AS level
+  FROM (SELECT r, conv_id, turn, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM messages)
+  WHERE regexp_matches(line, '{_QUOTED}') AND conv_id IS NOT NULL AND turn IS NOT NULL),
+passages AS (
+  SELECT conv_id, turn, level, string_agg(line, ' ' ORDER BY i) AS line
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, level ORDER BY i) AS run FROM quoted) GROUP BY r, conv_id, turn, level, run
+  UNION ALL SELECT conv_id, turn, level, line FROM quoted),
+asked AS (SELECT DISTINCT conv_id, turn, level, {_normal("line")} AS unit FROM passages),
+stated AS (
+  SELECT conv_id, {_normal("part")} AS unit, min(turn) AS first
+  FROM (SELECT conv_id, turn, unnest(list_concat([own], regexp_split_to_array(own, '\n\s*\n'), regexp_split_to_array(own, '\n'))) AS part
+        FROM owned) GROUP BY ALL),
+votes AS (
+  SELECT a.conv_id, turn, level, first, sum(len(string_split(unit, ' '))) AS words
+  FROM asked a JOIN stated s USING (conv_id, unit) WHERE unit <> '' AND first < turn GROUP BY ALL),
+replies AS (SELECT conv_id, turn, arg_min(first, (level, -words, -first)) AS up FROM votes GROUP BY ALL),
+chains AS (
+  SELECT conv_id, turn, up, 1 AS depth FROM replies
+  UNION ALL
+  SELECT c.conv_id, c.turn, r.up, c.depth + 1 FROM chains c JOIN replies r ON r.conv_id = c.conv_id AND r.turn = c.up),
+threads AS (
+  SELECT conv_id, turn, arg_max(up, depth) AS thread, arg_min(up, depth) AS reply_to, max(depth) AS depth FROM chains GROUP BY ALL)
+SELECT m.conv_id, coalesce(t.thread, m.turn) AS thread, m.turn, role, coalesce(t.depth, 0) AS depth, reply_to,
+       len(list_filter(lines, lambda x: regexp_matches(x, '{_QUOTED}'))) AS n_quoted, own AS text,
+       '<|' || coalesce(role, '') || '|>' || chr(10) || own || chr(10) || '<|end|>' AS formatted
+FROM owned m LEFT JOIN threads t ON t.conv_id = m.conv_id AND t.turn = m.turn
+"""
+
+ORACLES = {"op10_chat": CHAT, "op5_url_filter": URL_FILTER, "op8_licenses": LICENSES, "op1_mixing": MIXING, "op2_sharding": SHARDING, "op9_decontamination": DECONTAMINATION}

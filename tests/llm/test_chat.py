@@ -126,3 +126,23 @@ def test_query_is_native_and_keeps_every_message(spark, folder):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     want = brute(rows)
     assert {(r["conv_id"], r["turn"]): (r["thread"], r["depth"], r["reply_to"]) for r in frame.collect()} == want
+
+
+def test_sql_on_quoting_conversations(spark, tmp_path):
+    """The tables hold few quotes, so the SQL is compared on conversations that do."""
+    import duckdb
+
+    from playlytics.llm.oracles import CHAT
+
+    rng = random.Random(8)
+    rows = [r for conv in range(25) for r in conversation(conv, rng.randint(1, 12), rng)]
+    rows += [(None, 1, "user", "> x"), (3, None, None, "a\n\n"), (4, 99, None, None), (4, 99, None, None)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    cursor = con.execute(CHAT)
+    names = [d[0] for d in cursor.description]
+    want = sorted((repr([row[names.index(c)] for c in sorted(names)]) for row in cursor.fetchall()))
+    frame = op10_chat(spark, str(tmp_path))
+    assert sorted(frame.columns) == sorted(names)
+    assert sorted(repr([r[c] for c in sorted(names)]) for r in frame.collect()) == want
