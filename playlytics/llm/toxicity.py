@@ -2,7 +2,7 @@
 
 ``fit`` counts, on at most about ``SAMPLE`` labelled rows less near copies, in how many toxic and other texts each word and
 each stem (its first 4 to 10 letters) occurs. A term enters the lexicon where such a surplus of toxic texts is
-implausible by chance among all terms seen (a Chernoff bound with Bonferroni correction), the most surprising terms first. A
+implausible by chance among all terms of three texts or more (a Chernoff bound with Bonferroni correction), the most surprising terms first. A
 stem that is accepted stands for its words, but for those that say clearly more; its weight is its log odds.
 
 ``Trie.near`` intersects the trie of the words outside stems with the Levenshtein automaton of a word: one row of edit
@@ -34,7 +34,8 @@ from playlytics.llm.jaccard import sketches
 
 SAMPLE = 20_000  # labelled rows from which a model is fitted, in expectation
 STEMS = (4, 5, 6, 7, 8, 9, 10)
-CHANCE = 0.1  # expected number of terms that enter the lexicon by chance
+LEAST = 3  # texts that a term must occur in to be tested
+CHANCE = 20  # expected number of terms that enter the lexicon by chance; of tens of thousands, and each rare
 REFINED = 0.7  # log odds by which a longer term must exceed an accepted stem
 WINDOW = 8
 QUOTED = 0.25  # weight of a match that is quoted or reported
@@ -256,6 +257,7 @@ def _lexicon(counted: DataFrame, n: int, n_toxic: int) -> Lexicon:
     seen = F.col("toxic") + F.col("other")
     share = F.least(F.col("toxic") / seen, F.lit(1 - 1e-9))
     surplus = seen * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
+    counted = counted.where(seen >= LEAST)
     limit = math.log(max(1, counted.count()) / CHANCE)
     # each term is in several of the at most SAMPLE toxic texts, so the lexicon is bounded
     found = counted.withColumn("surplus", surplus).where((F.col("surplus") > limit) & (F.col("toxic") > base * seen)).collect()
