@@ -59,8 +59,8 @@ def release(spark: SparkSession) -> None:
     _delete(spark, scratch_root(spark))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back. With ``keep`` it outlives the present scope.
 
     This fixes results that depend on the physical partitioning, cuts lineage in a way that survives the
     loss of executors, and gives Catalyst the true size: a small table is then broadcast, a large one is not.
@@ -68,6 +68,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if keep and _scopes:
+        _scopes[-1].remove(path)
+        if len(_scopes) > 1:
+            _scopes[-2].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
