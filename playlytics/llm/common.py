@@ -59,6 +59,30 @@ def sorted_groups(
         yield from handle(pa.concat_tables(waiting))
 
 
+_PLANE = 32_768  # bits of one row of Spark's bitmap functions
+_MOST_BITS = 1 << 27
+
+
+def may_be_in(df: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean column ``name``: false only where ``df``'s string ``key`` is not among the column ``key`` of ``keys``.
+
+    The keys are hashed into a bitmap of 16 bits a key, 16 MB at most, that is broadcast, so most rows that have no partner
+    need not be shuffled to find that out. Beyond 8 million keys it lets more rows pass.
+    """
+    n, bits = keys.count(), _PLANE
+    while bits < min(16 * n, _MOST_BITS):
+        bits *= 2
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    planes = keys.select(slot.alias("slot")).groupBy(F.expr(f"slot div {_PLANE}").alias("plane"))
+    planes = planes.agg(F.expr(f"bitmap_construct_agg(slot % {_PLANE})").alias("plane_bits"))
+    planes = materialise(planes, "bitmap")
+    place = F.expr(f"pmod(xxhash64({key}), {bits}) % {_PLANE}")
+    byte = F.conv(F.hex(F.substring(F.col("plane_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    met = df.withColumn("plane", F.expr(f"pmod(xxhash64({key}), {bits}) div {_PLANE}")).join(F.broadcast(planes), "plane", "left")
+    return met.withColumn(name, held).drop("plane", "plane_bits")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, root), one per node that has an edge.
 

@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playlytics.llm.common import components, materialise, sorted_groups, with_text_columns
+from playlytics.llm.common import components, materialise, may_be_in, sorted_groups, with_text_columns
 from playlytics.llm.words import hashed_texts, mix, shingles
+from playlytics.sources.storage import scratch_scope
 
 THRESHOLD = 0.8
 RECALL = 0.9999
@@ -309,11 +310,8 @@ def text_key(text: str, doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.md5(F.col(text).cast("binary")), none)
 
 
-def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, text, class_key, class_id, copy_id, n_copies, n_links) for every row of ``docs``; text is a key of the text.
-
-    ``docs`` has doc_id and text; it is read twice, the second time only for texts with candidates.
-    """
+def _linked_texts(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(text, class_key, class_id, copy_id, n_copies, n_links) of the texts with copies or links."""
     rows = docs.select("doc_id", text_key("text").alias("key"), "text")
     sketched = with_text_columns(rows, "sketch binary", lambda t: [pa.array(sketches(t), pa.binary())])
     rows = materialise(sketched.select("doc_id", F.col("key").alias("text"), "sketch"), "sketches")
@@ -326,8 +324,9 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     found = buckets(texts.select("text", "sketch"), runs_needed(threshold, recall))
     groups = components(candidate_links(found, texts, threshold), "candidates")
     members = groups.select(F.col("node").alias("text"), F.col("root").alias("group")).join(texts.drop("sketch"), "text")
-    wanted = members.select("text", "group", "copies", F.col("first_id").alias("doc_id"))
+    wanted = materialise(members.select("text", "group", "copies", F.col("first_id").alias("doc_id")), "wanted")
     bodies = docs.select("doc_id", F.col("text").alias("words"), text_key("text").alias("text"))
+    bodies = may_be_in(bodies, "text", wanted, "wanted").where("wanted").drop("wanted")
     same = (bodies["text"] == wanted["text"]) & bodies["doc_id"].eqNullSafe(wanted["doc_id"])
     bodies = bodies.join(wanted, same).select(wanted["text"], "group", "copies", "words")
     bodies = bodies.groupBy("text", "group", "copies").agg(F.first("words").alias("words"))  # repeated rows
@@ -357,9 +356,19 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
         F.col("copies").alias("n_copies"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
-    known = materialise(known, "known")
+    return known
+
+
+def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, text, class_key, class_id, copy_id, n_copies, n_links) for every row of ``docs``; text is a key of the text.
+
+    ``docs`` has doc_id and text; it is read for the sketches, for the texts with candidates, and for the result.
+    """
+    with scratch_scope(docs.sparkSession):
+        known = materialise(_linked_texts(docs, threshold, recall), "known", keep=True)
+    rows = docs.select("doc_id", text_key("text").alias("text"))
     alone = F.col("n_copies").isNull()
-    return rows.drop("sketch").join(known, "text", "left").select(
+    return rows.join(known, "text", "left").select(
         "doc_id",
         "text",
         F.coalesce("class_key", "text").alias("class_key"),
@@ -370,27 +379,35 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     )
 
 
-def one_per_class(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest doc_id, and of those the first text by key.
-
-    Rows without links are all kept. Of repeated rows one stays. A text moves once, to meet the decision on it.
-    """
+def _decide(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(near_key, near_kept, near_id, near_rows): for each linked text, whether its class keeps it, and the id of the kept row."""
     linked = similarity_classes(docs, threshold, recall).where("n_links > 0")
     rows = linked.groupBy("class_key", "doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
     rows = materialise(rows, "class-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", "n")
     first = rows.groupBy("class_key").agg(F.min(order).alias("first"))
     decided = rows.select("class_key", "text").distinct().join(first, "class_key")
-    decided = decided.select(
+    return decided.select(
         F.col("text").alias("near_key"),
         (F.col("first.text") == F.col("text")).alias("near_kept"),
         F.col("first.doc_id").alias("near_id"),
         F.col("first.n").alias("near_rows"),
     )
-    decided = materialise(decided, "decided")
-    met = docs.withColumn("near_key", text_key("text")).join(decided, "near_key", "left")
+
+
+def one_per_class(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest doc_id, and of those the first text by key.
+
+    Rows without links are all kept. Of repeated rows one stays. Only texts that may be linked move, to meet the decision on them.
+    """
+    with scratch_scope(docs.sparkSession):
+        decided = materialise(_decide(docs, threshold, recall), "decided", keep=True)
+    marked = may_be_in(docs.withColumn("near_key", text_key("text")), "near_key", decided, "near_maybe")
+    met = marked.where("near_maybe").join(decided, "near_key", "left")
     kept = met.where(F.col("near_kept").isNull() | (F.col("near_kept") & F.col("doc_id").eqNullSafe(F.col("near_id"))))
     again = F.coalesce(F.col("near_rows") > 1, F.lit(False))
+    rest = marked.where("not near_maybe").select(docs.columns)
     if decided.where("near_kept and near_rows > 1").isEmpty():
-        return kept.select(docs.columns)
-    return kept.where(~again).select(docs.columns).unionByName(kept.where(again).dropDuplicates(["near_key"]).select(docs.columns))
+        return rest.unionByName(kept.select(docs.columns))
+    once = kept.where(again).dropDuplicates(["near_key"])
+    return rest.unionByName(kept.where(~again).select(docs.columns)).unionByName(once.select(docs.columns))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from playlytics.llm.common import materialise, with_text_columns
 from playlytics.llm.jaccard import sketches
+from playlytics.sources.storage import scratch_scope
 
 SAMPLE = 20_000  # labelled rows from which a model is fitted, in expectation
 STEMS = (4, 5, 6, 7, 8, 9, 10)
@@ -211,6 +212,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 def fit(rows: DataFrame) -> Model:
     """Learn a model from rows (text, toxic) of bounded number."""
+    with scratch_scope(rows.sparkSession):
+        return _fit(rows)
+
+
+def _fit(rows: DataFrame) -> Model:
     near = with_text_columns(rows.select("text", "toxic"), "near binary", _near_keys).dropDuplicates(["near", "toxic"])
     rows = materialise(near.select("text", "toxic"), "toxicity-sample")
     n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
