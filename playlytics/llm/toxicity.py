@@ -36,7 +36,7 @@ from playlytics.sources.storage import scratch_scope
 SAMPLE = 20_000  # labelled rows from which a model is fitted, in expectation
 STEMS = (4, 5, 6, 7, 8, 9, 10)
 LEAST = 3  # texts that a term must occur in to be tested
-CHANCE = 20  # expected number of terms that enter the lexicon by chance; of tens of thousands, and each rare
+CHANCE = 2  # expected number of terms that enter the lexicon by chance; of tens of thousands, and each rare
 REFINED = 0.7  # log odds by which a longer term must exceed an accepted stem
 WINDOW = 8
 QUOTED = 0.25  # weight of a match that is quoted or reported
@@ -44,7 +44,7 @@ _REPORTED = frozenset("said says called calls quote quoted wrote writes word ter
 _TOKEN = re.compile(r"[^\W_]+(?:[*@$][^\W_]+)*")
 _MARK = re.compile("[\"“”„«»\n]")
 _QUOTED_LINE = re.compile(r"[ \t]*>")
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 def allowed_errors(length: int) -> int:
@@ -120,7 +120,6 @@ class Lexicon:
     def __post_init__(self):
         self.sizes = sorted({len(s) for s in self.stems}, reverse=True)
         self.trie = Trie(w for w in self.words if not self.stem(w))
-        self.cache: dict[str, float] = {}
 
     def __getstate__(self):
         return {k: getattr(self, k) for k in ("words", "stems", "variants", "unseen")}
@@ -138,11 +137,12 @@ class Lexicon:
 
     def weight(self, word: str) -> float:
         """Evidence of one lower-case word, 0 if it is not like any term."""
-        found = self.cache.get(word)
+        known = _known_by(self)
+        found = known.get(word)
         if found is None:
-            if len(self.cache) >= _CACHE:
-                self.cache.clear()
-            found = self.cache[word] = self._weight(word)
+            if len(known) >= _CACHE:
+                known.clear()
+            found = known[word] = self._weight(word)
         return found
 
     def _weight(self, word: str) -> float:
@@ -185,6 +185,16 @@ class Lexicon:
         return largest, total, float(len(tokens))
 
 
+_last: list = [None, {}]
+
+
+def _known_by(lexicon: Lexicon) -> dict[str, float]:
+    """The weights found so far: one table in each worker, for the lexicon used last, so that models do not pile up."""
+    if _last[0] is not lexicon:
+        _last[:] = [lexicon, {}]
+    return _last[1]
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
