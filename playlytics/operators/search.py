@@ -111,7 +111,8 @@ def vector_search(
     stored = materialise(queries.select(F.col("search_num").cast("long"), F.col("embedding").cast("array<double>")), "queries")
     n_queries, width = stored.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     corpus = vectors.select(F.col("id").cast("long"), "embedding").where(F.col("embedding").isNotNull())
-    slices = max(1, -(-n_queries * (width or 1) * 8 // broadcast_bytes))
+    in_slice = max(1, broadcast_bytes // ((width or 1) * 8))
+    slices = max(1, -(-n_queries // in_slice))
     if slices == 1:
         hits = _best_of_tasks(_candidates(corpus, stored, n), n)
     else:
