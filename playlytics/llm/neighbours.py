@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing, with exact distances.
 
 A pseudo-random rotation is three rounds of random signs and a fast Hadamard transform. The hash of a unit vector is the
-signed axis nearest to its rotation; ``TABLES`` tables hash by ``hashes`` rotations each. A query looks into its own bucket and into those of
+signed axis nearest to its rotation; ``TABLES`` tables hash by ``HASHES`` rotations each. A query looks into its own bucket and into those of
 the next nearest axes (``PROBES`` per table). Its candidates are compared by the exact Euclidean distance of the
-original vectors, in double precision.
+original vectors, in double precision. The hash is the same for tables of any size: a further rotation squares the number of buckets,
+and with the same tables and probes most of the neighbours would be missed.
 
 Vectors are dealt by (table, bucket). A large bucket is cut into blocks of at most about ``BLOCK`` vectors by a hash, and its queries
 go to every block, so that a bucket of any size is searched whole without meeting in one task. A task
@@ -29,7 +30,7 @@ from playlytics.llm.common import materialise, sorted_groups
 
 TABLES = 16
 PROBES = 10
-HASH_ROWS = 1_000_000  # vectors for each further rotation in a hash
+HASHES = 1  # rotations in a hash; tables and probes are chosen for it
 BLOCK = 4096
 QUERY_BLOCK = 512
 SEED = 20
@@ -189,12 +190,8 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest vectors found for each row where ``is_query`` holds for its ``id``."""
     rows = materialise(usable(vectors, key, vector), "vectors")
-    n = rows.count()
-    hashes = 1
-    while n > HASH_ROWS ** hashes:
-        hashes += 1
     asked = rows.where(F.col("id").isNotNull() & is_query)
-    found = _best(_meet(_bucketed(rows, tables, hashes, 1), _bucketed(asked, tables, hashes, probes), k), k)
+    found = _best(_meet(_bucketed(rows, tables, HASHES, 1), _bucketed(asked, tables, HASHES, probes), k), k)
     found = materialise(found.select("query_id", "rank", "id", "score"), "neighbours")
     number = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
     short = materialise(asked.join(number, asked["id"] == number["query_id"], "left").where(F.coalesce("found", F.lit(0)) < k).select("id", "v", "width"), "short")

@@ -97,3 +97,8 @@ def test_query_recall(spark):
         want = set(ids[np.lexsort((ids, far))[:10]].tolist())
         hits, total = hits + len(want & found[int(ids[k])]), total + 10
     assert hits >= 0.95 * total
+
+
+def test_recall_does_not_fall_with_the_number_of_vectors(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "count", lambda self: 10**9)  # as if the table were large
+    test_query_recall(spark)
