@@ -7,7 +7,7 @@ many bands are taken that one agrees with the probability ``RECALL``. Windows th
 template exactly: the share of the template's shingles that the window holds.
 
 A text that holds none of (1 - CONTAINED) m + 1 of a template's shingles cannot hold the rest in sufficient number. These few
-are looked up in the normalised text first, and windows without any shingle of a template are left out; neither loses a match.
+are looked up in the normalised text first (before them a few words of which each holds one), and windows without any shingle of a template are left out; neither loses a match.
 All steps are expressions of Spark; templates and their bands are parameters, of bounded number, and broadcast.
 
 Null, empty and short texts hold nothing. Result rows: one per document id and template found, so that repeated rows
@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Mapping
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playlytics.llm.license_texts import BODIES, IDENTIFIERS, SHORT_FORMS
+
 SHINGLE = 5
 CONTAINED = 0.8
 RECALL = 0.9999
@@ -47,6 +48,11 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(_GAP, text.lower()) if w]
 
 
+for _name, _wording in {**BODIES, **SHORT_FORMS, **IDENTIFIERS}.items():  # each wording once
+    if words_of(_wording) not in map(words_of, TEMPLATES.values()):
+        TEMPLATES[_name] = _wording
+
+
 def template_shingles(text: str) -> list[str]:
     words = words_of(text)
     if len(words) < SHINGLE:
@@ -75,6 +81,17 @@ def probes(shingles: list[str], contained: float = CONTAINED) -> list[str]:
     return shingles[: len(shingles) - math.ceil(contained * len(shingles) - 1e-9) + 1]
 
 
+def heads(needles: list[str]) -> list[str]:
+    """Few words of which every needle holds one, long ones, as these are rare."""
+    left = [[w for w in n.split() if len(w) >= min(7, max(map(len, n.split())))] for n in needles]
+    chosen: list[str] = []
+    while left:
+        counts = Counter(w for words in left for w in set(words))
+        chosen.append(min(counts, key=lambda w: (-counts[w], -len(w), w)))
+        left = [words for words in left if chosen[-1] not in words]
+    return chosen
+
+
 def normalised(text: Column) -> Column:
     """Lower-case words between single spaces, one at each end."""
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _GAP, " "), F.lit(" "))
@@ -107,7 +124,8 @@ def find_licenses(
     needles = sorted({f" {p} " for s in shingles.values() for p in probes(s, contained)})
 
     def holds_probe(text: Column) -> Column:
-        return reduce(or_, [F.contains(text, F.lit(needle)) for needle in needles])
+        some = lambda parts: F.exists(_array(parts), lambda part: F.contains(text, part))
+        return some(heads(needles)) & some(needles)  # most texts hold no head
 
     words = F.split(F.trim("norm"), " ")
     start = F.sequence(F.lit(1), F.size("words") - SHINGLE + 1)

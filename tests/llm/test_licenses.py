@@ -70,3 +70,28 @@ def test_query_is_native_and_complete(spark, folder):
     got = {(r["doc_id"], r["template"]): (r["containment"], r["first_word"]) for r in frame.collect()}
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
     assert got == {(r["doc_id"], name): found for r in docs for name, found in brute(r["text"], licenses.TEMPLATES).items()}
+
+
+def test_bodies_headers_and_short_forms_are_found(spark):
+    body = """MIT License. Copyright (c) 2020 A. Permission is hereby granted, free of charge, to any person obtaining a copy of this
+    software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+    the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom
+    the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+    included in all copies or substantial portions of the Software."""
+    texts = {
+        body: "mit-body",
+        "This project is Licensed under the MIT License.": "mit-licensed",
+        "# Unless required by applicable law\n# Licensed under the Apache License 2.0": "apache-licensed",
+        "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n": "gpl-3.0-body",
+        "Mozilla Public License Version 2.0\n=====\n1. Definitions\n1.1. \"Contributor\" means each individual or legal entity that creates, "
+        "contributes to the creation of, or owns Covered Software.": "mpl-2.0-body",
+        "// SPDX-License-Identifier: GPL-3.0-or-later": "spdx-gpl-3.0-or-later",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {(r["doc_id"], r["template"]) for r in licenses.find_licenses(docs).collect()}
+    assert got >= set(enumerate(texts.values()))
+
+
+def test_every_needle_holds_a_head():
+    needles = [p for t in licenses.TEMPLATES.values() for p in licenses.probes(licenses.template_shingles(t))]
+    assert all(set(n.split()) & set(licenses.heads(needles)) for n in needles)
