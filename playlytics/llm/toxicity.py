@@ -5,7 +5,7 @@ each stem (its first 4 to 10 letters) occurs. A term enters the lexicon where su
 implausible by chance among all terms of three texts or more (a Chernoff bound with Bonferroni correction), the most surprising terms first. A
 stem that is accepted stands for its words, but for those that say clearly more; its weight is its log odds.
 
-``Trie.near`` intersects the trie of the words outside stems with the Levenshtein automaton of a word: one row of edit
+``Trie.near`` intersects the trie of all terms (of a stem the words of the sample that it stands for) with the Levenshtein automaton of a word: one row of edit
 distances is the automaton's state, and a branch ends where every entry exceeds the allowed errors. How far a misspelling
 counts is learned, for each variant seen in training and, for unseen ones, for each term.
 
@@ -23,6 +23,8 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -116,13 +118,14 @@ class Lexicon:
     stems: dict[str, float] = field(default_factory=dict)
     variants: dict[str, float] = field(default_factory=dict)  # misspellings seen in training
     unseen: dict[str, float] = field(default_factory=dict)  # by term: weight of other misspellings
+    inflected: dict[str, float] = field(default_factory=dict)  # words of the sample under stems: the most a misspelling weighs
 
     def __post_init__(self):
         self.sizes = sorted({len(s) for s in self.stems}, reverse=True)
-        self.trie = Trie(w for w in self.words if not self.stem(w))
+        self.trie = Trie(self.words.keys() | self.inflected.keys())
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("words", "stems", "variants", "unseen")}
+        return {k: getattr(self, k) for k in ("words", "stems", "variants", "unseen", "inflected")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -234,7 +237,7 @@ def _fit(rows: DataFrame) -> Model:
         rate = 0.5 if not n else (n_toxic + 0.5) / (n + 1)
         return Model(Lexicon(), (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0))
     counted = materialise(_term_counts(rows), "toxicity-terms")
-    lexicon = _lexicon(counted, n, n_toxic)
+    lexicon = _with_inflected(_lexicon(counted, n, n_toxic), counted, n, n_toxic)
     _learn_variants(lexicon, counted, n, n_toxic)
     return Model(lexicon, _logistic(_features(rows, lexicon)))
 
@@ -290,6 +293,21 @@ def _lexicon(counted: DataFrame, n: int, n_toxic: int) -> Lexicon:
     return Lexicon(words, stems)
 
 
+def _with_inflected(lexicon: Lexicon, counted: DataFrame, n: int, n_toxic: int) -> Lexicon:
+    """The lexicon with the words that its stems stand for, so that their misspellings are found as well."""
+    if not lexicon.stems:
+        return lexicon
+    heads = [F.substring("term", 1, k).isin([s for s in lexicon.stems if len(s) == k]) for k in lexicon.sizes]
+    # words of the sample that begin like a term of a bounded lexicon: bounded as well
+    found = counted.where(~F.col("term").endswith("*")).where(reduce(or_, heads)).collect()
+    inflected = {}
+    for r in found:
+        if r["term"] not in lexicon.words:
+            # a misspelling counts as its stem does, as far as the word's own texts bear it out
+            inflected[r["term"]] = min(lexicon.stems[lexicon.stem(r["term"])], log_odds(r["toxic"] + 2, r["other"], n, n_toxic))
+    return Lexicon(lexicon.words, lexicon.stems, inflected=inflected)
+
+
 def _learn_variants(lexicon: Lexicon, counted: DataFrame, n: int, n_toxic: int) -> None:
     """Weights of misspellings: of a variant by its own counts with those of its term's variants as prior."""
 
@@ -312,7 +330,7 @@ def _learn_variants(lexicon: Lexicon, counted: DataFrame, n: int, n_toxic: int)
         sums = pooled.setdefault(r["near"], [0, 0])
         sums[0] += r["toxic"]
         sums[1] += r["other"]
-    for term, weight in lexicon.words.items():
+    for term, weight in {**lexicon.inflected, **lexicon.words}.items():
         toxic, other = pooled.get(term, (0, 0))
         # two toxic texts of prior belief: a misspelling means the term until clean texts speak against it
         odds = min(weight, log_odds(toxic + 2, other, n, n_toxic))

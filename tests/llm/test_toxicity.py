@@ -119,3 +119,18 @@ def test_held_out_labels_do_not_matter(spark, folder, tmp_path):
         f"{tmp_path}/labels.parquet"
     )
     assert toxicity_model(spark, folder).coefficients == toxicity_model(spark, str(tmp_path)).coefficients
+
+
+def test_misspellings_of_words_under_a_stem(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        words = sentence(rng).split()
+        if i % 5 == 0:
+            words[rng.randrange(len(words))] = ["grimolos", "grimolas", "grimoles", "grimolix"][i // 5 % 4]
+        rows.append((" ".join(words), int(i % 5 == 0)))
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int")).lexicon
+    assert lexicon.stem("grimolos") and "grimolos" not in lexicon.words
+    for wrong in ("gremolos", "qrimolas", "rimoles", "ggrimolix"):
+        assert 0 < lexicon.weight(wrong) <= lexicon.weight("grimolos")
+    assert lexicon.weight("gremola") == 0  # no word of the sample is as near
