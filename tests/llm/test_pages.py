@@ -191,3 +191,18 @@ def test_url_query_keeps_every_row(spark, folder):
     clash = spark.createDataFrame([(1, "x", "y")], "page_id bigint, url string, Host string")
     with pytest.raises(ValueError):
         urls.judge_urls(clash)
+
+
+def test_runs_shared_by_few_pages_of_a_large_host(spark, monkeypatch):
+    note = " ".join(f"note{i}" for i in range(9))
+    some = " ".join(f"some{i}" for i in range(9))
+    shared = lambda i: f"<div>{note}</div>" * (i in (3, 60)) + f"<div>{some}</div>" * (i % 20 == 0)
+    own = lambda i: " ".join(f"p{i}w{k}" for k in range(9))
+    rows = [(i, f"http://a.example/{i}", f"{shared(i)}<p>{own(i)}</p>") for i in range(100)]
+    rows += [(200, "http://b.example/", f"<p>{note}</p>"), *rows[:1]]
+    frame = spark.createDataFrame(rows, PAGES)
+    whole = sorted(extraction.extract_text(frame).collect())
+    monkeypatch.setattr(extraction, "GROUP", 10)
+    grouped = sorted(extraction.extract_text(frame).collect())
+    assert grouped == whole
+    assert sorted(r["text"] for r in grouped) == sorted([own(0), note, *map(own, range(100))])
