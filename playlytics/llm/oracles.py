@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from playlytics.llm import licenses, urls
+from playlytics.llm.oracles_vectors import CENTROIDS, CODES
 from playlytics.llm.sharding import SHARDS, SLOTS, fill
 
 _SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -192,4 +193,13 @@ SELECT m.conv_id, coalesce(t.thread, m.turn) AS thread, m.turn, role, coalesce(t
 FROM owned m LEFT JOIN threads t ON t.conv_id = m.conv_id AND t.turn = m.turn
 """
 
-ORACLES = {"op10_chat": CHAT, "op5_url_filter": URL_FILTER, "op8_licenses": LICENSES, "op1_mixing": MIXING, "op2_sharding": SHARDING, "op9_decontamination": DECONTAMINATION}
+ORACLES = {
+    "op1_mixing": MIXING,
+    "op2_sharding": SHARDING,
+    "op5_url_filter": URL_FILTER,
+    "op8_licenses": LICENSES,
+    "op9_decontamination": DECONTAMINATION,
+    "op10_chat": CHAT,
+    "op12_centroids": CENTROIDS,
+    "op13_codes": CODES,
+}

@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlytics.llm import chat, decontamination, extraction, jaccard, licenses, mixing, neighbours, sharding, toxicity, urls
+from playlytics.llm import (
+    centroids,
+    chat,
+    decontamination,
+    extraction,
+    jaccard,
+    licenses,
+    mixing,
+    neighbours,
+    sharding,
+    toxicity,
+    urls,
+    vector_codes,
+)
 from playlytics.llm.common import materialise, read
 from playlytics.llm.stages import TOXIC, held_out, toxicity_model
 
@@ -79,6 +92,21 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_chats(read(spark, folder, "conversations"))
 
 
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(read(spark, folder, "embeddings")).drop("centroid")
+
+
+def op13_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, codebooks = vector_codes.compress(read(spark, folder, "embeddings"))
+    return coded.select(
+        "vec_id",
+        vector_codes.hex_code().alias("code"),
+        "error",
+        "label_error",
+        F.lit(vector_codes.codebooks_sha256(codebooks)).alias("codebooks_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,5 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_licenses,
         op9_decontamination,
         op10_chat,
+        op12_centroids,
+        op13_codes,
     )
 }
