@@ -13,6 +13,7 @@ from playlytics.llm import (
     decontamination,
     extraction,
     jaccard,
+    language,
     licenses,
     mixing,
     neighbours,
@@ -92,6 +93,15 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_chats(read(spark, folder, "conversations"))
 
 
+def op11_language(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    docs = read(spark, folder, "documents")
+    model = language.fit(language.training_rows(docs.where(~held_out)))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster(read(spark, folder, "embeddings")).drop("centroid")
 
@@ -120,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_licenses,
         op9_decontamination,
         op10_chat,
+        op11_language,
         op12_centroids,
         op13_codes,
     )

@@ -87,5 +87,5 @@ def test_stages_with_nulls_repeats_and_extra_columns(spark, folder):
 def test_registration():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert set(__spark_entry__.oracle_sql()) <= set(names)
