@@ -2,8 +2,12 @@
 
 ``fit`` counts, on at most about ``SAMPLE`` labelled rows less near copies, in how many toxic and other texts each word and
 each stem (its first 4 to 10 letters) occurs. A term enters the lexicon where such a surplus of toxic texts is
-implausible by chance among all terms of three texts or more (a Chernoff bound with Bonferroni correction), the most surprising terms first. A
-stem that is accepted stands for its words, but for those that say clearly more; its weight is its log odds.
+implausible by chance among all terms of three texts or more (a Chernoff bound), the most surprising terms first. A
+stem that is accepted stands for its words, but for those that say clearly more; its weight is its log odds. How many terms may enter by
+chance is one of ``LEVELS``, chosen by cross-validation inside the sample: texts are dealt by their hash into ``FOLDS``, the terms of
+a fold's texts are weighed by the other folds' counts, and the level with the least log loss on the left-out texts is
+taken, of those that let any term in. So few labels give a loose lexicon and many a strict one. Where no level lets a term in, every word with
+a surplus does.
 
 ``Trie.near`` intersects the trie of all terms (of a stem the words of the sample that it stands for) with the Levenshtein automaton of a word: one row of edit
 distances is the automaton's state, and a branch ends where every entry exceeds the allowed errors. How far a misspelling
@@ -38,7 +42,8 @@ from playlytics.sources.storage import scratch_scope
 SAMPLE = 20_000  # labelled rows from which a model is fitted, in expectation
 STEMS = (4, 5, 6, 7, 8, 9, 10)
 LEAST = 3  # texts that a term must occur in to be tested
-CHANCE = 2  # expected number of terms that enter the lexicon by chance; of tens of thousands, and each rare
+LEVELS = (0.2, 2.0, 20.0, 200.0)  # expected numbers of terms that enter the lexicon by chance; of tens of thousands, and each rare
+FOLDS = 4
 REFINED = 0.7  # log odds by which a longer term must exceed an accepted stem
 WINDOW = 8
 QUOTED = 0.25  # weight of a match that is quoted or reported
@@ -131,6 +136,9 @@ class Lexicon:
         self.__dict__.update(state)
         self.__post_init__()
 
+    def any(self) -> bool:
+        return bool(self.words or self.stems)
+
     def stem(self, word: str) -> str | None:
         """The longest stem that the word begins with."""
         return next((word[:k] for k in self.sizes if word[:k] in self.stems), None)
@@ -230,14 +238,25 @@ def fit(rows: DataFrame) -> Model:
 
 
 def _fit(rows: DataFrame) -> Model:
-    near = with_text_columns(rows.select("text", "toxic"), "near binary", _near_keys).dropDuplicates(["near", "toxic"])
-    rows = materialise(near.select("text", "toxic"), "toxicity-sample")
-    n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
+    near = with_text_columns(rows.select("text", "toxic"), "near binary", _near_keys)
+    rows = near.groupBy("near", "toxic").agg(F.min("text").alias("text"))  # the same copy in every rerun
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
+    rows = materialise(rows.select("text", "toxic", fold.alias("fold")), "toxicity-sample")
+    sizes = [[0, 0] for _ in range(FOLDS)]  # texts that are not toxic and that are, by fold
+    for r in rows.groupBy("fold", F.expr("toxic <=> 1").cast("int").alias("toxic")).count().collect():
+        sizes[r["fold"]][r["toxic"]] = r["count"]
+    n, n_toxic = sum(map(sum, sizes)), sum(x[1] for x in sizes)
     if not n_toxic or n_toxic == n:
         rate = 0.5 if not n else (n_toxic + 0.5) / (n + 1)
         return Model(Lexicon(), (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0))
-    counted = materialise(_term_counts(rows), "toxicity-terms")
-    lexicon = _with_inflected(_lexicon(counted, n, n_toxic), counted, n, n_toxic)
+    by_fold = materialise(_term_counts(rows), "toxicity-terms")
+    splits = _splits(by_fold, sizes)
+    lexicon = _lexicon(splits[-1], _level(rows, splits) if len(splits) > 1 else max(LEVELS))
+    if not lexicon.any():
+        lexicon = _lexicon(_surpluses(by_fold, n, n_toxic, None, 1), math.inf)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda x, y: x + y).alias(c)
+    counted = by_fold.select("term", total("toxic"), total("other"))
+    lexicon = _with_inflected(lexicon, counted, n, n_toxic)
     _learn_variants(lexicon, counted, n, n_toxic)
     return Model(lexicon, _logistic(_features(rows, lexicon)))
 
@@ -247,48 +266,127 @@ def _near_keys(texts: list[bytes | None]) -> list[pa.Array]:
     return [pa.array([k[:8] if k else b"" for k in sketches(texts)], pa.binary())]
 
 
+def terms_of(text: str) -> set[str]:
+    """The words of a text and their stems, which end in ``*``."""
+    words = set(_TOKEN.findall(text.lower()))
+    return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
+
+
 def _term_counts(rows: DataFrame) -> DataFrame:
-    """(term, toxic texts, other texts); stems end in ``*``."""
+    """(term, toxic texts, other texts), both by fold."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by = (Counter(), Counter())
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(_TOKEN.findall(text.lower()))
-                stems = {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
-                by[toxic == 1].update(words | stems)
-            terms = list(by[0].keys() | by[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string())] + [pa.array([by[k][t] for t in terms], pa.int64()) for k in (1, 0)],
-                names=["term", "toxic", "other"],
-            )
+            by = [Counter() for _ in range(2 * FOLDS)]
+            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by[2 * fold + (toxic == 1)].update(terms_of(text))
+            terms = list(set().union(*by))
+            counts = [pa.array([c[t] for t in terms], pa.int64()) for c in by]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *counts], names=["term", *cells])
 
-    parts = rows.mapInArrow(count, "term string, toxic bigint, other bigint")
-    return parts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    cells = [f"{name}{k}" for k in range(FOLDS) for name in ("other", "toxic")]
+    parts = rows.select("text", "toxic", "fold").mapInArrow(count, "term string, " + ", ".join(f"{c} bigint" for c in cells))
+    summed = parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in cells])
+    return summed.select("term", *[F.array(*[f"{name}{k}" for k in range(FOLDS)]).alias(name) for name in ("toxic", "other")])
 
 
-def log_odds(toxic: int, other: int, n: int, n_toxic: int) -> float:
-    return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n - n_toxic + 1))
+@dataclass
+class Split:
+    """The terms of some texts that pass the loosest level, each with its toxic and other texts, by surplus."""
 
+    terms: list[tuple[str, int, int, float]]
+    tested: int
+    n: int
+    n_toxic: int
 
-def _lexicon(counted: DataFrame, n: int, n_toxic: int) -> Lexicon:
-    base = n_toxic / n
-    seen = F.col("toxic") + F.col("other")
+
+def _splits(by_fold: DataFrame, sizes: Sequence[Sequence[int]]) -> list[Split]:
+    """One without each fold whose labels can be judged by the others, and last the one of all texts."""
+    out = []
+    n, n_toxic = sum(map(sum, sizes)), sum(x[1] for x in sizes)
+    if all(0 < n_toxic - x[1] < n - sum(x) for x in sizes):
+        out = [_surpluses(by_fold, n - sum(x), n_toxic - x[1], k) for k, x in enumerate(sizes)]
+    return [*out, _surpluses(by_fold, n, n_toxic, None)]
+
+
+def _surpluses(by_fold: DataFrame, n: int, n_toxic: int, without: int | None, least: int = LEAST) -> Split:
+    def number(column):
+        return sum((F.get(column, F.lit(k)) for k in range(FOLDS) if k != without), F.lit(0)).alias(column)
+
+    counted = by_fold.select("term", number("toxic"), number("other")).where(F.col("toxic") + F.col("other") >= least)
+    base, seen = n_toxic / n, F.col("toxic") + F.col("other")
     share = F.least(F.col("toxic") / seen, F.lit(1 - 1e-9))
     surplus = seen * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
-    counted = counted.where(seen >= LEAST)
-    limit = math.log(max(1, counted.count()) / CHANCE)
+    tested = counted.count()
+    limit = math.log(max(1, tested) / max(LEVELS)) if least == LEAST else -1.0
     # each term is in several of the at most SAMPLE toxic texts, so the lexicon is bounded
-    found = counted.withColumn("surplus", surplus).where((F.col("surplus") > limit) & (F.col("toxic") > base * seen)).collect()
+    found = counted.withColumn("surplus", surplus).where((F.col("surplus") > limit) & (F.col("toxic") > base * seen))
+    order = lambda r: (-r["surplus"], r["term"].endswith("*"), r["term"])
+    terms = [(r["term"], r["toxic"], r["other"], r["surplus"]) for r in sorted(found.collect(), key=order)]
+    return Split(terms, tested, n, n_toxic)
+
+
+def _level(rows: DataFrame, splits: Sequence[Split]) -> float:
+    """The level with the least log loss on the texts of each fold, by terms that the other folds weigh."""
+    texts = _texts_with_terms(rows, {t[0] for s in splits for t in s.terms})
+    losses = {}
+    for level in LEVELS:
+        if _lexicon(splits[-1], level).any():
+            lexicons = [_lexicon(s, level) for s in splits[:-1]]
+            losses[level] = sum(_loss(lexicon, k, texts) for k, lexicon in enumerate(lexicons))
+    return min(losses, key=lambda x: (round(losses[x], 6), x)) if losses else max(LEVELS)
+
+
+def _texts_with_terms(rows: DataFrame, wanted: set[str]) -> list[tuple[int, int, float, list[str]]]:
+    """(fold, toxic, words, wanted terms) of each text of the sample."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            found = [sorted(wanted & terms_of(t)) for t in texts]
+            words = pa.array([float(len(_TOKEN.findall(t.lower()))) for t in texts], pa.float64())
+            columns = [batch.column(2), batch.column(1), words, pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["fold", "toxic", "words", "terms"])
+
+    found = rows.select("text", "toxic", "fold").mapInArrow(run, "fold int, toxic int, words double, terms array<string>")
+    return sorted((r["fold"], int(r["toxic"] == 1), r["words"], r["terms"]) for r in found.collect())
+
+
+def _loss(lexicon: Lexicon, fold: int, texts: Sequence[tuple[int, int, float, list[str]]]) -> float:
+    """Log loss on the texts of ``fold`` of a model fitted on the others; each term counts once a text."""
+    terms = {**lexicon.words, **{f"{s}*": w for s, w in lexicon.stems.items()}}
+    weights = [[terms[t] for t in row[3] if t in terms] for row in texts]
+    cells = np.array([(max(w, default=0.0), sum(w), r[2], r[1], 1.0) for w, r in zip(weights, texts, strict=True)])
+    own = np.array([r[0] == fold for r in texts])
+    if own.all() or not own.any():
+        return 0.0
+    z = np.array([design(*cell) for cell in cells[own, :3]]) @ np.array(_logistic(cells[~own]))
+    p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-6, 1 - 1e-6)
+    y = cells[own, 3]
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+
+
+def log_odds(toxic: int, other: int, n: int, n_toxic: int) -> float:
+    return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n - n_toxic + 1))
+
+
+def _lexicon(split: Split, level: float) -> Lexicon:
+    """The terms that pass ``level``: of a family of words the stem, or the words that say more than their stem."""
+    limit = math.log(max(1, split.tested) / level) if level < math.inf else -1.0
     words: dict[str, float] = {}
     stems: dict[str, float] = {}
     heads: set[str] = set()  # beginnings of accepted terms
-    for r in sorted(found, key=lambda r: (-r["surplus"], r["term"].endswith("*"), r["term"])):
-        term, odds = r["term"].rstrip("*"), log_odds(r["toxic"], r["other"], n, n_toxic)
+    for name, toxic, other, surplus in split.terms:
+        term, odds = name.rstrip("*"), log_odds(toxic, other, split.n, split.n_toxic)
         inside = [stems[term[:k]] for k in STEMS if term[:k] in stems]
-        if (r["term"].endswith("*") and term in heads) or (inside and odds < max(inside) + REFINED) or odds <= 0:
+        if (
+            surplus <= limit
+            or (name.endswith("*") and term in heads)
+            or (inside and odds < max(inside) + REFINED)
+            or odds <= 0
+        ):
             continue
-        (stems if r["term"].endswith("*") else words)[term] = odds
+        (stems if name.endswith("*") else words)[term] = odds
         heads |= {term[:k] for k in STEMS}
     return Lexicon(words, stems)
 
