@@ -249,6 +249,12 @@ def oracles() -> dict[str, str]:
         "play_gaps": f"WITH {sessions('listener')} SELECT listener, source, play_id, timediff_us FROM sessions",
         "sessions_global": f"WITH {GLOBAL} SELECT {SESSION_SELECT} FROM sessions",
         "sessions_by_listener": f"WITH {sessions('listener')} SELECT listener, {SESSION_SELECT} FROM sessions",
+        "incremental_sessions": f"WITH {GLOBAL} SELECT {SESSION_SELECT} FROM sessions",
+        "incremental_listener_sessions": f"WITH {sessions('listener')} SELECT listener, {SESSION_SELECT} FROM sessions",
+        "incremental_month_stats": f"WITH {GLOBAL}, {month_stats()}",
+        "incremental_song_counts": f"""WITH {CLUSTERED}, per_song AS (SELECT cluster, g_id, count(*) AS n FROM clustered GROUP BY ALL)
+            SELECT cluster, CAST(sum(n) AS BIGINT) AS n_plays, count(*) AS n_unique_plays,
+                   first(g_id ORDER BY n DESC, g_id NULLS LAST) AS top_song_id FROM per_song GROUP BY cluster""",
         "cluster_stats": f"WITH {GLOBAL}, {MEANS}, {cluster_stats()} SELECT s.cluster, c.cluster_label, {r6('freq')} AS freq, "
         f"n_plays, n_unique_plays, n_sessions, top_song_id, {vector_text('c.centroid')} AS centroid "
         "FROM stats s LEFT JOIN centroids c ON c.cluster = s.cluster",

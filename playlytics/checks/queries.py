@@ -23,6 +23,7 @@ from playlytics.operators import (
     stats,
     traits,
 )
+from playlytics.plans import incremental
 from playlytics.sources import storage, tables
 from playlytics.sources.driver_tables import Inputs
 
@@ -269,6 +270,45 @@ def sessions_by_listener(i):
     return _session_rows(i, ("listener",))
 
 
+# --- a history that grows ---
+
+URGENT = "1-URGENT"
+
+
+def _grown(i: Inputs, by: tuple[str, ...] = ()) -> incremental.History:
+    """All plays, added in three batches: most scrobbles, the streams, and late the urgent scrobbles, which fall into all months."""
+    keep = ("dt", "source", "play_id", "listener", "g_id", "cluster", "year", "month", "album")
+    all_plays = storage.materialise(clustered(i).select(*keep), "all-plays")
+    history = incremental.History(storage.scratch_path(i.spark, "history"), by)
+    late = (F.col("source") == "o") & (F.col("album") == URGENT)
+    batches = {"scrobbles": (F.col("source") == "o") & ~late, "streams": F.col("source") == "s", "late": late}
+    for name, those in batches.items():
+        incremental.add_plays(history, all_plays.where(those).drop("album"), name)
+    return history
+
+
+@query
+def incremental_sessions(i):
+    rows = incremental.read_sessions(i.spark, _grown(i)).join(labels(i), "cluster", "left")
+    return rows.select(*[F.unix_micros(c).alias(c) for c in ("dt", "ses_start", "ses_end")], *SESSION_COLUMNS)
+
+
+@query
+def incremental_listener_sessions(i):
+    rows = incremental.read_sessions(i.spark, _grown(i, ("listener",))).join(labels(i), "cluster", "left")
+    return rows.select("listener", *[F.unix_micros(c).alias(c) for c in ("dt", "ses_start", "ses_end")], *SESSION_COLUMNS)
+
+
+@query
+def incremental_month_stats(i):
+    return rounded(incremental.read_month_stats(i.spark, _grown(i)).withColumn("date", day()), *MONTH_FLOATS)
+
+
+@query
+def incremental_song_counts(i):
+    return incremental.read_song_counts(i.spark, _grown(i))
+
+
 # --- statistics ---
 
 

@@ -106,7 +106,7 @@ def _number(
     # the chunk of a row is fixed by writing it: two runs may sample other range bounds
     stored = materialise(_number_chunks(rows, gap_us, by, previous, chunks, order), "ordered")
     split = materialise(_split_histories(stored, gap_us, by, previous), "split")
-    edges = _edge_pieces(split, by)
+    edges = edge_pieces(split, by)
     group = [*by, "chunk"]
     fixes = split.select(*group, "base", "head_break", "prev_last", *[f"carried_{c}" for c in previous])
     joined = null_safe_join(stored, F.broadcast(fixes), group)
@@ -157,11 +157,7 @@ def _number_chunks(
 
 
 def _split_histories(rows: DataFrame, gap_us: int, by: Sequence[str], previous: Sequence[str]) -> DataFrame:
-    """One row per chunk of every history that spans several chunks: at most two per chunk.
-
-    ``base`` is added to the piece numbers of the chunk; ``head_break`` tells whether its first play begins a
-    session; ``prev_last`` and ``carried_*`` describe the play before it.
-    """
+    """One row per chunk of every history that spans several chunks: at most two per chunk."""
     first = lambda c: F.max(F.when(F.col("is_first"), F.col(c)))
     last = lambda c: F.max(F.when(F.col("is_last"), F.col(c)))
     ends = (
@@ -178,6 +174,15 @@ def _split_histories(rows: DataFrame, gap_us: int, by: Sequence[str], previous:
             *[last(c).alias(f"last_{c}") for c in previous],
         )
     )
+    return join_chunks(ends, gap_us, by, previous)
+
+
+def join_chunks(ends: DataFrame, gap_us: int, by: Sequence[str], previous: Sequence[str]) -> DataFrame:
+    """What the chunks of a history mean for each other, from the ``ends`` of each chunk: a row per chunk of every history with several.
+
+    ``base`` is added to the piece numbers of the chunk; ``head_break`` tells whether its first play begins a
+    session; ``prev_last`` and ``carried_*`` describe the play before it.
+    """
     along = Window.partitionBy(*by).orderBy("chunk")
     return (
         ends.withColumns(
@@ -197,7 +202,7 @@ def _split_histories(rows: DataFrame, gap_us: int, by: Sequence[str], previous:
     )
 
 
-def _edge_pieces(split: DataFrame, by: Sequence[str]) -> DataFrame:
+def edge_pieces(split: DataFrame, by: Sequence[str]) -> DataFrame:
     """Bounds and lengths of the sessions at the ends of split chunks, and how much of each lies in earlier chunks."""
 
     def piece(number, n, start, end):

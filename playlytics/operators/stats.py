@@ -111,7 +111,15 @@ def month_stats(
     lengths = pieces.groupBy(*per, "ses_len").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_ses"), F.max("session").alias("last_session")
     )
-    n_sessions = F.sum("n_ses") if by else F.max("last_session") + 1
+    clusters = counts.groupBy(*per, "cluster").agg(F.sum("n").alias("n"))
+    return month_summary(lengths, clusters, bool(by), per, ignore_nulls)
+
+
+def month_summary(
+    lengths: DataFrame, clusters: DataFrame, several: bool, per: Sequence[str] = MONTH, ignore_nulls: bool = False
+) -> DataFrame:
+    """Month statistics from counts alone: ``lengths`` (per, ses_len, n plays, n_ses, last_session) and ``clusters`` (per, cluster, n)."""
+    n_sessions = F.sum("n_ses") if several else F.max("last_session") + 1
     summary = lengths.groupBy(*per).agg(
         F.sum("n").alias("n_plays"),
         n_sessions.alias("n_sessions"),
@@ -120,7 +128,6 @@ def month_stats(
         F.expr("percentile(ses_len, 0.5, n_ses)").alias("ses_len_median_sessions"),
         F.max("ses_len").alias("ses_len_max"),
     )
-    clusters = counts.groupBy(*per, "cluster").agg(F.sum("n").alias("n"))
     modes = _shares(clusters, per).groupBy(*per).agg(
         most_frequent("cluster", "n", ignore_nulls).alias("cluster_mode"),
         F.max(F.when(F.col("cluster").isNotNull(), F.col("n"))).alias("largest"),

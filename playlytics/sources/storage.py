@@ -80,6 +80,21 @@ def write_by_month(df: DataFrame, path: str) -> None:
     df.hint("rebalance", "year", "month").write.mode("overwrite").partitionBy("year", "month").parquet(path)
 
 
+def replace_months(df: DataFrame, path: str) -> None:
+    """Write partitioned by month, where only the months in ``df`` are replaced and all others stay as they are."""
+    writer = df.hint("rebalance", "year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("year", "month").parquet(path)
+
+
+def delete_month(spark: SparkSession, path: str, year: int, month: int) -> None:
+    _delete(spark, f"{path}/year={year}/month={month}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
