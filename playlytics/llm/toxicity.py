@@ -1,12 +1,12 @@
 """Toxicity from a lexicon that is learned from labelled texts and matched with spelling errors.
 
-``fit`` counts, on at most about ``SAMPLE`` labelled rows less near copies, in how many toxic and other texts each word and
+``fit`` counts, on at most about ``SAMPLE`` labelled rows less near copies (which share a minimum hash), in how many toxic and other texts each word and
 each stem (its first 4 to 10 letters) occurs. A term enters the lexicon where such a surplus of toxic texts is
 implausible by chance among all terms of three texts or more (a Chernoff bound), the most surprising terms first. A
 stem that is accepted stands for its words, but for those that say clearly more; its weight is its log odds. How many terms may enter by
 chance is one of ``LEVELS``, chosen by cross-validation inside the sample: texts are dealt by their hash into ``FOLDS``, the terms of
-a fold's texts are weighed by the other folds' counts, and the level with the least log loss on the left-out texts is
-taken, of those that let any term in. So few labels give a loose lexicon and many a strict one. Where no level lets a term in, every word with
+a fold's texts are weighed by the other folds' counts, and of the levels that let any term in the strictest is taken whose log loss on the
+left-out texts is within a standard error of the least. So few labels give a loose lexicon and many a strict one. Where no level lets a term in, every word with
 a surplus does.
 
 ``Trie.near`` intersects the trie of all terms (of a stem the words of the sample that it stands for) with the Levenshtein automaton of a word: one row of edit
@@ -44,6 +44,7 @@ STEMS = (4, 5, 6, 7, 8, 9, 10)
 LEAST = 3  # texts that a term must occur in to be tested
 LEVELS = (0.2, 2.0, 20.0, 200.0)  # expected numbers of terms that enter the lexicon by chance; of tens of thousands, and each rare
 FOLDS = 4
+NEAR = 3  # minimum hashes any of which two texts must share to count as near copies
 REFINED = 0.7  # log odds by which a longer term must exceed an accepted stem
 WINDOW = 8
 QUOTED = 0.25  # weight of a match that is quoted or reported
@@ -238,8 +239,10 @@ def fit(rows: DataFrame) -> Model:
 
 
 def _fit(rows: DataFrame) -> Model:
-    near = with_text_columns(rows.select("text", "toxic"), "near binary", _near_keys)
-    rows = near.groupBy("near", "toxic").agg(F.min("text").alias("text"))  # the same copy in every rerun
+    names = [f"near{k}" for k in range(NEAR)]
+    rows = with_text_columns(rows.select("text", "toxic"), ", ".join(f"{n} int" for n in names), _near_keys)
+    for name in names:  # of the texts that share a hash the first, in every rerun
+        rows = rows.groupBy(name, "toxic").agg(F.min(F.struct("text", *names)).alias("kept")).select("kept.*", "toxic")
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
     rows = materialise(rows.select("text", "toxic", fold.alias("fold")), "toxicity-sample")
     sizes = [[0, 0] for _ in range(FOLDS)]  # texts that are not toxic and that are, by fold
@@ -262,8 +265,9 @@ def _fit(rows: DataFrame) -> Model:
 
 
 def _near_keys(texts: list[bytes | None]) -> list[pa.Array]:
-    """Two minimum hashes of the shingles: near copies mostly share them, other texts do not."""
-    return [pa.array([k[:8] if k else b"" for k in sketches(texts)], pa.binary())]
+    """Minimum hashes of the shingles: a near copy shares each with a chance of its similarity, other texts hardly ever."""
+    found = np.array([np.frombuffer(k, np.int32)[:NEAR] if k else np.zeros(NEAR, np.int32) for k in sketches(texts)], np.int32)
+    return [pa.array(column) for column in found.reshape(-1, NEAR).T]
 
 
 def terms_of(text: str) -> set[str]:
@@ -327,14 +331,22 @@ def _surpluses(by_fold: DataFrame, n: int, n_toxic: int, without: int | None, le
 
 
 def _level(rows: DataFrame, splits: Sequence[Split]) -> float:
-    """The level with the least log loss on the texts of each fold, by terms that the other folds weigh."""
+    """The strictest level as good as the best on the texts of each fold, by terms that the other folds weigh."""
     texts = _texts_with_terms(rows, {t[0] for s in splits for t in s.terms})
     losses = {}
     for level in LEVELS:
         if _lexicon(splits[-1], level).any():
             lexicons = [_lexicon(s, level) for s in splits[:-1]]
-            losses[level] = sum(_loss(lexicon, k, texts) for k, lexicon in enumerate(lexicons))
-    return min(losses, key=lambda x: (round(losses[x], 6), x)) if losses else max(LEVELS)
+            losses[level] = np.concatenate([_losses(lexicon, k, texts) for k, lexicon in enumerate(lexicons)])
+    if not losses:
+        return max(LEVELS)
+    best = min(losses, key=lambda x: (round(losses[x].sum(), 6), x))
+
+    def as_good(level: float) -> bool:
+        worse = losses[level] - losses[best]
+        return worse.sum() <= math.sqrt(len(worse)) * worse.std() + 1e-6
+
+    return min(filter(as_good, losses))
 
 
 def _texts_with_terms(rows: DataFrame, wanted: set[str]) -> list[tuple[int, int, float, list[str]]]:
@@ -352,18 +364,18 @@ def _texts_with_terms(rows: DataFrame, wanted: set[str]) -> list[tuple[int, int,
     return sorted((r["fold"], int(r["toxic"] == 1), r["words"], r["terms"]) for r in found.collect())
 
 
-def _loss(lexicon: Lexicon, fold: int, texts: Sequence[tuple[int, int, float, list[str]]]) -> float:
-    """Log loss on the texts of ``fold`` of a model fitted on the others; each term counts once a text."""
+def _losses(lexicon: Lexicon, fold: int, texts: Sequence[tuple[int, int, float, list[str]]]) -> np.ndarray:
+    """Log loss of each text of ``fold`` by a model fitted on the others; each term counts once a text."""
     terms = {**lexicon.words, **{f"{s}*": w for s, w in lexicon.stems.items()}}
     weights = [[terms[t] for t in row[3] if t in terms] for row in texts]
     cells = np.array([(max(w, default=0.0), sum(w), r[2], r[1], 1.0) for w, r in zip(weights, texts, strict=True)])
     own = np.array([r[0] == fold for r in texts])
     if own.all() or not own.any():
-        return 0.0
+        return np.zeros(int(own.sum()))
     z = np.array([design(*cell) for cell in cells[own, :3]]) @ np.array(_logistic(cells[~own]))
     p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-6, 1 - 1e-6)
     y = cells[own, 3]
-    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+    return -(y * np.log(p) + (1 - y) * np.log(1 - p))
 
 
 def log_odds(toxic: int, other: int, n: int, n_toxic: int) -> float:
