@@ -255,6 +255,9 @@ def oracles() -> dict[str, str]:
         "incremental_song_counts": f"""WITH {CLUSTERED}, per_song AS (SELECT cluster, g_id, count(*) AS n FROM clustered GROUP BY ALL)
             SELECT cluster, CAST(sum(n) AS BIGINT) AS n_plays, count(*) AS n_unique_plays,
                    first(g_id ORDER BY n DESC, g_id NULLS LAST) AS top_song_id FROM per_song GROUP BY cluster""",
+        "stream_sessions": f"""WITH {sessions('listener')} SELECT listener, epoch_us(any_value(ses_start)) AS ses_start,
+            epoch_us(any_value(ses_end)) AS ses_end, epoch_us(any_value(ses_end)) - epoch_us(any_value(ses_start)) AS ses_dur_us,
+            count(*) AS ses_len FROM sessions GROUP BY listener, session""",
         "cluster_stats": f"WITH {GLOBAL}, {MEANS}, {cluster_stats()} SELECT s.cluster, c.cluster_label, {r6('freq')} AS freq, "
         f"n_plays, n_unique_plays, n_sessions, top_song_id, {vector_text('c.centroid')} AS centroid "
         "FROM stats s LEFT JOIN centroids c ON c.cluster = s.cluster",

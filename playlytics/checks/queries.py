@@ -25,7 +25,8 @@ from playlytics.operators import (
 )
 from playlytics.plans import incremental
 from playlytics.sources import storage, tables
-from playlytics.sources.driver_tables import Inputs
+from playlytics.sources.driver_tables import Inputs, StreamInputs
+from playlytics.streaming import sessions as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -309,6 +310,22 @@ def incremental_song_counts(i):
     return incremental.read_song_counts(i.spark, _grown(i))
 
 
+@query
+def stream_sessions(i):
+    """The sessions of all listeners from a stream of both sources, closed at the end of the history."""
+    beats, path, checkpoint = (storage.scratch_path(i.spark, f"stream-{x}") for x in ("beats", "sessions", "checkpoint"))
+    streaming.write_heartbeat(i.spark, beats)
+    arriving = plays(StreamInputs(i.spark, i.folder)).select("dt", "listener")
+    found = streaming.stream_sessions(streaming.with_heartbeats(arriving, beats), by=("listener",))
+    streaming.run_available(found, path, checkpoint)
+    last = plays(i).agg(F.max("dt")).first()[0]
+    if last is not None:
+        streaming.end_stream(i.spark, beats, last)
+        streaming.run_available(found, path, checkpoint)
+    closed = i.spark.read.schema(found.schema).parquet(path)
+    return closed.withColumns({c: F.unix_micros(c) for c in ("ses_start", "ses_end")})
+
+
 # --- statistics ---
 
 

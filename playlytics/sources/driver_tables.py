@@ -104,3 +104,13 @@ class Inputs:
                 F.when(F.col("lang") == "en", cover).otherwise(F.col("url")).alias("header_url"),
             )
         )
+
+
+class StreamInputs(Inputs):
+    """The same inputs, with the plays read as streams of files; the match tables stay tables."""
+
+    def read(self, name: str) -> DataFrame:
+        if name not in ("events", "orders"):
+            return super().read(name)
+        # a pattern, as a stream's plain path must be a folder and a table may be one file
+        return self.spark.readStream.schema(super().read(name).schema).parquet(f"{self.folder}/{name}.parque[t]")
