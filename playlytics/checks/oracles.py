@@ -258,6 +258,12 @@ def oracles() -> dict[str, str]:
         "stream_sessions": f"""WITH {sessions('listener')} SELECT listener, epoch_us(any_value(ses_start)) AS ses_start,
             epoch_us(any_value(ses_end)) AS ses_end, epoch_us(any_value(ses_end)) - epoch_us(any_value(ses_start)) AS ses_dur_us,
             count(*) AS ses_len FROM sessions GROUP BY listener, session""",
+        "distinct_rollup": f"""WITH {GLOBAL} SELECT concat_ws(',', CASE WHEN grouping(year) = 0 THEN 'year,month' END,
+            CASE WHEN grouping(cluster) = 0 THEN 'cluster' END) AS level, year, month, cluster,
+            count(DISTINCT g_id) + max(CASE WHEN g_id IS NULL THEN 1 ELSE 0 END) AS n_g_id, count(DISTINCT session) AS n_session
+            FROM sessions GROUP BY GROUPING SETS ((year, month, cluster), (year, month), (cluster), ())""",
+        "median_rollup": f"""WITH {sessions('listener')} SELECT year, month, count(*) AS n_plays, median(ses_len) AS ses_len_median,
+            TRUE AS within_bound FROM sessions GROUP BY year, month""",
         "cluster_stats": f"WITH {GLOBAL}, {MEANS}, {cluster_stats()} SELECT s.cluster, c.cluster_label, {r6('freq')} AS freq, "
         f"n_plays, n_unique_plays, n_sessions, top_song_id, {vector_text('c.centroid')} AS centroid "
         "FROM stats s LEFT JOIN centroids c ON c.cluster = s.cluster",

@@ -17,6 +17,7 @@ from playlytics.operators import (
     graph,
     latent,
     matching,
+    rollups,
     search,
     sessions,
     songs,
@@ -351,6 +352,32 @@ def cluster_stats_listener(i):
     return rounded(found, "freq").drop("centroid")
 
 
+@query
+def distinct_rollup(i):
+    """Distinct songs and sessions per month and cluster, per month, per cluster and in all, merged from one pass over the plays."""
+    keys, levels = ["g_id", "session"], [("year", "month", "cluster"), MONTH, ("cluster",), ()]
+    fine = storage.materialise(rollups.distinct_bitmaps(in_sessions(i), keys, levels[0]), "bitmaps")
+    found = None
+    for per in levels:
+        counts = rollups.count_distinct(rollups.merge_bitmaps(fine, per), keys, per)
+        rows = counts.withColumn("level", F.lit(",".join(per)))
+        found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    return found
+
+
+@query
+def median_rollup(i):
+    """Median session lengths of every month from sketches per month and listener, against the exact ranks."""
+    plays_in = sessions.assign_sessions(clustered(i), by=("listener",))
+    fine = storage.materialise(rollups.sketches(plays_in, "ses_len", (*MONTH, "listener")), "sketches")
+    counts = storage.materialise(plays_in.groupBy(*MONTH, "ses_len").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    guess = rollups.merge_sketches(fine, MONTH).select(*MONTH, rollups.quantile().alias("guess"))
+    errors = rollups.rank_error(counts, guess, "ses_len", "guess", MONTH)
+    exact = counts.groupBy(*MONTH).agg(F.sum("n").alias("n_plays"), F.expr("percentile(ses_len, 0.5, n)").alias("ses_len_median"))
+    within = (F.col("error") <= rollups.RANK_BOUND).alias("within_bound")
+    return exact.join(errors, list(MONTH)).select(*MONTH, "n_plays", "ses_len_median", within)
+
+
 @query
 def cluster_pie(i):
     return stats.cluster_pie(stats.cluster_stats(in_sessions(i), centroid_table(i)))
