@@ -329,6 +329,9 @@ def oracles() -> dict[str, str]:
         f"TRUE AS in_order FROM range({DEFAULTS.n_clusters})",
         "kmeans_model_roundtrip": "SELECT vec_id AS id, TRUE AS same FROM embeddings",
         "assign_clusters": "SELECT vec_id AS g_id, TRUE AS is_nearest, TRUE AS labelled FROM embeddings",
+        "similarity_graph": "SELECT vec_id AS id, least(10, (SELECT count(*) FROM embeddings) - 1) AS n_neighbours, "
+        "TRUE AS weights_right FROM embeddings",
+        "spectral_clusters": "SELECT vec_id AS id, TRUE AS as_it_should FROM embeddings",
         "big5_month": f"WITH {EXPANDED}, {traits_sql()} SELECT {day('date')} AS date, {r6('logit')} AS logit, trait, trait_short, "
         f"trait_pos, trait_neg, trait_desc, {r6('score')} AS score, {r6('score_pct')} AS score_pct FROM monthly",
         "big5_overall": f"""WITH {EXPANDED}, {traits_sql()}, overall AS (

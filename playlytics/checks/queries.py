@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from playlytics.config import DEFAULTS
 from playlytics.functions import calendar, images, text, vectors
 from playlytics.operators import (
     clustering,
@@ -20,6 +21,7 @@ from playlytics.operators import (
     rollups,
     search,
     sessions,
+    similarity,
     songs,
     stats,
     traits,
@@ -564,6 +566,31 @@ def song_metadata(i):
     return songs.song_metadata(hits, i.songs())
 
 
+@query
+def similarity_graph(i):
+    """Every song with the number of its neighbours, and whether their weights are the cosines and in range of the graph's."""
+    edges = similarity.neighbour_graph(i.vectors())
+    unit = vectors.normalise_rows(i.vectors().withColumn("embedding", F.col("embedding").cast("array<double>")))
+    ends = lambda name: unit.select(F.col("id").alias(name), F.col("embedding").alias(f"{name}_v"))
+    cosine = F.aggregate(F.zip_with("src_v", "dst_v", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+    checked = edges.join(ends("src"), "src").join(ends("dst"), "dst").withColumn("right", F.abs(cosine - F.col("weight")) < 1e-9)
+    counts = checked.groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("n_neighbours"), F.bool_and("right").alias("weights_right"))
+    return i.vectors().select("id").join(counts, "id", "left")
+
+
+@query
+def spectral_clusters(i):
+    """Every song of the graph of strong similarities, and whether it is in exactly one of the communities."""
+    edges = storage.materialise(similarity.strongest(similarity.undirected(similarity.neighbour_graph(i.vectors()))), "edges")
+    nodes = edges.where("weight > 0").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    found = similarity.communities(edges).groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("community").alias("first"), F.max("community").alias("last")
+    )
+    one = (F.col("n") == 1) & (F.col("first") >= 0) & (F.col("last") < DEFAULTS.n_clusters)
+    ids = i.vectors().select("id").join(nodes.withColumn("in_graph", F.lit(True)), "id", "left").join(found, "id", "left")
+    return ids.select("id", F.when(F.col("in_graph"), F.coalesce(one, F.lit(False))).otherwise(F.col("n").isNull()).alias("as_it_should"))
+
+
 # --- vectors and search ---
 
 

@@ -1,0 +1,94 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from playlytics.operators import similarity
+
+SCHEMA = "id long, embedding array<float>"
+
+
+def planted(spark, groups=4, size=60, width=16, noise=0.15, seed=2):
+    rng = np.random.default_rng(seed)
+    middles = np.linalg.qr(rng.normal(size=(width, width)))[0][:groups]
+    rows = []
+    for i in range(groups * size):
+        rows.append((i, [float(x) for x in 3 * (middles[i % groups] + noise * rng.normal(size=width))]))
+    return spark.createDataFrame(rows, SCHEMA), rows
+
+
+def brute(rows, m):
+    x = np.array([np.float32(r[1]) for r in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(x @ x.T, 12)
+    ids = np.array([r[0] for r in rows])
+    out = set()
+    for i in range(len(rows)):
+        order = sorted((j for j in range(len(rows)) if j != i), key=lambda j: (-s[i, j], ids[j]))[:m]
+        out |= {(int(ids[i]), int(ids[j])) for j in order}
+    return out, {(int(ids[i]), int(ids[j])): s[i, j] for i in range(len(rows)) for j in range(len(rows))}
+
+
+@pytest.mark.parametrize("block", [2_000, 17])
+def test_neighbours_of_clustered_vectors(spark, block):
+    df, rows = planted(spark)
+    want, weights = brute(rows, 5)
+    got = similarity.neighbour_graph(df.repartition(5), 5, block=block).collect()
+    assert all(r["weight"] == pytest.approx(weights[r["src"], r["dst"]], abs=1e-6) for r in got)
+    found = {(r["src"], r["dst"]) for r in got}
+    assert len(found) == len(got) and len(found & want) / len(want) >= 0.9
+    assert max(sum(a == i for a, _ in found) for i in range(len(rows))) <= 5
+
+
+def test_one_bucket_in_blocks_is_searched_whole(spark):
+    df, rows = planted(spark, size=30)
+    want, _ = brute(rows, 4)
+    got = similarity.neighbour_graph(df, 4, tables=1, projections=1, length=100.0, block=7).collect()
+    # with a bucket for each side of every projection, one that holds all the vectors of a sign
+    keyed = similarity._keyed(similarity.unit_vectors(df), 1, 1, 100.0, 1738).groupBy("key").agg(F.collect_set("id").alias("ids")).collect()
+    side = {i: k for k, r in enumerate(keyed) for i in r["ids"]}
+    inside = {(a, b) for a, b in want if side[a] == side[b]}
+    assert inside <= {(r["src"], r["dst"]) for r in got}
+
+
+def test_recall_on_vectors_in_all_directions(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    want, _ = brute([(r["id"], r["embedding"]) for r in df.collect()], 10)
+    got = {(r["src"], r["dst"]) for r in similarity.neighbour_graph(df).collect()}
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_more_projections_save_pairs_of_clustered_vectors(spark):
+    df, rows = planted(spark, groups=12, size=40, noise=0.03)
+    want, _ = brute(rows, 5)
+    got = {(r["src"], r["dst"]) for r in similarity.neighbour_graph(df, 5, projections=9).collect()}
+    assert len(got & want) / len(want) >= 0.9
+    keyed = similarity._keyed(similarity.unit_vectors(df), 16, 9, 0.5, 1738)
+    a, b = keyed.select("tab", "key", F.col("id").alias("a")), keyed.select("tab", "key", F.col("id").alias("b"))
+    met = a.join(b, ["tab", "key"]).where("a < b").select("a", "b").distinct().count()
+    assert met < 0.35 * len(rows) * (len(rows) - 1) / 2
+
+
+def test_odd_vectors(spark):
+    rows = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [1.0, 0.0]), (5, [2.0, 0.0]), (6, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = similarity.neighbour_graph(df, 3).collect()
+    assert sorted(map(tuple, got)) == [(4, 5, 1.0), (5, 4, 1.0)]
+    none = similarity.neighbour_graph(df.where("id < 3"))
+    assert none.collect() == [] and similarity.communities(similarity.strongest(similarity.undirected(none))).collect() == []
+
+
+def test_planted_communities_are_found(spark):
+    df, rows = planted(spark, groups=3, size=50)
+    edges = similarity.strongest(similarity.undirected(similarity.neighbour_graph(df)))
+    got = {r["id"]: r["community"] for r in similarity.communities(edges, 3).collect()}
+    assert len(got) >= 0.95 * len(rows)
+    groups = [[got[i] for i, _ in rows if i % 3 == g and i in got] for g in range(3)]
+    modes = [max(set(g), key=g.count) for g in groups]
+    assert len(set(modes)) == 3
+    assert sum(g.count(m) for g, m in zip(groups, modes, strict=True)) >= 0.9 * len(got)
+
+
+def test_strongest_keeps_a_share(spark):
+    edges = spark.range(5000).selectExpr("id as src", "id + 1 as dst", "id / 5000D as weight")
+    n = similarity.strongest(edges, 0.8).count()
+    assert abs(n - 4000) <= 50
