@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playlytics.config import DEFAULTS
@@ -27,7 +27,7 @@ from playlytics.operators import (
     traits,
 )
 from playlytics.plans import incremental
-from playlytics.sources import storage, tables
+from playlytics.sources import results, storage, tables
 from playlytics.sources.driver_tables import Inputs, StreamInputs
 from playlytics.streaming import sessions as streaming
 
@@ -195,6 +195,29 @@ def kmeans_fit(i):
     )
 
 
+@query
+def kmeans_sizes(i):
+    """Fits of several sizes: the cost against that of the size before, and the silhouette against its range."""
+    found = clustering.compare_sizes(i.vectors(), [2, 4, 7])
+    before = F.lag("cost").over(Window.orderBy("k"))  # one row per size
+    return found.select(
+        "k", "n_clusters", F.coalesce(F.col("cost") <= before, F.lit(True)).alias("cost_falls"), F.col("silhouette").between(-1, 1).alias("in_range")
+    )
+
+
+@query
+def stored_result(i):
+    """A result that is computed, stored and then read from its store."""
+    kept = results.Results(i.spark, storage.scratch_path(i.spark, "results"), max_age=3600)
+    compute = lambda: stats.cluster_pie(stats.cluster_stats(in_sessions(i), centroid_table(i)))
+    kept.get("cluster pie", compute)
+
+    def again():
+        raise RuntimeError("the stored result was not found")
+
+    return kept.get("cluster pie", again)
+
+
 @query
 def kmeans_model_roundtrip(i):
     """Every song's cluster by the model that was saved and loaded again, against the fitted one."""
@@ -234,6 +257,16 @@ def month_filter(i):
     return calendar.filter_month(expanded(i), 2024, 1).select("source", "play_id", "year", "month", "day")
 
 
+@query
+def month_filter_pruned(i):
+    """The plays of a month from a table partitioned by month, whose partitions are pruned by a dimension table."""
+    plays_path, months_path = (storage.scratch_path(i.spark, name) for name in ("by-month", "months"))
+    storage.write_by_month(expanded(i).select("source", "play_id", "year", "month", "day"), plays_path)
+    by_month = i.spark.read.parquet(plays_path)
+    storage.write_table(calendar.month_dimension(by_month), months_path)
+    return calendar.filter_months(by_month, i.spark.read.parquet(months_path).where("label = 'January 2024'"))
+
+
 @query
 def month_list(i):
     return calendar.month_list(in_sessions(i)).withColumn("date", day())
@@ -528,6 +561,18 @@ def assign_clusters(i):
     return assigned.withColumn("centers", listed.scalar()).select("g_id", nearest.alias("is_nearest"), labelled.alias("labelled"))
 
 
+BUCKETS = 16
+
+
+@query
+def centroid_distance_colocated(i):
+    """Distances where vectors and assignment are stored in buckets by song, and joined where they lie."""
+    path = lambda name: storage.scratch_path(i.spark, name)
+    members = storage.write_bucketed(i.vectors().withColumnRenamed("id", "g_id"), path("vectors"), "g_id", BUCKETS)
+    assigned = storage.write_bucketed(i.song_clusters(), path("assigned"), "g_id", BUCKETS)
+    return rounded(clustering.centroid_distances(members.join(assigned, "g_id"), centroid_table(i)), "centroid_dist")
+
+
 @query
 def representative_songs(i):
     return rounded(songs.representative_songs(distances(i), plays(i), i.songs()), "centroid_dist")
@@ -625,6 +670,12 @@ def vector_search_blocks(i):
     return rounded(search.vector_search(searchable(i), centroid_queries(i), broadcast_bytes=2_048), "dist")
 
 
+@query
+def vector_search_sql(i):
+    """The same search in built-in expressions."""
+    return rounded(search.vector_search(searchable(i), centroid_queries(i), candidates=search.score_all), "dist")
+
+
 @query
 def vector_search_zero(i):
     """Search among vectors of which a fifth is zero: a zero vector scores 0 and displaces no better one."""
@@ -660,3 +711,11 @@ def text_search(i):
 def search_metadata(i):
     hits = search.text_search(_searches(i), _document_vectors(i), width=64)
     return songs.search_result_table(songs.song_metadata(hits, i.songs()))
+
+
+@query
+def search_metadata_colocated(i):
+    """Metadata of hits from songs that are stored in buckets by id: the few hits move, the songs do not."""
+    known = storage.write_bucketed(i.songs(), storage.scratch_path(i.spark, "songs"), "id", BUCKETS)
+    hits = search.text_search(_searches(i), _document_vectors(i), width=64)
+    return songs.search_result_table(songs.song_metadata(hits, known))

@@ -56,6 +56,20 @@ def filter_month(df: DataFrame, year: int | None = None, month: int | None = Non
     return df.where((F.col("year") == year) & (F.col("month") == month))
 
 
+def month_dimension(months: DataFrame) -> DataFrame:
+    """(year, month, date, label) of the months in ``months``."""
+    date = month_start()
+    return months.select("year", "month").distinct().withColumns({"date": date, "label": F.date_format(date, "MMMM yyyy")})
+
+
+def filter_months(df: DataFrame, months: DataFrame) -> DataFrame:
+    """Rows of the months in a (filtered) dimension table.
+
+    On a table that is partitioned by month only the partitions are read which the dimension turns out to hold when the query runs.
+    """
+    return df.join(months.select("year", "month"), ["year", "month"], "left_semi")
+
+
 def month_list(sessions: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Every local month from the last session's end back to the first session's start."""
     bounds = sessions.agg(F.max("ses_end").alias("newest"), F.min("ses_start").alias("oldest"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -14,6 +17,9 @@ from playlytics.sources.storage import materialise
 from playlytics.sources.tables import cluster_letter
 
 
+RESTARTS = 5
+
+
 def _features(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
 
@@ -25,6 +31,32 @@ def fit_clusterer(
     return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol).fit(_features(vectors).select("features"))
 
 
+def compare_sizes(vectors: DataFrame, sizes: Sequence[int], seed: int = DEFAULTS.seed, max_iter: int = 300) -> DataFrame:
+    """(k, n_clusters, cost, silhouette) for several numbers of clusters, to choose one by.
+
+    ``cost`` is the sum of squared distances to the own center. A fit may end in a worse local optimum than a smaller one did, so
+    each starts anew until its cost is not above that of the last smaller k, ``RESTARTS`` times at most. The silhouette (-1 to 1, squared distances)
+    is NULL where all songs are in one cluster. Each k reads the vectors anew; only centers and sums reach the driver.
+    """
+    features = materialise(vectors.select("embedding"), "features")
+    features = _features(features).select("features")
+    evaluator = ClusteringEvaluator(distanceMeasure="squaredEuclidean")
+    rows: list[tuple] = []
+    for k in sorted(set(sizes)):
+        model = None
+        for again in range(RESTARTS):
+            found = KMeans(k=k, seed=seed + again, maxIter=max_iter).fit(features)
+            if model is None or found.summary.trainingCost < model.summary.trainingCost:
+                model = found
+            if not rows or model.summary.trainingCost <= rows[-1][2]:
+                break
+        predicted = model.transform(features)
+        used = predicted.select("prediction").distinct().count()
+        silhouette = float(evaluator.evaluate(predicted)) if used > 1 else None
+        rows.append((k, used, float(model.summary.trainingCost), silhouette))
+    return vectors.sparkSession.createDataFrame(rows, "k int, n_clusters int, cost double, silhouette double")
+
+
 def raw_assignment(vectors: DataFrame, model: KMeansModel) -> DataFrame:
     return model.transform(_features(vectors)).drop("features").withColumnRenamed("prediction", "model_cluster")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from playlytics.config import DEFAULTS, SEARCH_TASK
 from playlytics.functions.text import embed_texts, search_prompt
+from playlytics.functions.vectors import inner_product
 from playlytics.sources.storage import materialise
 from playlytics.sources.tables import fixed_width_vectors, vector_width
 
@@ -88,9 +89,19 @@ def _candidates(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     return vectors.mapInArrow(scan, HITS)
 
 
+def score_all(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """Every vector's score for each of the queries in built-in expressions; the ranking keeps ``n`` per task and query before it shuffles."""
+    listed = queries.agg(F.collect_list(F.struct("search_num", "embedding")).alias("wanted"))  # a slice of bounded size
+    asked = vectors.select("id", "embedding", F.explode(listed.scalar()).alias("q"))
+    score = F.round(inner_product(F.col("embedding"), F.col("q.embedding")), SCORE_DIGITS)
+    return asked.select("q.search_num", "id", score.alias("dist")).where("dist is not null and not isnan(dist)")
+
+
 def _best_of_tasks(candidates: DataFrame, n: int) -> DataFrame:
     ranked = Window.partitionBy("search_num").orderBy(F.desc("dist"), "id")
-    return candidates.withColumn("rank", F.row_number().over(ranked) - 1).where(F.col("rank") < n)
+    # a limit on the row number itself, so that Catalyst applies it before the shuffle as well
+    best = candidates.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= n)
+    return best.withColumn("rank", F.col("place") - 1).drop("place")
 
 
 def vector_search(
@@ -100,13 +111,14 @@ def vector_search(
     min_dist: float | None = None,
     max_dist: float | None = None,
     broadcast_bytes: int = BROADCAST_QUERY_BYTES,
+    candidates: Callable[[DataFrame, DataFrame, int], DataFrame] = _candidates,
 ) -> DataFrame:
     """The ``n`` vectors with the largest inner product for each query: (search_num, rank, id, dist).
 
     ``vectors`` (id, embedding) never move. Queries (search_num, embedding) go to every task, in slices of at most
     about ``broadcast_bytes``; each slice is one scan, and its hits are written before the next one begins. Each task
     returns its own best ``n``. Equal scores rank by id. A zero vector scores 0; one with missing elements is no
-    hit. The bounds apply after the best ``n`` are chosen.
+    hit. The bounds apply after the best ``n`` are chosen. With ``candidates=score_all`` no Python worker takes part.
     """
     stored = materialise(queries.select(F.col("search_num").cast("long"), F.col("embedding").cast("array<double>")), "queries")
     n_queries, width = stored.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
@@ -114,10 +126,10 @@ def vector_search(
     in_slice = max(1, broadcast_bytes // ((width or 1) * 8))
     slices = max(1, -(-n_queries // in_slice))
     if slices == 1:
-        hits = _best_of_tasks(_candidates(corpus, stored, n), n)
+        hits = _best_of_tasks(candidates(corpus, stored, n), n)
     else:
         part = F.pmod(F.xxhash64("search_num"), F.lit(slices))
-        found = [materialise(_best_of_tasks(_candidates(corpus, stored.where(part == k), n), n), "hits") for k in range(slices)]
+        found = [materialise(_best_of_tasks(candidates(corpus, stored.where(part == k), n), n), "hits") for k in range(slices)]
         hits = reduce(DataFrame.unionByName, found)
     if min_dist is not None:
         hits = hits.where(F.col("dist") >= min_dist)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _roots: dict[str, str] = {}  # of applications whose session does not name a folder
 _scopes: list[list[str]] = []
@@ -38,7 +40,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -51,12 +53,12 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; results that were not stored can no longer be read."""
-    _delete(spark, scratch_root(spark))
+    delete(spark, scratch_root(spark))
 
 
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -87,7 +89,7 @@ def replace_months(df: DataFrame, path: str) -> None:
 
 
 def delete_month(spark: SparkSession, path: str, year: int, month: int) -> None:
-    _delete(spark, f"{path}/year={year}/month={month}")
+    delete(spark, f"{path}/year={year}/month={month}")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -95,10 +97,75 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, wherever Spark can reach it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file in one step: readers see the old text or the new one."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    made, place = fs.Path(f"{path}.{uuid.uuid4().hex}"), fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    stream = place.getFileSystem(conf).create(made, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    rename = getattr(fs, "Options$Rename")
+    options = spark._sc._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    fs.FileContext.getFileContext(place.getFileSystem(conf).getUri(), conf).rename(made, place, options)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(place)) if system.exists(place) else []
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` bucketed and sorted by ``key``, one file a bucket, and open it: joins on ``key`` then need not move it.
+
+    Choose at least as many buckets as shuffle partitions; a table with fewer is shuffled nevertheless. Its layout is
+    stored beside it, so that any session can open it.
+    """
+    spark = df.sparkSession
+    name = _table_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    writer = df.repartition(buckets, F.col(key)).write.mode("overwrite").option("path", path)
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    write_table(spark.createDataFrame([(columns, key, buckets)], "columns string, key string, buckets int"), f"{path}.layout")
+    return spark.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """A table of ``write_bucketed``, in a session that may not know it yet."""
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        r = spark.read.parquet(f"{path}.layout").first()
+        spark.sql(
+            f"CREATE TABLE {name} ({r['columns']}) USING parquet CLUSTERED BY (`{r['key']}`) SORTED BY (`{r['key']}`) "
+            f"INTO {r['buckets']} BUCKETS LOCATION '{path}'"
+        )
+    return spark.table(name)
+
+
+def _table_name(path: str) -> str:
+    return f"bucketed_{hashlib.md5(path.encode()).hexdigest()}"
+
+
 def save_clusterer(model: KMeansModel, path: str) -> None:
     model.write().overwrite().save(path)
 
