@@ -44,6 +44,7 @@ STEMS = (4, 5, 6, 7, 8, 9, 10)
 LEAST = 3  # texts that a term must occur in to be tested
 LEVELS = (0.2, 2.0, 20.0, 200.0)  # expected numbers of terms that enter the lexicon by chance; of tens of thousands, and each rare
 FOLDS = 4
+COUNTED = 1 << 19  # letters of texts whose terms a worker counts before it hands the counts on
 NEAR = 3  # minimum hashes any of which two texts must share to count as near copies
 REFINED = 0.7  # log odds by which a longer term must exceed an accepted stem
 WINDOW = 8
@@ -279,14 +280,21 @@ def terms_of(text: str) -> set[str]:
 def _term_counts(rows: DataFrame) -> DataFrame:
     """(term, toxic texts, other texts), both by fold."""
 
+    def flush(by: list[Counter]) -> pa.RecordBatch:
+        terms = list(set().union(*by))
+        counts = [pa.array([c[t] for t in terms], pa.int64()) for c in by]
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *counts], names=["term", *cells])
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by, letters = [Counter() for _ in range(2 * FOLDS)], 0
         for batch in batches:
-            by = [Counter() for _ in range(2 * FOLDS)]
             for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 by[2 * fold + (toxic == 1)].update(terms_of(text))
-            terms = list(set().union(*by))
-            counts = [pa.array([c[t] for t in terms], pa.int64()) for c in by]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *counts], names=["term", *cells])
+                letters += len(text)
+                if letters > COUNTED:  # a text has some times as many terms as words, which must not pile up
+                    yield flush(by)
+                    by, letters = [Counter() for _ in range(2 * FOLDS)], 0
+        yield flush(by)
 
     cells = [f"{name}{k}" for k in range(FOLDS) for name in ("other", "toxic")]
     parts = rows.select("text", "toxic", "fold").mapInArrow(count, "term string, " + ", ".join(f"{c} bigint" for c in cells))
