@@ -35,6 +35,37 @@ def test_blocks(html, text):
     assert text_of(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<!-- <script src=x> --><article><p>a</p></article>", "a"),
+        ("<script>x = '<!--';</script><article><p>a</p></article><!-- b -->", "a"),
+        ("<script>x = '<article>';</script><main>m</main>", "m"),
+        ("<div class='layout has-sidebar'><article><p>a</p></article></div>", "a"),
+        ("<div id='post-with-comments'><article><p>a</p></article></div>", "a"),
+        ("<div class='sidebar'><article>t</article></div><article><p>a</p></article>", "a"),
+        ("<aside><article>t</article></aside><main><p>m</p></main>", "m"),
+        ("<form><div class='page-header'>h</div><article><p>a</p><div class='article-comments'>c</div></article>x</form>", "a"),
+        ("<div class='cookie'>c<main><p>m</p><div class=ad-slot>b</div></main></div>", "m"),
+        ("<main><div class=related><article>t</article></div><p>the text</p></main>", "the text"),
+        ("<main><article><h1>long</h1><p>" + "w " * 50 + "</p></article><article><p>teaser</p></article></main>", "long\n" + ("w " * 50).strip()),
+        ("<article><div class='entry-header'><h1>t</h1></div><div class='siteNotice'>n</div><p data-role='header'>p</p></article>", "t\np"),
+        ("<article><p>a</p><article class='comment'><p>c</p></article><div class='comments'><article>d</article></div></article>", "a"),
+        ("<nav><article>n</article></nav><p>o</p>", "o"),
+    ],
+)
+def test_main_text_is_not_lost(html, text):
+    assert text_of(html) == text
+
+
+def test_container_is_seen_in_the_markup_only(spark):
+    menu = " ".join(f"item{i}" for i in range(12))
+    html = lambda i: f"<script>'<article>'</script><!-- <main> --><div>{menu}</div><p>own{i}</p>"
+    rows = [(i, "http://a.example/", html(i)) for i in range(5)] + [(9, None, f"<p>{menu}</p>"), (10, None, f"<p>{menu} x</p>")]
+    got = extraction.extract_text(spark.createDataFrame(rows, PAGES)).collect()
+    assert sorted(r["text"] for r in got) == sorted(["", "x", *[f"own{i}" for i in range(5)]])
+
+
 def test_suffix_ranks_against_slices():
     rng = np.random.default_rng(1)
     tokens = rng.integers(0, 3, 200)
