@@ -77,10 +77,12 @@ def may_be_in(df: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
     planes = planes.agg(F.expr(f"bitmap_construct_agg(slot % {_PLANE})").alias("plane_bits"))
     planes = materialise(planes, "bitmap")
     place = F.expr(f"pmod(xxhash64({key}), {bits}) % {_PLANE}")
-    byte = F.conv(F.hex(F.substring(F.col("plane_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    plane, bytes_ = free_name(df, "plane"), free_name(df, "plane_bits")
+    planes = planes.select(F.col("plane").alias(plane), F.col("plane_bits").alias(bytes_))
+    byte = F.conv(F.hex(F.substring(F.col(bytes_), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     held = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
-    met = df.withColumn("plane", F.expr(f"pmod(xxhash64({key}), {bits}) div {_PLANE}")).join(F.broadcast(planes), "plane", "left")
-    return met.withColumn(name, held).drop("plane", "plane_bits")
+    met = df.withColumn(plane, F.expr(f"pmod(xxhash64({key}), {bits}) div {_PLANE}")).join(F.broadcast(planes), plane, "left")
+    return met.withColumn(name, held).drop(plane, bytes_)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playlytics.llm.common import components, materialise, may_be_in, sorted_groups, with_text_columns
+from playlytics.llm.common import components, free_name, materialise, may_be_in, sorted_groups, with_text_columns
 from playlytics.llm.words import hashed_texts, mix, shingles
 from playlytics.sources.storage import scratch_scope
 
@@ -311,16 +311,16 @@ def text_key(text: str, doc_id: str = "doc_id") -> Column:
 
 
 def _linked_texts(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(text, class_key, class_id, copy_id, n_copies, n_links) of the texts with copies or links."""
+    """(text, class_key, class_id, copy_id, n_copies, n_links, first_rows) of the texts with copies or links."""
     rows = docs.select("doc_id", text_key("text").alias("key"), "text")
     sketched = with_text_columns(rows, "sketch binary", lambda t: [pa.array(sketches(t), pa.binary())])
     rows = materialise(sketched.select("doc_id", F.col("key").alias("text"), "sketch"), "sketches")
-    texts = materialise(
-        rows.where("sketch is not null")
-        .groupBy("text")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")),
-        "texts",
-    )
+    # first by text and id, so that the rows of a text with many copies are combined in many tasks
+    by_id = rows.where("sketch is not null").groupBy("text", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("sketch").alias("sketch"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n"))
+    texts = by_id.groupBy("text").agg(F.sum("n").alias("copies"), first.alias("first"), F.first("sketch").alias("sketch"))
+    texts = texts.select("text", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.n").alias("first_rows"), "sketch")
+    texts = materialise(texts, "texts")
     found = buckets(texts.select("text", "sketch"), runs_needed(threshold, recall))
     groups = components(candidate_links(found, texts, threshold), "candidates")
     members = groups.select(F.col("node").alias("text"), F.col("root").alias("group")).join(texts.drop("sketch"), "text")
@@ -355,6 +355,7 @@ def _linked_texts(docs: DataFrame, threshold: float, recall: float) -> DataFrame
         F.col("first_id").alias("copy_id"),
         F.col("copies").alias("n_copies"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        "first_rows",
     )
     return known
 
@@ -381,17 +382,14 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
 
 def _decide(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(near_key, near_kept, near_id, near_rows): for each linked text, whether its class keeps it, and the id of the kept row."""
-    linked = similarity_classes(docs, threshold, recall).where("n_links > 0")
-    rows = linked.groupBy("class_key", "doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
-    rows = materialise(rows, "class-rows")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", "n")
-    first = rows.groupBy("class_key").agg(F.min(order).alias("first"))
-    decided = rows.select("class_key", "text").distinct().join(first, "class_key")
-    return decided.select(
+    linked = materialise(_linked_texts(docs, threshold, recall).where("n_links > 0"), "linked-texts")
+    order = F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "text", "first_rows")
+    first = linked.groupBy("class_key").agg(F.min(order).alias("first"))
+    return linked.join(first, "class_key").select(
         F.col("text").alias("near_key"),
         (F.col("first.text") == F.col("text")).alias("near_kept"),
-        F.col("first.doc_id").alias("near_id"),
-        F.col("first.n").alias("near_rows"),
+        F.col("first.copy_id").alias("near_id"),
+        F.col("first.first_rows").alias("near_rows"),
     )
 
 
@@ -402,12 +400,16 @@ def one_per_class(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     """
     with scratch_scope(docs.sparkSession):
         decided = materialise(_decide(docs, threshold, recall), "decided", keep=True)
-    marked = may_be_in(docs.withColumn("near_key", text_key("text")), "near_key", decided, "near_maybe")
-    met = marked.where("near_maybe").join(decided, "near_key", "left")
-    kept = met.where(F.col("near_kept").isNull() | (F.col("near_kept") & F.col("doc_id").eqNullSafe(F.col("near_id"))))
-    again = F.coalesce(F.col("near_rows") > 1, F.lit(False))
-    rest = marked.where("not near_maybe").select(docs.columns)
+    key, maybe, kept_text, id_, again = (free_name(docs, c) for c in ("near_key", "near_maybe", "near_kept", "near_id", "near_again"))
+    decision = decided.select(
+        F.col("near_key").alias(key), F.col("near_kept").alias(kept_text), F.col("near_id").alias(id_), (F.col("near_rows") > 1).alias(again)
+    )
+    marked = may_be_in(docs.withColumn(key, text_key("text")), key, decision, maybe)
+    met = marked.where(maybe).join(decision, key, "left")
+    kept = met.where(F.col(kept_text).isNull() | (F.col(kept_text) & F.col("doc_id").eqNullSafe(F.col(id_))))
+    several = F.coalesce(F.col(again), F.lit(False))
+    rest = marked.where(~F.col(maybe)).select(docs.columns)
     if decided.where("near_kept and near_rows > 1").isEmpty():
         return rest.unionByName(kept.select(docs.columns))
-    once = kept.where(again).dropDuplicates(["near_key"])
-    return rest.unionByName(kept.where(~again).select(docs.columns)).unionByName(once.select(docs.columns))
+    once = kept.where(several).dropDuplicates([key])
+    return rest.unionByName(kept.where(~several).select(docs.columns)).unionByName(once.select(docs.columns))

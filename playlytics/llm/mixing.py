@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playlytics.llm.common import materialise
+from playlytics.llm.common import free_name, materialise
 
 Knots = Sequence[tuple[float, float]]
 
@@ -113,12 +113,19 @@ def source_targets(
 
 
 def assign(
-    docs: DataFrame, schedules: Sequence[Knots] = SCHEDULES, share: float = SHARE, repeats: float = REPEATS, size: str = "size"
+    docs: DataFrame,
+    schedules: Sequence[Knots] = SCHEDULES,
+    share: float = SHARE,
+    repeats: float = REPEATS,
+    size: str = "size",
+    name: str = "mix",
 ) -> DataFrame:
     """Add ``mix``: source_size, target and the copies taken (copy, words, position) of every row.
 
-    ``docs`` has doc_id, source and the words of the text in ``size``. It is read twice.
+    ``docs`` has doc_id, source and the words of the text in ``size``. It is read twice. Where it has a column of that ``name``, the new
+    one has underscores in front.
     """
+    name = free_name(docs, name)
     key = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source"))
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(
@@ -167,7 +174,7 @@ def assign(
             due(segments, c["first"].cast("double") / F.col("budget") * integrals).alias("position"),
         ),
     )
-    return placed.withColumn("used", used).select("doc.*", F.struct("source_size", "target", timed.alias("copies")).alias("mix"))
+    return placed.withColumn("used", used).select("doc.*", F.struct("source_size", "target", timed.alias("copies")).alias(name))
 
 
 def mix(
@@ -176,13 +183,16 @@ def mix(
     """The mixed documents, one row per copy, range-sorted by position.
 
     With ``whole`` the copy that a target cuts is kept whole if at least half of it is taken and else left out, and the columns
-    are those of ``docs``; otherwise ``mix_copy``, ``mix_words`` (the words that count) and ``mix_position`` are added.
+    are those of ``docs``; otherwise ``mix_copy``, ``mix_words`` (the words that count) and ``mix_position`` are added, with underscores in
+    front where ``docs`` has such columns.
     """
-    taken = assign(docs.withColumn("mix_size", word_count("text")), schedules, share, repeats, "mix_size")
-    copies = taken.select("*", F.explode("mix.copies").alias("mix_taken"))
+    size, name, one = (free_name(docs, wish) for wish in ("mix_size", "mix", "mix_taken"))
+    taken = assign(docs.withColumn(size, word_count("text")), schedules, share, repeats, size, name)
+    copies = taken.select("*", F.explode(f"{name}.copies").alias(one))
     if whole:
-        copies = copies.where(2 * F.col("mix_taken.words") >= F.col("mix_size"))
-    ordered = copies.orderBy("mix_taken.position", "doc_id", "mix_taken.copy")
+        copies = copies.where(2 * F.col(f"{one}.words") >= F.col(size))
+    ordered = copies.orderBy(f"{one}.position", "doc_id", f"{one}.copy")
     if whole:
         return ordered.select(docs.columns)
-    return ordered.select(*docs.columns, *[F.col(f"mix_taken.{c}").alias(f"mix_{c}") for c in ("copy", "words", "position")])
+    added = [F.col(f"{one}.{c}").alias(free_name(docs, f"mix_{c}")) for c in ("copy", "words", "position")]
+    return ordered.select(*docs.columns, *added)

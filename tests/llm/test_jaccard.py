@@ -129,3 +129,24 @@ def test_query_against_all_pairs(spark, folder):
     links, classes = brute(rows)
     got = {r["doc_id"]: r for r in op3_jaccard_join(spark, folder).collect()}
     assert {i: (got[i]["n_links"], got[i]["class_id"]) for i, _ in rows} == {i: (links[k], classes[k]) for k, (i, _) in enumerate(rows)}
+
+
+def test_clashing_names_stay_as_they_are(spark, rows):
+    names = ["near_key", "near_maybe", "NEAR_KEPT", "near_id", "near_again", "near_rows", "plane", "plane_bits", "first", "copies"]
+    docs = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in rows[:30]], SCHEMA + "".join(f", {n} string" for n in names))
+    docs = docs.unionByName(docs.where("doc_id = 3"))
+    kept = jaccard.one_per_class(docs)
+    assert kept.columns == docs.columns
+    plain = jaccard.one_per_class(docs.select("doc_id", "text"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in plain.collect())
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in kept.collect() for n in names)
+
+
+def test_many_copies_do_not_meet_by_text(spark):
+    """The decision is taken on one row per text; rows are first combined by text and id."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, text) for i in range(3000)] + [(i, text + " end") for i in range(3000, 3010)] + [(0, text)] * 3
+    kept = jaccard.one_per_class(spark.createDataFrame(rows, SCHEMA).repartition(7))
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+    known = jaccard._linked_texts(spark.createDataFrame(rows, SCHEMA), jaccard.THRESHOLD, jaccard.RECALL).collect()
+    assert sorted((r["copy_id"], r["n_copies"], r["first_rows"]) for r in known) == [(0, 3003, 4), (3000, 10, 1)]

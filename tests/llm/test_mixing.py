@@ -100,3 +100,19 @@ def test_query_is_stable_and_native(spark, folder):
     for (source_size, target), rows in by_source.items():
         sources = round(sum(r["size"] for r in rows) / source_size)  # sources of equal size and target
         assert abs(sum(r["taken"] for r in rows) - sources * target) <= sources
+
+
+def test_clashing_names_stay_as_they_are(spark):
+    names = ["mix", "mix_size", "mix_taken", "Mix_Copy", "start", "running"]
+    data = [(i, "a b c " * (i % 5), f"s{i % 2}", *[f"{n}{i}" for n in names]) for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string" + "".join(f", {n} string" for n in names))
+    for whole in (True, False):
+        got = mixing.mix(docs, whole=whole)
+        plain = mixing.mix(docs.select("doc_id", "text", "source"), whole=whole)
+        assert got.columns[: len(docs.columns)] == docs.columns
+        rows = got.collect()
+        assert [r["doc_id"] for r in rows] == [r["doc_id"] for r in plain.collect()]
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    assert got.columns[-3:] == ["_mix_copy", "mix_words", "mix_position"]
+    taken = mixing.assign(docs.withColumn("size", mixing.word_count("text")))
+    assert taken.columns[-1] == "_mix"
