@@ -694,7 +694,7 @@ def _searches(i: Inputs) -> DataFrame:
 
 def _document_vectors(i: Inputs) -> DataFrame:
     documents = i.read("documents").select(F.col("doc_id").alias("id"), "text")
-    return text.embed_texts(documents).select("id", "embedding")
+    return text.embed_texts(tables.spread(documents)).select("id", "embedding")
 
 
 @query

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
@@ -16,8 +14,6 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from playlytics.config import PROMPT, SEARCH_TASK
 
-WORD_BREAK = "[ \\t\\n\\r]+"
-
 
 def uri_field(uri: Column, index: int = 2, separator: str = ":") -> Column:
     """One field of a URI, NULL when it is missing."""
@@ -33,8 +29,21 @@ def display_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.replace("_", " ").title() for c in df.columns])
 
 
-_SPACE = re.compile(WORD_BREAK)
-_slots: dict[tuple[str, int], int] = {}
+class _Slots(dict):
+    """The slot of each word met so far, of ``slots``; the empty word has the one after the last."""
+
+    def __init__(self, slots: int):
+        self.slots = slots
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        slot = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.slots if word else self.slots
+        self[word] = slot
+        return slot
+
+
+_slots: dict[int, _Slots] = {}  # one of each width in a worker
 
 
 def hashed_word_counts(texts: Iterable[str | None], width: int) -> np.ndarray:
@@ -43,28 +52,18 @@ def hashed_word_counts(texts: Iterable[str | None], width: int) -> np.ndarray:
     The first 8 hexadecimal digits of a word's MD5 choose its position and sign: of the 2 ``width`` slots the
     first half counts for a position, the second half against it.
     """
+    slots = _slots.setdefault(2 * width, _Slots(2 * width))
     rows = []
     for text in texts:
         if text is None:
             rows.append(np.full(width, np.nan))
             continue
-        counts = np.zeros(2 * width)
-        for word, n in Counter(_SPACE.split(text)).items():
-            if word:
-                counts[_slot(word, 2 * width)] += n
-        rows.append(counts[:width] - counts[width:])
+        words = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
+        counts = np.bincount(np.fromiter(map(slots.__getitem__, words), np.intp, len(words)), minlength=2 * width + 1)
+        rows.append((counts[:width] - counts[width : 2 * width]).astype(float))
     return np.array(rows).reshape(-1, width)
 
 
-def _slot(word: str, slots: int) -> int:
-    found = _slots.get((word, slots))
-    if found is None:
-        if len(_slots) >= 500_000:
-            _slots.clear()
-        found = _slots[(word, slots)] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % slots
-    return found
-
-
 def embed_texts(
     df: DataFrame,
     text: str = "text",

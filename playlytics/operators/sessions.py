@@ -9,7 +9,7 @@ width = gap) cannot be separated by a break, so breaks lie between cells only. P
 ``order_within_sessions`` numbers the plays themselves. Cells and plays are numbered alike: the written rows are
 range-partitioned on the whole sort key into chunks of about ``CHUNK_ROWS`` (a hot instant, listener or session
 spreads over many chunks) and numbered inside their chunk. A chunk boundary cuts at most one history, so at most
-two chunk ends per chunk need correcting, and those few rows are broadcast.
+two chunk ends per chunk need correcting; with at most ``MAX_CHUNKS`` chunks these are at most 40,000 rows, which are broadcast.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from playlytics.sources.storage import materialise
 
 ORDER = ("source", "play_id", "g_id")  # those that the plays have; with ``dt`` a total order
 CHUNK_ROWS = 250_000
+MAX_CHUNKS = 20_000  # of larger tables the chunks are larger
 
 
 def session_cells(plays: DataFrame, gap_us: int = DEFAULTS.session_gap_us, by: Sequence[str] = ()) -> DataFrame:
@@ -102,21 +103,29 @@ def _number(
 ) -> DataFrame:
     """Session numbers, bounds and positions of written ``rows`` (first_us, last_us, n plays), ordered by ``order``."""
     if chunks is None:
-        chunks = max(1, -(-rows.count() // CHUNK_ROWS))
+        n = rows.count()
+        chunks = max(1, -(-n // max(CHUNK_ROWS, -(-n // MAX_CHUNKS))))
+    group = [*by, "chunk"]
     # the chunk of a row is fixed by writing it: two runs may sample other range bounds
     stored = materialise(_number_chunks(rows, gap_us, by, previous, chunks, order), "ordered")
     split = materialise(_split_histories(stored, gap_us, by, previous), "split")
-    edges = edge_pieces(split, by)
-    group = [*by, "chunk"]
     fixes = split.select(*group, "base", "head_break", "prev_last", *[f"carried_{c}" for c in previous])
-    joined = null_safe_join(stored, F.broadcast(fixes), group)
-    return null_safe_join(joined, F.broadcast(edges), [*group, "piece"])
+    small = F.broadcast if chunks <= MAX_CHUNKS else lambda df: df
+    joined = null_safe_join(stored, small(fixes), group)
+    return null_safe_join(joined, small(edge_pieces(split, by)), [*group, "piece"])
 
 
 def _number_chunks(
     rows: DataFrame, gap_us: int, by: Sequence[str], previous: Sequence[str], chunks: int, order: Sequence[str]
 ) -> DataFrame:
     """Cut each history into chunks and number the session pieces and positions inside each chunk."""
+    key = [F.col(c) for c in by] + [F.col(c).asc_nulls_last() for c in order]
+    cut = rows.repartitionByRange(chunks, *key).withColumn("chunk", F.spark_partition_id())
+    return _number_pieces(cut, gap_us, by, previous, order)
+
+
+def _number_pieces(rows: DataFrame, gap_us: int, by: Sequence[str], previous: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Number the session pieces and positions of each history inside each chunk."""
     group = [*by, "chunk"]
     key = [F.col(c).asc_nulls_last() for c in order]
     in_group = Window.partitionBy(*group).orderBy(*key)
@@ -125,9 +134,7 @@ def _number_chunks(
     is_break = F.coalesce(F.col("first_us") - F.col("prev_us") > gap_us, F.lit(False))
     inside = F.col("pos") > 0
     return (
-        rows.repartitionByRange(chunks, *[F.col(c) for c in by], *key)
-        .withColumn("chunk", F.spark_partition_id())
-        .withColumns(
+        rows.withColumns(
             {
                 "prev_us": F.lag("last_us").over(in_group),
                 "is_first": F.lag(F.lit(True)).over(in_group).isNull(),

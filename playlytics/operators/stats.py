@@ -39,21 +39,21 @@ def cluster_stats(
     ``centroids`` has one row per cluster.
     """
     group = [*per, "cluster"]
-    # the only pass over plays, written: both counts below read it, each shuffled by its own key
-    counts = materialise(plays.groupBy(*group, "g_id", *by, "session").agg(F.count(F.lit(1)).alias("n")), "counts")
-    songs = counts.groupBy(*group, "g_id").agg(F.sum("n").alias("n"))
-    per_song = songs.groupBy(*group).agg(
-        F.sum("n").alias("n_plays"),
-        F.count(F.lit(1)).alias("n_unique_plays"),
-        most_frequent("g_id", "n").alias("top_song_id"),
+    # one pass over plays: they are counted by song and by session, each combined before its shuffle
+    by_song = [*group, "g_id"]
+    by_session = [*group, *by, "session"]
+    counts = plays.groupingSets([by_song, by_session], *dict.fromkeys(by_song + by_session)).agg(
+        (F.grouping("g_id") == 0).alias("is_song"), F.count(F.lit(1)).alias("n")
     )
-    per_session = (
-        counts.select(*group, *by, "session").distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("n_sessions"))
+    of_songs = F.when(F.col("is_song"), F.col("n"))
+    found = counts.groupBy(*group).agg(
+        F.sum(of_songs).alias("n_plays"),
+        F.count_if("is_song").alias("n_unique_plays"),
+        F.max_by("g_id", F.when(F.col("is_song"), F.struct(F.col("n"), -F.col("g_id")))).alias("top_song_id"),
+        F.count_if(~F.col("is_song")).alias("n_sessions"),
     )
     # at most (clusters + 1) rows per value of ``per`` from here on
-    found = null_safe_join(per_song, per_session, group, "inner").withColumn(
-        "freq", F.col("n_plays") / F.sum("n_plays").over(Window.partitionBy(*per))
-    )
+    found = found.withColumn("freq", F.col("n_plays") / F.sum("n_plays").over(Window.partitionBy(*per)))
     wanted = centroids.select("cluster")
     if per:
         periods = found.select(*per).distinct()

@@ -6,13 +6,15 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _roots: dict[str, str] = {}  # of applications whose session does not name a folder
-_scopes: list[list[str]] = []
+# the open scopes of this thread: application and paths
+_scopes: ContextVar[tuple[tuple[str, list[str]], ...]] = ContextVar("scopes", default=())
 
 
 def use_scratch_folder(spark: SparkSession, folder: str) -> None:
@@ -35,11 +37,16 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    own = _own_scopes(spark)
+    if own:
+        own[-1].append(path)
     return path
 
 
+def _own_scopes(spark: SparkSession) -> list[list[str]]:
+    return [paths for app, paths in _scopes.get() if app == spark.sparkContext.applicationId]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
@@ -48,11 +55,13 @@ def delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Delete the intermediate tables written inside when the block ends, with its results stored elsewhere."""
-    _scopes.append([])
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), (spark.sparkContext.applicationId, paths)))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(token)
+        for path in paths:
             delete(spark, path)
 
 
@@ -70,10 +79,11 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    if keep and _scopes:
-        _scopes[-1].remove(path)
-        if len(_scopes) > 1:
-            _scopes[-2].append(path)
+    own = _own_scopes(spark)
+    if keep and own:
+        own[-1].remove(path)
+        if len(own) > 1:
+            own[-2].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -50,6 +50,12 @@ def read_jdbc(
     return drop_prefixed(df.select(*columns) if columns else df)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores dealt to a task for each core, for work that costs more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def run_query(spark: SparkSession, query: str, params: Mapping[str, object] | None = None) -> DataFrame:
     """A SQL query with named parameters (``:name``) over registered tables."""
     return spark.sql(query, args=dict(params or {}))

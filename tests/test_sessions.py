@@ -160,3 +160,19 @@ def test_invalid_gap(spark):
 def test_empty_history(spark):
     df = order_within_sessions(frame(spark, []))
     assert df.count() == 0 and "prev_cluster" in df.columns
+
+
+def test_chunks_are_bounded(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(START + timedelta(minutes=rng.randrange(9000)), "s", n, rng.choice([0, 0, 1, None]), n % 3) for n in range(300)]
+    df = frame(spark, rows)
+    want = as_set(plain(df, 3_600_000_000, ("listener",)))
+    assert as_set(order_within_sessions(df, 3_600_000_000, ("listener",))) == want
+    used = []
+    cut = sessions._number_chunks
+    monkeypatch.setattr(sessions, "_number_chunks", lambda *a: used.append(a[4]) or cut(*a))
+    monkeypatch.setattr(sessions, "CHUNK_ROWS", 10)
+    assert as_set(order_within_sessions(df, 3_600_000_000, ("listener",))) == want
+    monkeypatch.setattr(sessions, "MAX_CHUNKS", 7)
+    assert as_set(order_within_sessions(df, 3_600_000_000, ("listener",))) == want
+    assert used == [30, 7]

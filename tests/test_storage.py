@@ -138,3 +138,25 @@ def test_costs_do_not_rise_with_k(spark):
     same = spark.range(5).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
     (one,) = clustering.compare_sizes(same, [3]).collect()
     assert one["n_clusters"] == 1 and one["silhouette"] is None and one["cost"] == 0
+
+
+def test_scopes_of_threads_are_apart(spark):
+    import threading
+
+    made, inside, done = [], threading.Event(), threading.Event()
+
+    def other():
+        inside.wait(60)
+        made.append(storage.scratch_path(spark, "other"))
+        spark.range(3).write.parquet(made[0])
+        done.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with storage.scratch_scope(spark):
+        own = storage.scratch_path(spark, "own")
+        spark.range(3).write.parquet(own)
+        inside.set()
+        done.wait(60)
+    thread.join()
+    assert not storage.exists(spark, own) and spark.read.parquet(made[0]).count() == 3
