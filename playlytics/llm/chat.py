@@ -1,7 +1,7 @@
 """Chat formatting: quoted passages are linked to the messages they come from, and conversations are set in reply order.
 
 A line that begins with ``>`` is quoted; the number of marks is its level. Lines of one level that follow each other are a
-passage. Passages and their lines are normalised (lower-case words between single spaces) and hashed, and so are the own words
+passage, and a quoted line without words parts it into paragraphs. Passages, their paragraphs and their lines are normalised (lower-case words between single spaces) and hashed, and so are the own words
 of every message: whole, by paragraph and by line. A passage comes from the first message of its conversation that states it,
 if that is an earlier turn. A message replies to the message from which most of its quoted words of the lowest linked level come
 (of several the latest). Following the replies up gives its thread; conversations are ordered by thread and turn, so that
@@ -53,7 +53,7 @@ def quote_level(line: Column) -> Column:
 
 
 def _passages(quoting: DataFrame) -> DataFrame:
-    """(conv, turn, level, key, words) of all quoted passages and of their lines. Passages lie within one message."""
+    """(conv, turn, level, key, words) of all quoted passages, their paragraphs and their lines. Passages lie within one message."""
     along = Window.partitionBy("row").orderBy("pos")
     lines = quoting.select("row", "conv", "turn", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).where(F.col("line").rlike(_QUOTED))
     lines = lines.select("row", "conv", "turn", "pos", quote_level(F.col("line")).alias("level"), F.regexp_replace("line", _MARKS, "").alias("line"))
@@ -62,7 +62,12 @@ def _passages(quoting: DataFrame) -> DataFrame:
     numbered = numbered.withColumn("passage", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ")
     whole = numbered.groupBy("row", "conv", "turn", "passage", "level").agg(joined.alias("line"))
-    both = whole.select("conv", "turn", "level", "line").unionByName(numbered.select("conv", "turn", "level", "line"))
+    # lines with words that follow each other: a reply may quote some paragraphs of a message, broken into other lines
+    worded = numbered.where(_normal(F.col("line")) != "")
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("row", "level").orderBy("pos"))
+    paragraph = worded.withColumn("run", run).groupBy("row", "conv", "turn", "run", "level").agg(joined.alias("line"))
+    units = [df.select("conv", "turn", "level", "line") for df in (whole, paragraph, numbered)]
+    both = units[0].unionByName(units[1]).unionByName(units[2])
     unit = both.select("conv", "turn", "level", _normal(F.col("line")).alias("normal")).where("normal <> ''").distinct()
     return unit.select("conv", "turn", "level", F.md5(F.col("normal").cast("binary")).alias("key"), F.size(F.split("normal", " ")).alias("words"))
 

@@ -171,6 +171,9 @@ quoted AS (
 passages AS (
   SELECT conv_id, turn, level, string_agg(line, ' ' ORDER BY i) AS line
   FROM (SELECT *, i - row_number() OVER (PARTITION BY r, level ORDER BY i) AS run FROM quoted) GROUP BY r, conv_id, turn, level, run
+  UNION ALL SELECT conv_id, turn, level, string_agg(line, ' ' ORDER BY i) AS line
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, level ORDER BY i) AS run FROM quoted WHERE {_normal("line")} <> '')
+  GROUP BY r, conv_id, turn, level, run
   UNION ALL SELECT conv_id, turn, level, line FROM quoted),
 asked AS (SELECT DISTINCT conv_id, turn, level, {_normal("line")} AS unit FROM passages),
 stated AS (

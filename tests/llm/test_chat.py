@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import groupby
 
 from playlytics.llm import chat
 from playlytics.llm.queries import op10_chat
@@ -39,7 +40,8 @@ def brute(rows):
                 else:
                     passages.append((level, [rest]))
                 last = (i, level)
-        units = {(level, norm(x)) for level, lines in passages for x in [" ".join(lines), *lines]}
+        paragraphs = lambda lines: [" ".join(x) for k, x in groupby(lines, key=lambda line: norm(line) != "") if k]
+        units = {(level, norm(x)) for level, lines in passages for x in [" ".join(lines), *paragraphs(lines), *lines]}
         votes = {}
         for level, unit in units:
             first = stated.get((conv, unit))
@@ -146,3 +148,51 @@ def test_sql_on_quoting_conversations(spark, tmp_path):
     frame = op10_chat(spark, str(tmp_path))
     assert sorted(frame.columns) == sorted(names)
     assert sorted(repr([r[c] for c in sorted(names)]) for r in frame.collect()) == want
+
+
+def paragraphed(conv, n, rng):
+    """Messages of several paragraphs; replies quote some of them, wrapped anew."""
+    said, rows = [], []
+    for turn in range(n):
+        lines = []
+        if said and rng.random() < 0.8:
+            source = rng.choice(said)
+            first = rng.randrange(len(source))
+            for k, paragraph in enumerate(source[first : first + rng.randint(1, 2)]):
+                words = paragraph.split()
+                cut = rng.randint(1, len(words))
+                lines += [">"] * (k > 0) + [f"> {' '.join(x)}" for x in (words[:cut], words[cut:]) if x]
+        own = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(4, 9))) + "." for _ in range(rng.randint(1, 4))]
+        said.append(own)
+        rows.append((conv, turn, "user", "\n".join([*lines, "\n\n".join(own)])))
+    return rows
+
+
+def test_paragraphs_wrapped_anew_against_brute_force_and_sql(spark, tmp_path):
+    import duckdb
+
+    from playlytics.llm.oracles import CHAT
+
+    rng = random.Random(8)
+    rows = [r for conv in range(25) for r in paragraphed(conv, rng.randint(2, 10), rng)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = chat.format_chats(frame)
+    want = brute(rows)
+    assert {(r["conv_id"], r["turn"]): (r["thread"], r["depth"], r["reply_to"]) for r in got.collect()} == want
+    # nearly every quoting message is linked
+    quoting = [(c, t) for c, t, _, x in rows if ">" in x]
+    assert sum(want[k][2] is not None for k in quoting) >= 0.95 * len(quoting) > 20
+    frame.coalesce(1).write.parquet(f"{tmp_path}/conversations")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations/*.parquet')")
+    cursor = con.execute(CHAT)
+    names = [d[0] for d in cursor.description]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(cursor.fetchall(), key=key) == sorted(map(tuple, got.select(names).collect()), key=key)
+
+
+def test_two_of_three_paragraphs(spark):
+    text = "The first paragraph has\nsome words.\n\nThe second one is long enough to be\nbroken anew.\n\nA third."
+    reply = "> The second one is long\n> enough to be broken anew.\n>\n> A third.\n\nYes."
+    got = chat.format_chats(spark.createDataFrame([(1, 1, "user", text), (1, 2, "user", reply)], SCHEMA)).collect()
+    assert [r["reply_to"] for r in got] == [None, 1]
