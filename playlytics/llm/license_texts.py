@@ -87,11 +87,12 @@ _UNDER = {
 }
 #: "Licensed under the MIT License" and the like; a changed word makes a short form another one.
 SHORT_FORMS = {f"{name}-{by}": f"{by} under {what}" for name, what in _UNDER.items() for by in _BY}
-#: Identifiers in source files, of five words or more.
+SHORT_FORMS["all-rights-reserved"] = "All rights reserved"
+#: Identifiers in source files.
 IDENTIFIERS = {
     f"spdx-{name.lower()}": f"SPDX-License-Identifier: {name}"
     for name in (
         "Apache-2.0 BSD-2-Clause BSD-3-Clause MPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-or-later "
-        "LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later BSL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0"
+        "LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later BSL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 MIT ISC Unlicense Zlib 0BSD"
     ).split()
 }

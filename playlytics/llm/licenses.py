@@ -2,15 +2,15 @@
 
 For templates of n words, windows of n + n/2 words begin every n/2 words, so that an occurrence lies whole in one of them. The
 MinHash of a window or template under one hash function is a band of one row; a window holding ``CONTAINED`` of a
-template's five-word shingles agrees in a band with at least the probability s = CONTAINED m / (w + (1 - CONTAINED) m), for m and w shingles. So
+template's five-word shingles (a template under five words is one shingle) agrees in a band with at least the probability s = CONTAINED m / (w + (1 - CONTAINED) m), for m and w shingles. So
 many bands are taken that one agrees with the probability ``RECALL``. Windows that agree are compared with their
 template exactly: the share of the template's shingles that the window holds.
 
 A text that holds none of (1 - CONTAINED) m + 1 of a template's shingles cannot hold the rest in sufficient number. These few
-are looked up in the normalised text first (before them a few words of which each holds one), and windows without any shingle of a template are left out; neither loses a match.
+are looked up in the normalised text first (before them, in the text as it is, a few words of which each holds one), and windows without any shingle of a template are left out; neither loses a match.
 All steps are expressions of Spark; templates and their bands are parameters, of bounded number, and broadcast.
 
-Null, empty and short texts hold nothing. Result rows: one per document id and template found, so that repeated rows
+Null and empty texts, and texts shorter than a notice, hold nothing of it. Very long texts are cut into windows like others. Result rows: one per document id and template found, so that repeated rows
 of an id make one; null ids are one id. An empty table gives an empty result.
 """
 
@@ -53,11 +53,17 @@ for _name, _wording in {**BODIES, **SHORT_FORMS, **IDENTIFIERS}.items():  # each
         TEMPLATES[_name] = _wording
 
 
+def shingle_words(size: int) -> int:
+    """The length of the shingles of a template of ``size`` words: a shorter one is a single shingle."""
+    return min(SHINGLE, size)
+
+
 def template_shingles(text: str) -> list[str]:
     words = words_of(text)
-    if len(words) < SHINGLE:
-        raise ValueError(f"a template needs {SHINGLE} words: {text!r}")
-    return list(dict.fromkeys(" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)))
+    if len(words) < 2:
+        raise ValueError(f"a template needs two words: {text!r}")
+    run = shingle_words(len(words))
+    return list(dict.fromkeys(" ".join(words[i : i + run]) for i in range(len(words) - run + 1)))
 
 
 def stride(size: int) -> int:
@@ -68,9 +74,13 @@ def window_words(size: int) -> int:
     return size + stride(size)
 
 
+def window_shingles(size: int) -> int:
+    return window_words(size) - shingle_words(size) + 1
+
+
 def bands_needed(size: int, distinct: int, contained: float = CONTAINED, recall: float = RECALL) -> int:
     """Bands after which a window holding ``contained`` of a template agrees in one with probability ``recall``."""
-    window = window_words(size) - SHINGLE + 1
+    window = window_shingles(size)
     shared = contained * distinct
     alike = shared / (window + distinct - shared)
     return math.ceil(math.log(1 - recall) / math.log(1 - alike))
@@ -123,23 +133,25 @@ def find_licenses(
         raise ValueError("no templates")
     needles = sorted({f" {p} " for s in shingles.values() for p in probes(s, contained)})
 
-    def holds_probe(text: Column) -> Column:
-        some = lambda parts: F.exists(_array(parts), lambda part: F.contains(text, part))
-        return some(heads(needles)) & some(needles)  # most texts hold no head
-
+    some = lambda text, parts: F.exists(_array(parts), lambda part: F.contains(text, part))
+    lengths = sorted({shingle_words(n) for n in sizes})
     words = F.split(F.trim("norm"), " ")
-    start = F.sequence(F.lit(1), F.size("words") - SHINGLE + 1)
+
+    def runs(length: int) -> Column:
+        start = F.sequence(F.lit(1), F.size("words") - length + 1)
+        found = F.transform(start, lambda i: F.array_join(F.slice("words", i, length), " "))
+        return F.when(F.size("words") >= length, found).otherwise(F.array().cast("array<string>")).alias(f"runs{length}")
+
     texts = (
-        docs.select("doc_id", normalised(F.coalesce("text", F.lit(""))).alias("norm"))
-        .where(F.exists(F.array("norm"), holds_probe))  # normalises a text once for all probes
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .where(F.exists(F.array(F.lower("text")), lambda t: some(t, heads(needles))))  # most texts hold no head, and need no normal form
+        .select("doc_id", normalised(F.col("text")).alias("norm"))
+        .where(F.exists(F.array("norm"), lambda t: some(t, needles)))  # normalises a text once for all probes
         .select("doc_id", words.alias("words"))
-        .where(F.size("words") >= SHINGLE)
-        .select("doc_id", F.transform(start, lambda i: F.array_join(F.slice("words", i, SHINGLE), " ")).alias("shingles"))
+        .select("doc_id", *map(runs, lengths))
     )
     places = F.concat(*[_places(n, sorted({s for t in names for s in shingles[t]}), bands[n]) for n, names in sizes.items()])
-    windows = texts.select("doc_id", "shingles", F.inline(places)).select(
-        "doc_id", "size", (F.col("start") - 1).alias("first"), "bands", F.slice("shingles", F.col("start"), F.col("width")).alias("window")
-    )
+    windows = texts.select("doc_id", F.inline(places))
     windows = windows.select("doc_id", "size", "first", "window", F.posexplode(_least(F.col("window"), F.col("bands"))).alias("band", "least"))
     known = [
         F.struct(F.lit(t).alias("template"), F.lit(n).alias("size"), F.lit(bands[n]).alias("bands"), _array(shingles[t]).alias("own"))
@@ -161,13 +173,15 @@ def find_licenses(
 
 
 def _places(n: int, wanted: list[str], bands: int) -> Column:
-    """The windows (size, start, width, bands) for templates of n words that hold a wanted shingle."""
-    width = window_words(n) - SHINGLE + 1
-    last = F.greatest(F.lit(1), F.size("shingles") - width + 1)
+    """The windows (size, first, bands, window) for templates of n words that hold a wanted shingle; ``first`` counts from 0."""
+    shingles, width = F.col(f"runs{shingle_words(n)}"), window_shingles(n)
+    last = F.greatest(F.lit(1), F.size(shingles) - width + 1)
     # the windows go on until one reaches the end of the text
     starts = F.transform(F.sequence(F.lit(0), F.ceil((last - 1) / stride(n)).cast("int")), lambda k: k * stride(n) + 1)
-    held = F.filter(starts, lambda s: F.arrays_overlap(F.slice("shingles", s, width), _array(wanted)))
+    window = lambda s: F.slice(shingles, s, width)
+    held = F.filter(starts, lambda s: F.arrays_overlap(window(s), _array(wanted)))
     rows = F.transform(
-        held, lambda s: F.struct(F.lit(n).alias("size"), s.alias("start"), F.lit(width).alias("width"), F.lit(bands).alias("bands"))
+        held, lambda s: F.struct(F.lit(n).alias("size"), (s - 1).alias("first"), F.lit(bands).alias("bands"), window(s).alias("window"))
     )
-    return F.when(F.arrays_overlap("shingles", _array(wanted)), rows).otherwise(F.array().cast("array<struct<size:int,start:int,width:int,bands:int>>"))
+    none = F.array().cast("array<struct<size:int,first:int,bands:int,window:array<string>>>")
+    return F.when(F.arrays_overlap(shingles, _array(wanted)), rows).otherwise(none)

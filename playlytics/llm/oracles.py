@@ -117,24 +117,24 @@ FROM parts LEFT JOIN fitting USING (r) LEFT JOIN weights USING (r)
 
 _SHINGLES = _values(
     [
-        (t, len(licenses.words_of(text)), len(licenses.template_shingles(text)), s)
+        (t, len(licenses.words_of(text)), licenses.shingle_words(len(licenses.words_of(text))), len(licenses.template_shingles(text)), s)
         for t, text in licenses.TEMPLATES.items()
         for s in licenses.template_shingles(text)
     ]
 )
 
 LICENSES = rf"""
-WITH known(template, n, total, shingle) AS (VALUES {_SHINGLES}),
+WITH known(template, n, length, total, shingle) AS (VALUES {_SHINGLES}),
 docs AS (
   SELECT row_number() OVER () AS r, doc_id,
          list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents),
 runs AS (
-  SELECT r, doc_id, len(w) - 4 AS size, i, array_to_string(w[i + 1 : i + 5], ' ') AS shingle
-  FROM (SELECT *, unnest(range(len(w) - 4)) AS i FROM docs WHERE len(w) >= 5)),
+  SELECT r, doc_id, length, len(w) - length + 1 AS size, i, array_to_string(w[i + 1 : i + length], ' ') AS shingle
+  FROM (SELECT *, unnest(range(len(w) - length + 1)) AS i FROM docs JOIN (SELECT DISTINCT length FROM known) ON len(w) >= length)),
 places AS (
-  SELECT r, doc_id, size, i, template, n, total, shingle, greatest(1, n // 2) AS stride, n + greatest(1, n // 2) - 4 AS width
-  FROM runs JOIN known USING (shingle)),
+  SELECT r, doc_id, size, i, template, n, total, shingle, greatest(1, n // 2) AS stride, n + greatest(1, n // 2) - length + 1 AS width
+  FROM runs JOIN known USING (length, shingle)),
 windows AS (  -- window k holds the runs from k * stride on; the last one reaches the end
   SELECT *, unnest(range(greatest(0, (i - width + stride) // stride),
                          least(i // stride, (greatest(0, size - width) + stride - 1) // stride) + 1)) AS k

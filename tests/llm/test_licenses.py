@@ -9,12 +9,13 @@ DOCS = "doc_id bigint, text string"
 def brute(text, templates, contained=0.8):
     """The best window of each template, as (containment, first word)."""
     words = licenses.words_of(text or "")
-    runs = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)]
     out = {}
     for name, notice in templates.items():
         known = set(licenses.template_shingles(notice))
         n = len(licenses.words_of(notice))
-        step, width = licenses.stride(n), licenses.window_words(n) - 4
+        length = min(5, n)
+        runs = [" ".join(words[i : i + length]) for i in range(len(words) - length + 1)]
+        step, width = licenses.stride(n), licenses.window_words(n) - length + 1
         first = 0
         while runs:
             share = len(known & set(runs[first : first + width])) / len(known)
@@ -60,7 +61,7 @@ def test_settings():
         alike = 0.8 * (n - 4) / (window + 0.2 * (n - 4))
         assert 1 - (1 - alike) ** bands >= licenses.RECALL
     with pytest.raises(ValueError):
-        licenses.template_shingles("too short")
+        licenses.template_shingles("short")
 
 
 def test_query_is_native_and_complete(spark, folder):
@@ -86,6 +87,9 @@ def test_bodies_headers_and_short_forms_are_found(spark):
         "Mozilla Public License Version 2.0\n=====\n1. Definitions\n1.1. \"Contributor\" means each individual or legal entity that creates, "
         "contributes to the creation of, or owns Covered Software.": "mpl-2.0-body",
         "// SPDX-License-Identifier: GPL-3.0-or-later": "spdx-gpl-3.0-or-later",
+        "/* SPDX-License-Identifier: MIT */": "spdx-mit",
+        "Copyright (c) 2020 A. ALL RIGHTS\n RESERVED.": "all-rights-reserved",
+        "All rights reserved": "all-rights-reserved",
     }
     docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
     got = {(r["doc_id"], r["template"]) for r in licenses.find_licenses(docs).collect()}
@@ -95,3 +99,10 @@ def test_bodies_headers_and_short_forms_are_found(spark):
 def test_every_needle_holds_a_head():
     needles = [p for t in licenses.TEMPLATES.values() for p in licenses.probes(licenses.template_shingles(t))]
     assert all(set(n.split()) & set(licenses.heads(needles)) for n in needles)
+
+
+def test_long_texts_and_no_rights(spark):
+    fill = "all rights are reserved for words of any kind "
+    docs = spark.createDataFrame([(1, fill * 20_000 + "All rights reserved."), (2, fill), (3, "rights reserved"), (4, "all rights")], DOCS)
+    got = licenses.find_licenses(docs).collect()
+    assert [(r["doc_id"], r["template"], r["containment"], r["first_word"]) for r in got] == [(1, "all-rights-reserved", 1.0, 20_000 * 9 - 1)]
