@@ -94,10 +94,11 @@ _RULES = _values([(r, r.partition("/")[0], "/" + r.partition("/")[2], v) for r,
 
 URL_FILTER = rf"""
 WITH rules(rule, rule_host, rule_path, verdict) AS (VALUES {_RULES}),
-terms(term, weight) AS (VALUES {_values(list(urls.VOCABULARY.items()))}),
+terms(term, weight) AS (VALUES {_values(list(urls.TERMS.items()))}),
 pages_read AS (
   SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url,
-         translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+         translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         translate(url_decode(coalesce(url, '')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS decoded
   FROM pages),
 parts AS (
   SELECT *, regexp_extract(low, '^(?s:.*?)://([^/?#]*)', 1) AS host, regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
@@ -108,7 +109,7 @@ fitting AS (
   GROUP BY r),
 weights AS (
   SELECT r, sum(weight)::DOUBLE AS weight FROM pages_read JOIN terms
-    ON regexp_matches(low, '(^|[^0-9a-z])' || term || '([^0-9a-z]|$)') GROUP BY r)
+    ON regexp_matches(decoded, '(^|[^0-9a-z])' || term || '([^0-9a-z]|$)') GROUP BY r)
 SELECT page_id, host, path, best.rule AS rule,
        coalesce(best.verdict, CASE WHEN coalesce(weight, 0) >= {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(weight, 0) AS weight

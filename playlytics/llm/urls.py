@@ -2,8 +2,8 @@
 
 A rule is a host and the beginning of a path; it fits its host and all subdomains, and the longest fitting rule decides
 (of rules of equal length the first by code point). A url that no rule fits is judged by its words: an Aho-Corasick automaton finds the
-terms in the lower-cased url, those between other letters or digits do not count, and the weights of the distinct terms
-add up. A strict term weighs enough to block alone, soft terms only together.
+terms in the url (per cent signs decoded, A-Z lower-cased), those between other ASCII letters or digits do not count, and the weights of the
+distinct terms add up. A strict term weighs enough to block alone, soft terms only together. The terms are a table of four languages, ``url_terms``.
 
 The automaton is built once in each Python worker from the vocabulary, a parameter. Rows are judged one by one, so
 nothing is shuffled. Null urls and urls without ``://`` have an empty host and path, fit no rule, and are judged by their
@@ -13,19 +13,16 @@ words; null and empty ones are allowed. Repeated rows are judged alike. An empty
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from playlytics.llm.common import with_text_columns
+from playlytics.llm.url_terms import TERMS
 
 LIMIT = 1.0
-#: Weights: 1 is strict, less is soft.
-VOCABULARY: dict[str, float] = {
-    **dict.fromkeys("adult casino escort gambling hentai malware phishing porn porno sex spam viagra warez xxx".split(), 1.0),
-    **dict.fromkeys("bet bets bonus cheap crack dating farm free hot keygen loan loans lottery nude pills poker slots torrent win".split(), 0.5),
-}
 RULES: tuple[tuple[str, str], ...] = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _ENDS = frozenset("/?#")
@@ -73,7 +70,7 @@ class Vocabulary:
         """The summed weight of the distinct terms that stand alone in the url, and these terms."""
         found: dict[str, float] = {}
         if len(self.finder):
-            text = url.translate(_LOWER)
+            text = unquote(url).translate(_LOWER)
             for last, (term, weight) in self.finder.iter(text):
                 first = last - len(term) + 1
                 if not (first and _inside(text[first - 1])) and not (last + 1 < len(text) and _inside(text[last + 1])):
@@ -91,7 +88,7 @@ _made: dict[tuple, tuple[Rules, Vocabulary]] = {}
 def judge_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]] = RULES,
-    vocabulary: Mapping[str, float] = VOCABULARY,
+    vocabulary: Mapping[str, float] = TERMS,
     limit: float = LIMIT,
     url: str = "url",
 ) -> DataFrame:

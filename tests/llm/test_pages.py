@@ -237,3 +237,21 @@ def test_runs_shared_by_few_pages_of_a_large_host(spark, monkeypatch):
     grouped = sorted(extraction.extract_text(frame).collect())
     assert grouped == whole
     assert sorted(r["text"] for r in grouped) == sorted([own(0), note, *map(own, range(100))])
+
+
+def test_terms_of_four_languages_and_encoded_urls(spark):
+    cases = {
+        "http://a.example/%63asino": "block",
+        "http://a.example/CAS%49NO": "block",
+        "http://a.example/sportwetten/": "block",
+        "http://a.example/tragaperras": "block",
+        "http://a.example/gratuit-rencontres": "block",
+        "http://a.example/billig": "allow",
+        "http://a.example/buy-online-deals": "block",
+        "http://a.example/buy-online": "allow",
+        "http://a.example/100%25free": "allow",
+        "http://a.example/%zz%": "allow",
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string")
+    assert {r["url"]: r["verdict"] for r in urls.judge_urls(frame).collect()} == cases
+    assert len(urls.TERMS) > 250 and all(t == t.lower() and t.isascii() for t in urls.TERMS)
