@@ -366,6 +366,12 @@ def _oracles() -> dict[str, str]:
         f"{r6('centroid_dist')} AS centroid_dist, song, artist, album FROM examples",
         "representative_songs_month": f"WITH {EXPANDED}, {SONGS}, {representatives(month_per_play)} SELECT year, month, cluster, "
         f"cluster_label, id, {r6('centroid_dist')} AS centroid_dist, song, artist, album FROM examples",
+        "representative_songs_within_month": f"""WITH {EXPANDED}, {SONGS}, {DISTANCES}, heard AS (
+            SELECT DISTINCT p.year, p.month, d.* FROM expanded p JOIN distances d ON d.g_id = p.g_id),
+            ranked AS (SELECT *, dense_rank() OVER (PARTITION BY year, month, cluster ORDER BY centroid_dist) AS r FROM heard)
+            SELECT year, month, cluster, d.cluster_label, d.g_id AS id, {r6("d.centroid_dist")} AS centroid_dist, p.song, p.artist, p.album
+            FROM ranked d JOIN expanded p USING (year, month, g_id) WHERE d.r <= 3 AND d.g_id IN (SELECT id FROM songs)
+            QUALIFY row_number() OVER (PARTITION BY year, month, cluster, d.g_id ORDER BY dt, source, play_id, song, artist, album) = 1""",
         "cluster_cover": f"WITH {EXPANDED}, {SONGS}, {representatives()} SELECT cluster, cluster_label, id, song, artist, image FROM covers",
         "image_url": f"WITH {SONGS} SELECT id, image FROM images",
         "image_from_json": f"WITH {SONGS} SELECT id, url AS image FROM songs",

@@ -479,9 +479,9 @@ def graph_edges_month(i):
 
 @query
 def network_nodes(i):
-    nodes = graph.graph_nodes(clustered(i), labels(i))
+    s = storage.materialise(ordered(i), "ordered")
     examples = songs.representative_songs(distances(i), plays(i), i.songs())
-    return graph.network(nodes, nodes, songs.cluster_covers(examples, i.songs()))[0]
+    return graph.network(graph.graph_nodes(s, labels(i)), graph.graph_edges(s), songs.cluster_covers(examples, i.songs()))[0]
 
 
 def _drawing(nodes: DataFrame, edges: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
@@ -584,6 +584,13 @@ def representative_songs_month(i):
     return rounded(found, "centroid_dist")
 
 
+@query
+def representative_songs_within_month(i):
+    """The closest among the songs that were played in the month."""
+    found = songs.representative_songs(distances(i), expanded(i), i.songs(), per=MONTH, rank_within=True)
+    return rounded(found, "centroid_dist")
+
+
 @query
 def cluster_cover(i):
     examples = songs.representative_songs(distances(i), plays(i), i.songs())

@@ -15,23 +15,24 @@ from playlytics.sources.storage import materialise
 PLAY_ORDER = ("dt", "source", "play_id", "song", "artist", "album")
 
 
-def closest_songs(distances: DataFrame, n: int = DEFAULTS.n_representatives) -> DataFrame:
-    """Songs at one of the ``n`` smallest distances of their cluster; songs at equal distance are all kept.
+def closest_songs(distances: DataFrame, n: int = DEFAULTS.n_representatives, per: Sequence[str] = ()) -> DataFrame:
+    """Songs at one of the ``n`` smallest distances of their cluster (and period); songs at equal distance are all kept.
 
     The n-th distance is found on distinct distances and joined back, so that no task sees a whole cluster
     and a group of copies of any size passes through.
     """
     known = distances.where(F.col("centroid_dist").isNotNull())
     # one row per cluster, written so that Catalyst sees how few
-    limits = materialise(distance_limits(known, n), "limits")
-    return known.join(limits, "cluster").where(F.col("centroid_dist") <= F.col("limit")).drop("limit")
+    limits = materialise(distance_limits(known, n, per), "limits")
+    return known.join(limits, [*per, "cluster"]).where(F.col("centroid_dist") <= F.col("limit")).drop("limit")
 
 
-def distance_limits(known: DataFrame, n: int) -> DataFrame:
-    """The ``n``-th smallest distinct distance of each cluster."""
-    ranked = Window.partitionBy("cluster").orderBy("centroid_dist")
-    best = known.select("cluster", "centroid_dist").distinct().withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= n)
-    return best.groupBy("cluster").agg(F.max("centroid_dist").alias("limit"))
+def distance_limits(known: DataFrame, n: int, per: Sequence[str] = ()) -> DataFrame:
+    """The ``n``-th smallest distinct distance of each cluster (and period)."""
+    group = [*per, "cluster"]
+    ranked = Window.partitionBy(*group).orderBy("centroid_dist")
+    best = known.select(*group, "centroid_dist").distinct().withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= n)
+    return best.groupBy(*group).agg(F.max("centroid_dist").alias("limit"))
 
 
 def representative_songs(
@@ -40,17 +41,24 @@ def representative_songs(
     songs: DataFrame,
     per: Sequence[str] = (),
     n: int = DEFAULTS.n_representatives,
+    rank_within: bool = False,
 ) -> DataFrame:
     """Closest songs of each cluster that were played and have metadata, one row each (per period).
 
-    Closeness is ranked over all songs before the period is looked at, so a period may show fewer than ``n``.
-    Song, artist and album are those of the first play.
+    Closeness is ranked over all songs before the period is looked at, so a period may show fewer than ``n``; with
+    ``rank_within`` it is ranked over the songs played in the period. Song, artist and album are those of the first play.
     """
-    candidates = materialise(closest_songs(distances, n), "closest")
+    keys = ["g_id"]
+    if rank_within:
+        keys = [*per, "g_id"]
+        heard = plays.select(*keys).distinct().join(distances.select("g_id", "cluster", "cluster_label", "centroid_dist"), "g_id")
+        candidates = materialise(closest_songs(materialise(heard, "heard"), n, per), "closest")
+    else:
+        candidates = materialise(closest_songs(distances, n), "closest")
     first = F.min_by(F.struct("song", "artist", "album"), F.struct(*PLAY_ORDER)).alias("first")
     played = (
         plays.select(*per, "g_id", *PLAY_ORDER)
-        .join(candidates, "g_id")
+        .join(candidates, keys)
         .groupBy(*per, "cluster", "cluster_label", "g_id", "centroid_dist")
         .agg(first)
     )
