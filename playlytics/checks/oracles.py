@@ -226,6 +226,13 @@ SAME = {
 
 def oracles() -> dict[str, str]:
     found = _oracles()
+    found["incremental_months"] = f"""SELECT date, 'share' AS what, cluster_label AS of, cluster_freq AS value FROM ({found["cluster_month"]})
+        UNION ALL SELECT {day("make_date(year, month, 1)")}, 'diversity', of, value FROM (
+            UNPIVOT ({found["diversity_month"]}) ON gini, shannon, berger INTO NAME of VALUE value)
+        UNION ALL SELECT date, 'score', trait_short, score FROM ({found["big5_month"]})"""
+    found["incremental_graph_month"] = f"""
+        SELECT year, month, NULL::INTEGER AS prev_cluster, cluster, name, weight FROM ({found["graph_nodes_month"]})
+        UNION ALL SELECT year, month, prev_cluster, cluster, NULL, weight FROM ({found["graph_edges_month"]})"""
     return {**found, **{name: found[other] for name, other in SAME.items()}}
 
 

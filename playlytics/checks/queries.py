@@ -55,7 +55,7 @@ def vector_text(column: str | Column) -> Column:
     return F.array_join(scaled, ",", "null")
 
 
-def day(column: str = "date") -> Column:
+def day(column: str | Column = "date") -> Column:
     return F.date_format(column, "yyyy-MM-dd")
 
 
@@ -346,6 +346,27 @@ def incremental_song_counts(i):
     return incremental.read_song_counts(i.spark, _grown(i))
 
 
+@query
+def incremental_months(i):
+    """Shares, diversity and personality scores of the months, from the counts of the stored history."""
+    history = _grown(i)
+    shares = rounded(incremental.read_cluster_month(i.spark, history, labels(i)), "cluster_freq")
+    shares = shares.select(day().alias("date"), F.lit("share").alias("what"), F.col("cluster_label").alias("of"), F.col("cluster_freq").alias("value"))
+    indices = rounded(incremental.read_diversity(i.spark, history), "gini", "shannon", "berger")
+    names = F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("value")) for c in ("gini", "shannon", "berger")])).alias("x")
+    indices = indices.select(day(F.make_date("year", "month", F.lit(1))).alias("date"), F.lit("diversity").alias("what"), names)
+    scores = rounded(incremental.read_big5(i.spark, history, tables.trait_outputs(i.traits())), "score")
+    scores = scores.select(day().alias("date"), F.lit("score").alias("what"), F.col("trait_short").alias("of"), F.col("score").alias("value"))
+    return shares.unionByName(indices.select("date", "what", "x.of", "x.value")).unionByName(scores)
+
+
+@query
+def incremental_graph_month(i):
+    nodes, edges = incremental.read_graph(i.spark, _grown(i), labels(i), MONTH)
+    both = nodes.select(*MONTH, F.lit(None).cast("int").alias("prev_cluster"), "cluster", "name", "weight")
+    return both.unionByName(edges.withColumn("name", F.lit(None).cast("string")))
+
+
 @query
 def stream_sessions(i):
     """The sessions of all listeners from a stream of both sources, closed at the end of the history."""

@@ -91,7 +91,11 @@ def _shares(counts: DataFrame, per: Sequence[str]) -> DataFrame:
 
 def diversity(plays: DataFrame, per: Sequence[str] = MONTH) -> DataFrame:
     """Diversity of the clusters played; unclustered plays are a group of their own."""
-    counts = plays.groupBy(*per, "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return diversity_of(plays.groupBy(*per, "cluster").agg(F.count(F.lit(1)).alias("n")), per)
+
+
+def diversity_of(counts: DataFrame, per: Sequence[str] = MONTH) -> DataFrame:
+    """The same from counts (per, cluster, n)."""
     return _shares(counts, per).groupBy(*per).agg(*_indices())
 
 
@@ -161,7 +165,11 @@ def month_summary(
 
 def cluster_month(plays: DataFrame, labels: DataFrame) -> DataFrame:
     """Share of each cluster in the month's plays; unclustered plays count in the denominator only."""
-    counts = plays.groupBy(*MONTH, "cluster").agg(F.count(F.lit(1)).alias("n_cluster_plays"))
+    return cluster_shares(plays.groupBy(*MONTH, "cluster").agg(F.count(F.lit(1)).alias("n_cluster_plays")), labels)
+
+
+def cluster_shares(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same from counts (year, month, cluster, n_cluster_plays)."""
     shares = counts.withColumn(
         "cluster_freq", F.col("n_cluster_plays") / F.sum("n_cluster_plays").over(Window.partitionBy(*MONTH))
     )

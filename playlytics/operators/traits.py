@@ -26,13 +26,17 @@ def big5_by_month(plays: DataFrame, traits: DataFrame, per: Sequence[str] = ("ye
     Plays are first counted per month and song, so the join meets each song once per month, and the trait
     vector is unpacked after that.
     """
-    counts = plays.groupBy(*per, "g_id").agg(F.count(F.lit(1)).alias("n"))
+    return big5_of_counts(plays.groupBy(*per, "g_id").agg(F.count(F.lit(1)).alias("n")), traits, per)
+
+
+def big5_of_counts(counts: DataFrame, traits: DataFrame, per: Sequence[str] = ("year", "month")) -> DataFrame:
+    """The same from the number ``n`` of plays per month and song."""
     joined = counts.join(traits.withColumnRenamed("id", "g_id"), "g_id")
     values = joined.select(*per, F.col("n").alias("w"), F.posexplode("outputs").alias("n", "logit"))
     weight = F.when(F.col("logit").isNotNull(), F.col("w"))
     means = values.groupBy(*per, "n").agg((F.sum(F.col("w") * F.col("logit")) / F.sum(weight)).alias("logit"))
     score = F.tanh("logit")
-    return means.join(F.broadcast(trait_names(plays.sparkSession)), "n").select(
+    return means.join(F.broadcast(trait_names(counts.sparkSession)), "n").select(
         month_start().alias("date"),
         "logit",
         "trait",

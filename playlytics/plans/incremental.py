@@ -6,7 +6,8 @@ the turn of a month, the number of sessions before, the play before the first, f
 when the sessions are read: a late play that joins two sessions, or shifts the numbers of all later ones, changes no other month's rows.
 
 The other tables are counts per month that roll up: ``lengths`` of the sessions that lie inside their month (those at its ends
-follow from ``ends``), ``clusters`` played and ``songs`` played.
+follow from ``ends``), ``clusters`` and ``songs`` played, and ``steps`` from cluster to cluster. The month statistics, shares, diversity,
+personality scores and graphs are made of these counts without reading a play.
 
 Plays come in named batches. A batch that is added again replaces its rows, so one that failed half-way is simply repeated.
 Tables are replaced with dynamic partition overwrite: a month is swapped when its files are complete.
@@ -23,13 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlytics.config import DEFAULTS
-from playlytics.operators import stats
+from playlytics.operators import graph, stats, traits
 from playlytics.operators.joins import null_safe_join
 from playlytics.operators.sessions import ORDER, edge_pieces, join_chunks, order_within_sessions
 from playlytics.sources import storage
 
 MONTH = ("year", "month")
-TABLES = ("pieces", "ends", "lengths", "clusters", "songs")
+TABLES = ("pieces", "ends", "lengths", "clusters", "songs", "steps")
 BATCH = "batch"
 
 
@@ -108,6 +109,7 @@ def _count_months(spark: SparkSession, history: History, months: Sequence[tuple[
         F.max("session").alias("last_piece"),
         F.max_by(F.unix_micros("ses_start"), "session").alias("tail_start"),
         F.max_by("ses_len", "session").alias("tail_len"),
+        F.min_by("cluster", F.struct("session", "n_within_ses")).alias("first_cluster"),
         *[F.max_by(c, F.struct("session", "n_within_ses")).alias(f"last_{c}") for c in history.previous],
     )
     storage.replace_months(ends, history.table("ends"))
@@ -119,6 +121,10 @@ def _count_months(spark: SparkSession, history: History, months: Sequence[tuple[
     # a month without such sessions has a row as well, so that its earlier rows are replaced
     none = spark.createDataFrame([(*m, None, 0) for m in months], "year int, month int, ses_len bigint, n_ses bigint")
     storage.replace_months(lengths.unionByName(none), history.table("lengths"))
+    if "cluster" in history.previous:
+        steps = graph.graph_edges(pieces, MONTH)
+        none = spark.createDataFrame([(*m, 0) for m in months], "year int, month int, weight bigint")
+        storage.replace_months(steps.unionByName(none, allowMissingColumns=True), history.table("steps"))
     songs = pieces.groupBy(*MONTH, "cluster", "g_id").agg(F.count(F.lit(1)).alias("n"))
     storage.replace_months(songs, history.table("songs"))
     songs = spark.read.parquet(history.table("songs")).where(_in(months))
@@ -189,6 +195,46 @@ def read_month_stats(spark: SparkSession, history: History, ignore_nulls: bool =
     return stats.month_summary(lengths, _read(spark, history, "clusters"), bool(history.by), ignore_nulls=ignore_nulls)
 
 
+def read_cluster_month(spark: SparkSession, history: History, labels: DataFrame) -> DataFrame:
+    """``stats.cluster_month`` from the stored counts."""
+    return stats.cluster_shares(_read(spark, history, "clusters").withColumnRenamed("n", "n_cluster_plays"), labels)
+
+
+def read_diversity(spark: SparkSession, history: History) -> DataFrame:
+    """``stats.diversity`` from the stored counts."""
+    return stats.diversity_of(_read(spark, history, "clusters"))
+
+
+def read_big5(spark: SparkSession, history: History, trait_table: DataFrame) -> DataFrame:
+    """``traits.big5_by_month`` from the stored counts."""
+    counts = _read(spark, history, "songs").groupBy(*MONTH, "g_id").agg(F.sum("n").alias("n"))
+    return traits.big5_of_counts(counts, trait_table)
+
+
+def read_graph(
+    spark: SparkSession, history: History, labels: DataFrame, per: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the graph, or with ``per`` those of every month, from the stored counts."""
+    split, _ = _turns(spark, history)
+    key = (*history.by, *MONTH)
+    # the first play of a month may go on a session, as the play before it was of another month
+    turns = null_safe_join(
+        split.where("head_break = 0 and prev_last is not null").select(*key, F.col("carried_cluster").alias("prev_cluster")),
+        _read(spark, history, "ends").select(*key, F.col("first_cluster").alias("cluster")),
+        key,
+    )
+    turns = turns.dropna(subset=["prev_cluster", "cluster"]).select(*MONTH, "prev_cluster", "cluster", F.lit(1).cast("bigint").alias("weight"))
+    steps = _read(spark, history, "steps").where("weight > 0").unionByName(turns)
+    edges = steps.groupBy(*per, "prev_cluster", "cluster").agg(F.sum("weight").alias("weight"))
+    played = _read(spark, history, "clusters").dropna(subset=["cluster"])
+    nodes = played.select(*per, "cluster", F.col("n").alias("weight"))
+    if per:
+        ends = edges.select(*per, F.col("prev_cluster").alias("cluster"), F.lit(0).cast("bigint").alias("weight"))
+        nodes = nodes.unionByName(ends)
+    nodes = nodes.groupBy(*per, "cluster").agg(F.sum("weight").alias("weight")).join(labels, "cluster", "left")
+    return nodes.select(*per, "cluster", F.col("cluster_label").alias("name"), "weight"), edges
+
+
 def read_song_counts(spark: SparkSession, history: History, per: Sequence[str] = ()) -> DataFrame:
     """Plays, distinct songs and the most played song per cluster (and ``per``, of year and month), rolled up from the months."""
     songs = _read(spark, history, "songs").groupBy(*per, "cluster", "g_id").agg(F.sum("n").alias("n"))

@@ -6,9 +6,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from playlytics.functions.calendar import calendar_features
-from playlytics.operators import stats
+from playlytics.operators import graph, stats, traits
 from playlytics.operators.sessions import order_within_sessions
-from playlytics.plans.incremental import TABLES, History, add_plays, read_month_stats, read_sessions, read_song_counts
+from playlytics.plans.incremental import (
+    TABLES,
+    History,
+    add_plays,
+    read_big5,
+    read_cluster_month,
+    read_diversity,
+    read_graph,
+    read_month_stats,
+    read_sessions,
+    read_song_counts,
+)
 
 SCHEMA = "dt timestamp, source string, play_id long, listener long, g_id int, cluster int"
 HOUR = 3_600_000_000
@@ -50,6 +61,15 @@ def whole_is_right(spark, history, everything):
     march = "year = 2024 and month = 3"
     assert same(read_sessions(spark, history, 2024, 3), whole.where(march))
     assert same(read_month_stats(spark, history), stats.month_stats(whole, history.by))
+    labels = spark.createDataFrame([(k, chr(65 + k)) for k in range(3)], "cluster int, cluster_label string")
+    trait_table = spark.createDataFrame([(k, [0.1 * k, -0.2, None, 0.3, 1.0 - k]) for k in range(7)], "id int, outputs array<double>")
+    assert same(read_cluster_month(spark, history, labels), stats.cluster_month(whole, labels))
+    assert same(read_diversity(spark, history), stats.diversity(whole))
+    assert same(read_big5(spark, history, trait_table), traits.big5_by_month(whole, trait_table))
+    for per in ((), ("year", "month")):
+        nodes, edges = read_graph(spark, history, labels, per)
+        want = graph.graph_edges(whole, per)
+        assert same(edges, want) and same(nodes, graph.graph_nodes(whole, labels, per, want if per else None))
     counts = whole.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_plays"), F.expr("count(distinct g_id) + max(int(g_id is null))").alias("n_unique_plays"))
     assert same(read_song_counts(spark, history).drop("top_song_id"), counts)
 
