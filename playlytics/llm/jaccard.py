@@ -384,7 +384,8 @@ def _decide(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(near_key, near_kept, near_id, near_rows): for each linked text, whether its class keeps it, and the id of the kept row."""
     linked = materialise(_linked_texts(docs, threshold, recall).where("n_links > 0"), "linked-texts")
     order = F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "text", "first_rows")
-    first = linked.groupBy("class_key").agg(F.min(order).alias("first"))
+    # written, as a join above the aggregation could not split a large class
+    first = materialise(linked.groupBy("class_key").agg(F.min(order).alias("first")), "class-firsts")
     return linked.join(first, "class_key").select(
         F.col("text").alias("near_key"),
         (F.col("first.text") == F.col("text")).alias("near_kept"),
