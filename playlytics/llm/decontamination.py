@@ -7,7 +7,9 @@ length (or a short item ends), the window's words are hit. Long stretches that h
 cannot reach a window; they are found by hashes and skipped, so the automaton reads only what may match.
 
 The benchmark is cut into parts of at most ``PART_WORDS`` words (or one item) by a hash of the text. Each part is
-a broadcast of bounded size and one narrow pass over the rows; all passes are in one stage, and no document moves.
+a broadcast of bounded size and one narrow pass over the rows, and no document moves. ``PASS_PARTS`` passes are in one stage; after them the
+rows and their hits are written and the broadcasts given up, so a benchmark of any size takes bounded memory, and a rewrite of the
+documents for each 200,000 of its words beyond the first.
 
 Null and empty texts have no words and no hits. Items without words take no part; equal item ids count once; a null
 item id counts as the empty id. Repeated rows are judged one by one. Empty tables give empty results.
@@ -22,6 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -31,6 +34,7 @@ from playlytics.llm.words import _WORD, hash_words, hashed_texts, mix, word_list
 
 WINDOW = 10
 PART_WORDS = 100_000  # words of the items in one automaton
+PASS_PARTS = 2  # automata that a pass over the documents uses, one after the other, each in a Python worker of its own
 MAX_COVERAGE = 0.5  # documents with a larger share of hit words are dropped whole
 _PROBE = 4  # words hashed to find stretches that may match
 _TABLE_BITS = 20
@@ -237,9 +241,16 @@ def find_benchmark(
     words = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(1, math.ceil(words / 2 / part_words))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+    live: list[Broadcast] = []
     for k in range(parts):
+        if len(live) == PASS_PARTS:  # the hits so far are written, and their automata given up
+            docs = materialise(docs, "hits")
+            for rows in live:
+                rows.destroy()
+            live = []
         rows = [(r["item"], bytes(r["text"])) for r in items.where(part == k).collect()]
-        docs = _find_part(docs, docs.sparkSession.sparkContext.broadcast(rows), window, text, first=k == 0)
+        live.append(docs.sparkSession.sparkContext.broadcast(rows))
+        docs = _find_part(docs, live[-1], window, text, first=k == 0)
     return docs
 
 

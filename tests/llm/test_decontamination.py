@@ -52,8 +52,9 @@ def cases(seed=4):
     return items, [*texts, "", None, "v1 " * 30_000, texts[0], texts[0].upper()]
 
 
-@pytest.mark.parametrize("part_words", [100_000, 60])
-def test_against_brute_force(spark, part_words):
+@pytest.mark.parametrize("part_words, pass_parts", [(100_000, 2), (60, 2), (60, 1), (25, 3)])
+def test_against_brute_force(spark, monkeypatch, part_words, pass_parts):
+    monkeypatch.setattr(decontamination, "PASS_PARTS", pass_parts)
     items, texts = cases()
     docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
     got = {r["doc_id"]: r for r in decontamination.find_benchmark(docs, spark.createDataFrame(items, ITEMS), part_words=part_words).collect()}
