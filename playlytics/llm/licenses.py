@@ -87,8 +87,9 @@ def bands_needed(size: int, distinct: int, contained: float = CONTAINED, recall:
 
 
 def probes(shingles: list[str], contained: float = CONTAINED) -> list[str]:
-    """Shingles of which every match holds one."""
-    return shingles[: len(shingles) - math.ceil(contained * len(shingles) - 1e-9) + 1]
+    """Shingles of which every match holds one, those with the longest words, as these are rare."""
+    number = len(shingles) - math.ceil(contained * len(shingles) - 1e-9) + 1
+    return sorted(shingles, key=lambda s: -max(map(len, s.split())))[:number]
 
 
 def heads(needles: list[str]) -> list[str]:
