@@ -12,8 +12,8 @@ returns the best k of each query per block only. A query that finds fewer than k
 with all vectors, in blocks as well.
 
 Vectors that are null, empty or zero, or that hold null or non-finite components take no part; only vectors of equal length are
-compared. A query's own row is every row with its id. Rows equal in id and vector count once. A null id is never a
-query; it ranks last among ties. Empty tables give an empty result.
+compared. Rows equal in id and vector count once; of different rows with one id each is a query of its own, and a candidate of the others. A
+null id is never a query; it ranks last among ties. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -105,6 +105,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 def _bucketed(rows: DataFrame, tables: int, hashes: int, probes: int) -> DataFrame:
     """Each row once for each of its buckets."""
     kind = rows.schema["id"].dataType.simpleString()
+    names = ["row", "id", "v", "width"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,20 +118,20 @@ def _bucketed(rows: DataFrame, tables: int, hashes: int, probes: int) -> DataFra
                         if len(some):
                             own = part.take(pa.array(some))
                             more = [pa.array(np.full(len(some), t, np.int32)), pa.array(found[some, t, p])]
-                            yield pa.RecordBatch.from_arrays([*own.columns, *more], names=["id", "v", "width", "tab", "bucket"])
+                            yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*names, "tab", "bucket"])
 
-    return rows.select("id", "v", "width").mapInArrow(run, f"id {kind}, v array<double>, width int, tab int, bucket bigint")
+    return rows.select(names).mapInArrow(run, f"row bigint, id {kind}, v array<double>, width int, tab int, bucket bigint")
 
 
 def _meet(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score): in each block of each bucket the best ``k`` candidates of each query."""
+    """(query_row, query_id, row, id, score): in each block of each bucket the best ``k`` candidates of each query."""
     place = ["width", "tab", "bucket"]
     asked = queries.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("query_blocks"))
     held = candidates.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     extent = materialise(held.join(asked, place), "buckets")  # one small row per bucket
     own = lambda n, seed: F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    fields = [*place, "block", "query_block", "asks", "id", "v"]
+    fields = [*place, "block", "query_block", "asks", "row", "id", "v"]
     left = candidates.join(extent, place).withColumns({"asks": F.lit(False), "block": own("blocks", 1)})
     left = left.withColumn("query_block", every("query_blocks")).select(fields)
     right = queries.join(extent, place).withColumns({"asks": F.lit(True), "query_block": own("query_blocks", 2)})
@@ -138,7 +139,7 @@ def _meet(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     keys = (*place, "block", "query_block")
     dealt = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "asks")
     kind = candidates.schema["id"].dataType.simpleString()
-    return dealt.mapInArrow(lambda b: sorted_groups(b, keys, None, lambda t: _nearest(t, keys, k)), f"query_id {kind}, id {kind}, score double")
+    return dealt.mapInArrow(lambda b: sorted_groups(b, keys, None, lambda t: _nearest(t, keys, k)), f"query_row bigint, query_id {kind}, row bigint, id {kind}, score double")
 
 
 def _nearest(table: pa.Table, keys: tuple[str, ...], k: int) -> Iterator[pa.RecordBatch]:
@@ -149,7 +150,7 @@ def _nearest(table: pa.Table, keys: tuple[str, ...], k: int) -> Iterator[pa.Reco
         change[1:-1] |= values[1:] != values[:-1]
     cuts = np.flatnonzero(change)
     asks, widths = table.column("asks").to_numpy(), table.column("width").to_numpy()
-    ids = table.column("id").combine_chunks()
+    ids, row_numbers = table.column("id").combine_chunks(), table.column("row").to_numpy()
     query_rows, rows, scores = [], [], []
     for first, end in zip(cuts[:-1], cuts[1:], strict=True):
         middle = first + int(np.argmax(asks[first:end])) if asks[end - 1] else end
@@ -157,25 +158,27 @@ def _nearest(table: pa.Table, keys: tuple[str, ...], k: int) -> Iterator[pa.Reco
             continue
         vectors = _matrix(table.column("v").slice(first, end - first), widths[first])
         names = ids.slice(first, end - first)
-        known = names.to_pylist()
+        known, own = names.to_pylist(), row_numbers[first:end]
         candidates, numbers = vectors[: middle - first], np.arange(middle - first)
         for q in range(middle - first, end - first):
             score = np.sqrt(((candidates - vectors[q]) ** 2).sum(axis=1))
-            few = min(k + 1 + known[: middle - first].count(known[q]), len(score))
+            few = min(k + 1, len(score))  # its own row may be among them
             limit = np.partition(score, few - 1)[few - 1]  # ties at the limit all stay
             near = numbers[score <= limit]
-            near = sorted((score[c], known[c] is None, known[c], c) for c in near if known[c] != known[q])[:k]
+            near = sorted((score[c], known[c] is None, known[c], c) for c in near if own[c] != own[q])[:k]
             for s, _, _, c in near:
                 query_rows.append(first + q)
                 rows.append(first + c)
                 scores.append(float(s))
-    out = [ids.take(pa.array(query_rows, pa.int64())), ids.take(pa.array(rows, pa.int64())), pa.array(scores, pa.float64())]
-    yield pa.RecordBatch.from_arrays(out, names=["query_id", "id", "score"])
+    out = []
+    for taken in (query_rows, rows):
+        out += [pa.array(row_numbers[np.array(taken, np.int64)]), ids.take(pa.array(taken, pa.int64()))]
+    yield pa.RecordBatch.from_arrays([*out, pa.array(scores, pa.float64())], names=["query_row", "query_id", "row", "id", "score"])
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The best k of each query; of the rows that several tables return one counts."""
-    order = Window.partitionBy("query_id").orderBy("score", F.col("id").asc_nulls_last())
+    order = Window.partitionBy("query_row").orderBy("score", F.col("id").asc_nulls_last(), "row")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -189,15 +192,18 @@ def nearest(
     probes: int = PROBES,
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest vectors found for each row where ``is_query`` holds for its ``id``."""
-    rows = materialise(usable(vectors, key, vector), "vectors")
+    # rows are numbered by writing them: several may have one id
+    rows = materialise(usable(vectors, key, vector).withColumn("row", F.monotonically_increasing_id()), "vectors")
     asked = rows.where(F.col("id").isNotNull() & is_query)
+    fields = ["query_row", "query_id", "rank", "id", "score"]
     found = _best(_meet(_bucketed(rows, tables, HASHES, 1), _bucketed(asked, tables, HASHES, probes), k), k)
-    found = materialise(found.select("query_id", "rank", "id", "score"), "neighbours")
-    number = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
-    short = materialise(asked.join(number, asked["id"] == number["query_id"], "left").where(F.coalesce("found", F.lit(0)) < k).select("id", "v", "width"), "short")
+    found = materialise(found.select(fields), "neighbours")
+    number = found.groupBy(F.col("query_row").alias("row")).agg(F.count(F.lit(1)).alias("found"))
+    short = asked.join(number, "row", "left").where(F.coalesce("found", F.lit(0)) < k).select("row", "id", "v", "width")
+    short = materialise(short, "short")
     if short.isEmpty():
-        return found
+        return found.drop("query_row")
     whole = lambda df: df.withColumns({"tab": F.lit(0), "bucket": F.lit(0).cast("bigint")})
-    exact = _best(_meet(whole(rows), whole(short), k), k).select("query_id", "rank", "id", "score")
-    kept = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti")
-    return kept.select("query_id", "rank", "id", "score").unionByName(exact)
+    exact = _best(_meet(whole(rows), whole(short), k), k).select(fields)
+    kept = found.join(short.select(F.col("row").alias("query_row")), "query_row", "left_anti")
+    return kept.select(fields).unionByName(exact).drop("query_row")

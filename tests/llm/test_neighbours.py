@@ -102,3 +102,13 @@ def test_query_recall(spark):
 def test_recall_does_not_fall_with_the_number_of_vectors(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "count", lambda self: 10**9)  # as if the table were large
     test_query_recall(spark)
+
+
+def test_rows_of_one_id_are_queries_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.8]), (0, [1.0, 0.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, SCHEMA), F.col("id") == 0, k=2).collect()
+    found = sorted((r["rank"], r["id"], round(r["score"], 6)) for r in got)
+    assert {r["query_id"] for r in got} == {0}
+    assert found == [(1, 1, 0.141421), (1, 2, 0.223607), (2, 1, 1.272792), (2, 2, 1.204159)]
+    same = neighbours.nearest(spark.createDataFrame(rows[:2], SCHEMA), F.col("id") == 0).collect()
+    assert [(r["rank"], r["id"], round(r["score"], 6)) for r in same] == [(1, 0, 1.414214)] * 2
