@@ -3,13 +3,20 @@
 The markup says first what is no text: scripts, styles, forms, menus, headers, footers, sidebars, and elements whose class, id or
 role names them as adverts, notices, comments and the like (a whole name such as ``sidebar``, one that begins with it as
 ``ad-slot``, or one of a place as ``site-footer``; ``has-sidebar`` names none). What an article container (``article``, else ``main``)
-holds besides is the main text, whole: passages that several articles share stay. A form or a named element around the container drops
+holds besides is the text the host then decides. A form or a named element around the container drops
 what else it holds, and the container only if there is another one. Of several articles those under a quarter of the longest are teasers.
 
-Pages without such a container are decided by their host: the words of its pages are laid end to end, suffixes are sorted
-by prefix doubling, and a run of ``RUN`` words or more that occurs on two distinct pages is boilerplate. Covered words
-go, unique runs stay. Pages of a host are dealt into groups of about ``GROUP`` by a hash, so that no host meets in one
-task whole. Where a host has several groups, each first states the digests of its runs, once per group; those that several groups
+The host decides by its repeated runs: the words of its pages are laid end to end, suffixes are sorted by prefix doubling, and runs of
+``RUN`` words are told by their ranks. Pages of a host are dealt into groups of about ``GROUP`` by a hash, so that no host meets in one
+task whole.
+
+In containers a run that at least half of the distinct texts of the host hold, of ``TEXTS`` or more, is a notice of the site that no markup
+names. A block goes if notices cover all its words; passages that fewer articles share stay, and so does a page that would lose over
+``LOSS`` of its words, as it is one of many versions of a text. A run that half of the host's texts hold is held by half of a group's: each group states
+those, and they are then counted over all pages of the host.
+
+On pages without a container a run that occurs on two distinct ones is boilerplate. Covered words
+go, unique runs stay. Where a host has several groups, each first states the digests of its runs, once per group; those that several groups
 state are handed to these groups, so that a run counts as repeated wherever its pages lie.
 
 Blocks are parted by block-level tags; ``br`` is white space. White space inside a block becomes one space, character
@@ -36,6 +43,8 @@ from playlytics.llm.common import materialise, sorted_groups, with_text_columns
 
 RUN = 8
 GROUP = 1000
+TEXTS = 8  # distinct texts of a host from which on it can tell a notice in them
+LOSS = 0.25  # of the words of a text, the most that can be notices
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -190,18 +199,21 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def run_digests(pages: Sequence[tuple[object, Sequence[str]]], rank: np.ndarray, run: int) -> dict[int, bytes]:
-    """The digests of all runs of the pages laid end to end, by their rank."""
+def run_digests(
+    pages: Sequence[tuple[object, Sequence[str]]], rank: np.ndarray, run: int, wanted: np.ndarray | None = None
+) -> dict[int, bytes]:
+    """The digests of all runs (or of those with the ``wanted`` ranks) of the pages laid end to end, by their rank."""
     flat = [w for _, text in pages for w in [*text, None]]
     inside = np.zeros(len(flat), bool)
     at = 0
     for _, text in pages:
         inside[at : at + max(0, len(text) - run + 1)] = True
         at += len(text) + 1
+    if wanted is not None:
+        inside &= np.isin(rank, wanted)
     places = np.flatnonzero(inside)
     known, first = np.unique(rank[places], return_index=True)
-    digest = lambda i: hashlib.blake2b(" ".join(flat[i : i + run]).encode("utf-8", "replace"), digest_size=16).digest()
-    return {int(k): digest(i) for k, i in zip(known, places[first].tolist(), strict=True)}
+    return {int(k): _digest(flat[i : i + run]) for k, i in zip(known, places[first].tolist(), strict=True)}
 
 
 def _laid(pages: Sequence[tuple[object, Sequence[str]]], run: int) -> tuple[dict[object, int], np.ndarray, np.ndarray]:
@@ -254,7 +266,8 @@ def unique_text(blocks: Sequence[str], covered: np.ndarray) -> str:
 
 def extract_text(pages: DataFrame, run: int = RUN) -> DataFrame:
     """(page_id, url, text) of every row of ``pages`` (page_id, url, html)."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1)).alias("host")
+    rows = pages.select("page_id", "url", host, F.coalesce("html", F.lit("")).alias("html"))
 
     def compute(texts: list[bytes | None]) -> list[pa.Array]:
         """The text of a page with a container, or else the blocks of the page."""
@@ -264,11 +277,11 @@ def extract_text(pages: DataFrame, run: int = RUN) -> DataFrame:
         listed = [None if box else [b.text for b in blocks] for blocks, box in zip(found, boxed, strict=True)]
         return [pa.array(inside, pa.string()), pa.array(listed, pa.list_(pa.string()))]
 
+    # parsed twice, for the runs of the hosts and for the result: that takes less room than to keep the texts
     parsed = with_text_columns(rows, "text string, blocks array<string>", compute, "html").drop("html")
-    parsed = materialise(parsed, "blocks")  # read for both branches, parsed once
-    decided = parsed.where("blocks is null").select("page_id", "url", "text")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
-    parsed = parsed.where("blocks is not null").select("page_id", "url", host.alias("host"), "blocks")
+    stated = materialise(_stated(parsed, rows, run), "stated")
+    decided = _without_notices(parsed.where("blocks is null").drop("blocks"), stated, run)
+    parsed = stated.where("blocks is not null").select("page_id", "url", "host", "blocks")
     if parsed.isEmpty():
         return decided
     extent = parsed.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
@@ -282,6 +295,130 @@ def extract_text(pages: DataFrame, run: int = RUN) -> DataFrame:
     return decided.unionByName(_by_host(pages, run))
 
 
+def frequent_runs(texts: Sequence[str], run: int = RUN) -> list[bytes]:
+    """The digests of the runs that at least half of the texts hold."""
+    pages = [(k, text.split()) for k, text in enumerate(texts)]
+    _, page, rank = _laid(pages, run)
+    held, n = np.unique(np.unique(rank * len(pages) + page) // len(pages), return_counts=True)  # of every rank the number of its pages
+    often = held[2 * n >= len(pages)]
+    known = run_digests(pages, rank, run, often)
+    return [known[k] for k in often.tolist() if k in known]
+
+
+def _digest(words: Sequence[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def _stated(parsed: DataFrame, rows: DataFrame, run: int) -> DataFrame:
+    """What the groups of the hosts state: the runs that half of the group's texts in containers hold and, once, the number of these texts.
+
+    Pages without a container are handed on. Equal texts lie in one group and count once.
+    """
+    large = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups")).where("groups > 1")
+    placed = parsed.join(materialise(large, "large-hosts"), "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    boxed = F.col("blocks").isNull()
+    # a text takes part for its host, whatever page it is of
+    fields = {c: F.when(~boxed, F.col(c)) for c in ("page_id", "url")}
+    placed = placed.withColumns(fields).withColumn("part", F.pmod(F.when(boxed, F.xxhash64("text")).otherwise(F.xxhash64("page_id", "url")), F.col("groups")))
+    kind = parsed.schema["page_id"].dataType.simpleString()
+    columns = f"host string, page_id {kind}, url string, blocks array<string>, run binary, texts bigint"
+
+    def state(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def once(tables: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Hand on each text of a group once and pages without a container at once; equal texts lie side by side."""
+            last = None
+            for batch in tables:
+                types.update((f.name, f.type) for f in batch.schema)
+                marks = list(zip(*(batch.column(c).to_pylist() for c in ("host", "part", "text")), strict=True))
+                keep = [m[2] is not None and m != (marks[k - 1] if k else last) for k, m in enumerate(marks)]
+                last = marks[-1] if marks else last
+                listed = batch.filter(batch.column("blocks").is_valid())
+                if listed.num_rows:
+                    passed.append(listed)
+                yield batch.select(["host", "part", "groups", "text"]).filter(pa.array(keep, pa.bool_()))
+
+        def out(hosts: list, runs: list, texts: list) -> pa.RecordBatch:
+            none = lambda name: pa.nulls(len(hosts), types[name])
+            arrays = [pa.array(hosts, pa.string()), none("page_id"), none("url"), none("blocks"), pa.array(runs, pa.binary()), pa.array(texts, pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            while passed:
+                b = passed.pop()
+                arrays = [*(b.column(c) for c in names[:4]), pa.nulls(b.num_rows, pa.binary()), pa.nulls(b.num_rows, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+        def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from hand_on()
+            for group in _groups(table):
+                host, texts = group.column("host")[0].as_py(), group.column("text").to_pylist()
+                if group.column("groups")[0].as_py() > 1 or len(texts) >= TEXTS:
+                    runs = frequent_runs(texts, run)
+                    yield out([host] * (len(runs) + 1), [None, *runs], [len(texts), *[None] * len(runs)])
+
+        passed: list[pa.RecordBatch] = []
+        yield from sorted_groups(once(batches), ("host", "part"), None, handle)
+        yield from hand_on()
+
+    names = [c.split()[0] for c in columns.split(", ")]
+    types: dict[str, pa.DataType] = {}
+    dealt = placed.select("host", "part", "groups", "page_id", "url", "text", "blocks").repartition("host", "part")
+    return dealt.sortWithinPartitions("host", "part", "text").mapInArrow(state, columns)
+
+
+def _without_notices(boxed: DataFrame, stated: DataFrame, run: int) -> DataFrame:
+    """(page_id, url, text) of pages (page_id, url, host, text) with a container, without the notices of their host."""
+    texts = stated.groupBy("host").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= TEXTS)
+    found = stated.where("run is not null").groupBy("host").agg(F.collect_set("run").alias("runs")).join(texts, "host")
+    found = materialise(found, "frequent-runs")
+    if found.isEmpty():
+        return boxed.select("page_id", "url", "text")
+
+    def hold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for host, text, runs in zip(*(batch.column(c).to_pylist() for c in ("host", "text", "runs")), strict=True):
+                words, known = text.split(), frozenset(runs)
+                own = {d for i in range(len(words) - run + 1) if (d := _digest(words[i : i + run])) in known}
+                out += [(host, d, _digest([text])) for d in own]
+            columns = zip(*out, strict=True) if out else ([], [], [])
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["host", "run", "of"])
+
+    held = boxed.select("host", "text").join(found.select("host", "runs"), "host").mapInArrow(hold, "host string, run binary, of binary")
+    counts = held.distinct().groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).join(found.select("host", "texts"), "host")
+    notices = counts.where("2 * n >= texts").groupBy("host").agg(F.collect_list("run").alias("runs"))
+    notices = materialise(notices, "notices")
+
+    def drop(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = [names.index(c) for c in ("text", "runs")]
+        for batch in batches:
+            texts = [without_runs(t, frozenset(r), run) if r else t for t, r in zip(*(batch.column(k).to_pylist() for k in at), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    names = ["page_id", "url", "text", "runs"]
+    kind = boxed.schema["page_id"].dataType.simpleString()
+    return boxed.join(notices, "host", "left").select(names).mapInArrow(drop, f"page_id {kind}, url string, text string")
+
+
+def without_runs(text: str, runs: frozenset[bytes], run: int = RUN) -> str:
+    """The text without the blocks that ``runs`` cover, unless it would lose too much."""
+    blocks = [b.split(" ") for b in text.split("\n")]
+    words = [w for b in blocks for w in b]
+    covered = np.zeros(len(words), bool)
+    for i in range(len(words) - run + 1):
+        if _digest(words[i : i + run]) in runs:
+            covered[i : i + run] = True
+    kept, at, lost = [], 0, 0
+    for block in blocks:
+        if covered[at : at + len(block)].all():
+            lost += len(block)
+        else:
+            kept.append(" ".join(block))
+        at += len(block)
+    return text if lost > LOSS * len(words) else "\n".join(kept)
+
+
 def _dealt(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition("host", "part").sortWithinPartitions("host", "part", *order, "page_id", "url")
 
