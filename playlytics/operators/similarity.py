@@ -2,7 +2,8 @@
 
 ``neighbour_graph`` hashes the unit vectors by random projections (``TABLES`` keys of ``PROJECTIONS`` buckets each), compares the songs that share
 a key, and keeps each song's ``m`` most similar ones. A bucket of any size is searched whole: it is cut into blocks, every two blocks
-of a bucket meet in a task of their own, and a task returns at most ``m`` rows per song. How much of the neighbours is found, and
+of a bucket meet in a task of their own, and a task returns at most ``m`` rows per song, also of many equal ones. A song moves once per table and
+block of its bucket, so blocks are large (``BLOCK`` songs, 32 MB at width 64) and are compared in ``TILE`` pieces. How much of the neighbours is found, and
 how many pairs are compared for it, depends on the data: among clustered vectors the buckets hold the own cluster, among vectors in
 all directions (as in the test tables) finding nine of ten neighbours takes most of all pairs.
 
@@ -29,7 +30,9 @@ from playlytics.sources.storage import materialise
 
 NEIGHBOURS = 10
 TABLES, PROJECTIONS, LENGTH = 16, 3, 0.5
-BLOCK = 2_000  # songs of a bucket that meet at a time
+BLOCK = 64_000  # songs of a bucket that meet in a task
+TILE = (512, 4_096)  # songs asking and held that are compared at a time
+NOISE = 4e-13  # below half of the last digit to which weights are rounded
 SKETCH_SIZE = 1_000
 EDGE = "src bigint, dst bigint, weight double"
 
@@ -75,28 +78,48 @@ def _in_blocks(keyed: DataFrame, block: int) -> DataFrame:
 
 def _closest(table: pa.Table, m: int) -> pa.Table:
     """The ``m`` most similar songs of each song: of the other block, or of the one block that there is."""
+    table = table.sort_by("id")
     ids = table.column("id").to_numpy()
     rows = table.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
     own = table.column("own").to_numpy()
     first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
     sides = [np.flatnonzero(own == first), np.flatnonzero(own == second)]
-    found = [_best(ids, rows, sides[0], sides[1], m)]
+    found = _best(ids, rows, sides[0], sides[1], m)
     if first != second:
-        found.append(_best(ids, rows, sides[1], sides[0], m))
+        found += _best(ids, rows, sides[1], sides[0], m)
     src, dst, weight = (np.concatenate(x) for x in zip(*found, strict=True))
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "weight": pa.array(weight, pa.float64())})
 
 
-def _best(ids: np.ndarray, rows: np.ndarray, asks: np.ndarray, held: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    similar = np.round(rows[asks] @ rows[held].T, 12)
-    similar[ids[asks][:, None] == ids[held][None, :]] = -np.inf
-    if similar.shape[1] > m:  # all that are as similar as the m-th stay: the ids decide later
-        limit = np.partition(similar, -m, axis=1)[:, -m]
-        keep = similar >= np.maximum(limit, -2)[:, None]
-    else:
-        keep = similar > -np.inf
-    a, b = np.nonzero(keep)
-    return ids[asks][a], ids[held][b], similar[a, b]
+def _best(ids: np.ndarray, rows: np.ndarray, asks: np.ndarray, held: np.ndarray, m: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For pieces of the asking songs: ids, the ids of the most similar ones, weights. Places are in order of ids."""
+    out = [(ids[:0], ids[:0], np.zeros(0))]
+    for at in range(0, len(asks), TILE[0]):
+        some = asks[at : at + TILE[0]]
+        a, b, weight = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        limit = np.full(len(some), -np.inf)  # the m-th best so far; a later song, of a larger id, must pass it
+        for start in range(0, len(held), TILE[1]):
+            other = held[start : start + TILE[1]]
+            similar = rows[some] @ rows[other].T
+            place = np.minimum(np.searchsorted(other, some), len(other) - 1)
+            same = np.flatnonzero(other[place] == some)
+            similar[same, place[same]] = -np.inf
+            least = limit + NOISE
+            if similar.shape[1] > m:
+                unset = np.flatnonzero(limit == -np.inf)
+                least[unset] = np.partition(similar[unset], -m, axis=1)[:, -m] - 2 * NOISE
+            x, y = np.nonzero(similar > np.maximum(least, -2)[:, None])
+            if not len(x):
+                continue
+            a, b = np.concatenate([a, x]), np.concatenate([b, other[y]])
+            weight = np.concatenate([weight, np.round(similar[x, y], 12)])
+            order = np.lexsort((b, -weight, a))
+            a, b, weight = a[order], b[order], weight[order]
+            rank = np.arange(len(a)) - np.searchsorted(a, a)
+            a, b, weight, rank = a[rank < m], b[rank < m], weight[rank < m], rank[rank < m]
+            limit[a[rank == m - 1]] = weight[rank == m - 1]
+        out.append((ids[some][a], ids[b], weight))
+    return out
 
 
 def neighbour_graph(
@@ -114,8 +137,10 @@ def neighbour_graph(
         return vectors.sparkSession.createDataFrame([], EDGE)
     dealt = _in_blocks(_keyed(units, tables, projections, length, seed), block)
     found = dealt.groupBy("tab", "key", "first", "second").applyInArrow(lambda t: _closest(t, m), EDGE)
+    # dealt by song once, for both steps; a pair that met in several tables may differ in the last digit
+    found = found.repartition("src").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     order = Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m)
     return materialise(ranked.select("src", "dst", "weight"), "neighbours")
 
 

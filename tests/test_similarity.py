@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,27 @@ def test_strongest_keeps_a_share(spark):
     edges = spark.range(5000).selectExpr("id as src", "id + 1 as dst", "id / 5000D as weight")
     n = similarity.strongest(edges, 0.8).count()
     assert abs(n - 4000) <= 50
+
+
+def test_tiles_and_copies_return_m_rows_a_song(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(20, 8)), 9, axis=0)[rng.permutation(180)]
+    rows = [(i, list(np.float32(v))) for i, v in enumerate(x)]
+    unit = np.array([np.float32(r[1]) for r in rows], float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want, _ = brute(rows, 4)
+    table = pa.table({"id": np.arange(180), "embedding": list(unit), "own": np.arange(180) % 2, "first": [0] * 180, "second": [1] * 180})
+    for tile in ((512, 4_096), (7, 11), (5, 3)):
+        monkeypatch.setattr(similarity, "TILE", tile)
+        whole = similarity._closest(table.set_column(2, "own", [[0] * 180]).set_column(4, "second", [[0] * 180]), 4)
+        assert whole.num_rows == 720  # and not one for each copy
+        assert set(zip(whole["src"].to_pylist(), whole["dst"].to_pylist(), strict=True)) == want
+        across = similarity._closest(table, 4)
+        assert across.num_rows == 720 and all((a - b) % 2 for a, b in zip(across["src"].to_pylist(), across["dst"].to_pylist(), strict=True))
+
+
+def test_vectors_move_once_a_table(spark):
+    """The blocks of a bucket are large: songs of a bucket of 5,000 go to one task."""
+    df = spark.range(5_000).selectExpr("id", "array(1D, id / 1e9) as embedding")
+    keyed = similarity._keyed(similarity.unit_vectors(df), 2, 1, 100.0, 1738)
+    assert similarity._in_blocks(keyed, similarity.BLOCK).count() == keyed.count()
