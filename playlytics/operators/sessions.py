@@ -74,19 +74,21 @@ def order_within_sessions(
     previous: Sequence[str] = ("cluster",),
     chunks: int | None = None,
     order: Sequence[str] = ORDER,
+    written: bool = False,
 ) -> DataFrame:
     """Sessions plus everything that depends on the order of plays.
 
     Adds ``n_within_ses`` (0-based position), ``timediff_us`` (time since the previous play, across sessions)
     and ``prev_<column>`` (value of the previous play in the session, NULL on its first). Plays are ordered
-    by ``(dt, *order)``, NULL last; plays equal in all of these may change places.
+    by ``(dt, *order)``, NULL last; plays equal in all of these may change places. ``written`` says that the plays
+    are read from tables as they are, and need not be written for the passes over them.
     """
     if gap_us < 1:
         raise ValueError("the gap must be at least one microsecond")
     us = F.unix_micros("dt")
     # written once: sampling the range bounds then reads this, and does not repeat the joins before it
     rows = plays.withColumns({"first_us": us, "last_us": us, "n": F.lit(1).cast("bigint")})
-    rows = materialise(rows, "plays")
+    rows = rows if written else materialise(rows, "plays")
     joined = _number(rows, gap_us, by, previous, ("first_us", *[c for c in order if c in plays.columns]), chunks)
     continues = F.col("is_first") & (F.col("head_break") == 0)
     return joined.select(

@@ -57,17 +57,19 @@ def add_plays(history: History, plays: DataFrame, batch: str) -> list[tuple[int,
     with storage.scratch_scope(spark):
         dated = F.when(F.col("dt").isNotNull(), F.col("dt")).otherwise(F.raise_error(F.lit("a play has no time")).cast("timestamp"))
         new = storage.materialise(plays.withColumns({"dt": dated, BATCH: F.lit(batch)}), "batch")
-        months = _touched(spark, history, new, batch)
+        left, before = _touched(spark, history, new, batch)
+        months = sorted({*left, *before})
         if not months:
             return []
         rows = new
         if storage.exists(spark, history.table("pieces")):
             stored = spark.read.parquet(history.table("pieces")).where(_in(months) & (F.col(BATCH) != batch))
             rows = new.unionByName(stored.select(new.columns))
-        left = sorted((r["year"], r["month"]) for r in rows.select(*MONTH).distinct().collect())
+        if set(before) - set(left):  # the batch was added before, in months that it has left: other batches may still be there
+            left = sorted((r["year"], r["month"]) for r in rows.select(*MONTH).distinct().collect())
         if left:
             order = [c for c in history.order if c in rows.columns]
-            pieces = order_within_sessions(rows, history.gap_us, (*history.by, *MONTH), history.previous, order=order)
+            pieces = order_within_sessions(rows, history.gap_us, (*history.by, *MONTH), history.previous, order=order, written=True)
             storage.replace_months(pieces, history.table("pieces"))
             _count_months(spark, history, left)
         for year, month in set(months) - set(left):  # a batch that was corrected may leave a month without plays
@@ -76,16 +78,20 @@ def add_plays(history: History, plays: DataFrame, batch: str) -> list[tuple[int,
     return months
 
 
-def _touched(spark: SparkSession, history: History, new: DataFrame, batch: str) -> list[tuple[int, int]]:
+Months = list[tuple[int, int]]
+
+
+def _touched(spark: SparkSession, history: History, new: DataFrame, batch: str) -> tuple[Months, Months]:
     """The months of the batch, now and when it was added before; noted before anything else is written."""
     path = history.table("batches")
     found = {(r["year"], r["month"]) for r in new.select(*MONTH).distinct().collect()}
+    before: set[tuple[int, int]] = set()
     if storage.exists(spark, path):
-        found |= {(r["year"], r["month"]) for r in spark.read.parquet(path).where(F.col("name") == batch).collect()}
-    if found:
-        rows = spark.createDataFrame([(batch, *m) for m in sorted(found)], "name string, year int, month int")
+        before = {(r["year"], r["month"]) for r in spark.read.parquet(path).where(F.col("name") == batch).collect()}
+    if found - before:
+        rows = spark.createDataFrame([(batch, *m) for m in sorted(found - before)], "name string, year int, month int")
         rows.write.mode("append").parquet(path)
-    return sorted(found)
+    return sorted(found), sorted(before)
 
 
 def _in(months: Sequence[tuple[int, int]]) -> Column:
@@ -153,9 +159,13 @@ def read_sessions(spark: SparkSession, history: History, year: int | None = None
     split, edges = _turns(spark, history)
     key = (*history.by, *MONTH)
     carried = [f"carried_{c}" for c in history.previous]
-    joined = null_safe_join(pieces, split.select(*key, "base", "head_break", "prev_last", *carried), key)
-    joined = joined.withColumnRenamed("session", "piece")
-    joined = null_safe_join(joined, edges, [*key, "piece"])
+    # both ends of a month in one row, so that the plays are joined once
+    fields = ("edge_start", "edge_end", "edge_len", "offset")
+    ends = edges.groupBy(*key).agg(F.collect_list(F.struct("piece", *fields)).alias("ends"))
+    turns = null_safe_join(split.select(*key, "base", "head_break", "prev_last", *carried), ends, key)
+    joined = null_safe_join(pieces.withColumnRenamed("session", "piece"), storage.materialise(turns, "month-turns"), key)
+    own = F.get(F.filter("ends", lambda e: e["piece"] == F.col("piece")), F.lit(0))
+    joined = joined.withColumn("own", own).select("*", *[F.col(f"own.{c}").alias(c) for c in fields])
     is_first = F.col("timediff_us").isNull()  # of the month
     goes_on = is_first & F.coalesce(F.col("head_break") == 0, F.lit(False))
     start, end = (F.coalesce(F.timestamp_micros(e), F.col(c)) for e, c in (("edge_start", "ses_start"), ("edge_end", "ses_end")))

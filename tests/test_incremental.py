@@ -20,6 +20,7 @@ from playlytics.plans.incremental import (
     read_sessions,
     read_song_counts,
 )
+from playlytics.sources import storage
 
 SCHEMA = "dt timestamp, source string, play_id long, listener long, g_id int, cluster int"
 HOUR = 3_600_000_000
@@ -137,3 +138,21 @@ def test_an_update_reads_its_months_only(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(year" in plan
     plan = read_month_stats(spark, history)._jdf.queryExecution().executedPlan().toString()
     assert "pieces" not in plan
+
+
+def test_the_plays_of_a_batch_are_written_once_and_joined_once(spark, tmp_path):
+    names = []
+    real = storage.materialise
+
+    def noted(df, name, keep=False):
+        names.append(name)
+        return real(df, name, keep)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(storage, "materialise", noted)
+        patch.setattr("playlytics.operators.sessions.materialise", noted)
+        history = History(str(tmp_path / "h"), ("listener",))
+        add_plays(history, plays(spark, 100, 0), "a")
+        assert "batch" in names and "plays" not in names
+        plan = read_sessions(spark, history)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") == 1
